@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnframe.llm.shipping import ship
+
 #: White space that separates words: space and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,6 +32,7 @@ def written(df: DataFrame, name: str = "table", *partition_by: str) -> DataFrame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

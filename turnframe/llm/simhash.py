@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from turnframe.llm.common import written
 from turnframe.llm.components import components
@@ -48,7 +49,7 @@ def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield pd.Series([fingerprint_of(x) for x in s], dtype="int64")
