@@ -62,7 +62,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 def popcounts(fp: Column) -> Column:
     """The bit counts of the 32 segments, two bits each, packed in a long."""
-    return fp - F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(ONES))
+    next_bit = F.shiftrightunsigned(fp, 1)
+    odd, both = fp.bitwiseXOR(next_bit).bitwiseAND(F.lit(ONES)), fp.bitwiseAND(next_bit).bitwiseAND(F.lit(ONES))
+    return odd.bitwiseOR(F.shiftleft(both, 1))
 
 
 def manhattan(a: Column, b: Column) -> Column:
