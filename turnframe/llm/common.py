@@ -46,9 +46,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def same_row(a: DataFrame, b: DataFrame, *more: str) -> Column:
-    """Equal doc_id (nulls too), _key and further columns."""
-    on = a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
-    for c in more:
-        on = on & (a[c] == b[c])
-    return on
+def join_rows(a: DataFrame, b: DataFrame, how: str, *more: str) -> DataFrame:
+    """a joined with b on equal doc_id (nulls too), _key and further columns; of these, a's stay."""
+    on = ["doc_id", "_key", *more]
+    other = b.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = F.col("doc_id").eqNullSafe(F.col("_of_doc_id"))
+    for c in on[1:]:
+        same = same & (F.col(c) == F.col(f"_of_{c}"))
+    return a.join(other, same, how).drop(*(f"_of_{c}" for c in on))

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from turnframe.llm.common import table
+from turnframe.llm.decontaminate import OP2_SQL, op2_decontaminate
+from turnframe.llm.linededup import OP3_SQL, op3_line_dedup
+from turnframe.llm.quality import OP4_SQL, op4_quality
+from turnframe.llm.secrets import op5_secrets
 from turnframe.llm.simhash import op1_simhash
 
 
@@ -13,8 +17,12 @@ def _on(name, op):
 def queries() -> dict:
     return {
         "op1_simhash": _on("documents", op1_simhash),
+        "op2_decontaminate": lambda spark, sf_dir: op2_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op3_line_dedup": _on("documents", op3_line_dedup),
+        "op4_quality": _on("documents", op4_quality),
+        "op5_secrets": _on("documents", op5_secrets),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quality": OP4_SQL}
