@@ -1,9 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a written table of postings (doc_id, _key, pos, term) of the corpus words that occur in the benchmark, with
-one end posting for each document that carries its length. A window of benchmark words is looked up from its rarest
-term: each posting of that term gives a document and an offset-adjusted start, and these starts are intersected with
-the offset-adjusted postings of the item's other terms. Where all terms of a window meet, the phrase occurs.
+The frequency of every benchmark word is counted over the corpus. Each window of benchmark words gets its anchors: its
+rarest term, and the next rarest ones that are not much more common. The index is a written table of the corpus postings
+(doc_id, _key, pos, term) of the anchor terms. A window is looked up from its rarest term: a posting gives a document and
+an offset-adjusted start, and the starts of a window's anchors are intersected. The few documents left are then checked
+word by word, so that the hits are exact phrases.
 
 Rows: a null text has no words. Repeated rows each get the same result; rows that share a doc_id but not a text are told
 apart by _key. Items with the same text all match; an item_id that is null is left out of the lists. Tables may be empty,
@@ -33,47 +34,77 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return found.where(F.size("words") > 0).withColumn("item", F.xxhash64("words"))
 
 
-def postings(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The index: (doc_id, _key, pos, term) for the words of vocabulary (term), and an end posting with an empty term at the document's length."""
-    ends = F.concat(words(F.col("text")), F.array(F.lit("")))
-    each = documents.select("doc_id", text_key(F.col("text")).alias("_key"), F.posexplode(ends).alias("pos", "term")).select("doc_id", "_key", "pos", ascii_lower(F.col("term")).alias("term"))
+def tokens(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, _key, pos, term) of the corpus words that are in vocabulary (term)."""
+    each = documents.select("doc_id", text_key(F.col("text")).alias("_key"), F.posexplode(words(F.col("text"))).alias("pos", "term")).select("doc_id", "_key", "pos", ascii_lower(F.col("term")).alias("term"))
     # written, so that Spark knows its size: it broadcasts a small vocabulary and merge-joins a large one
-    known = written(vocabulary.union(vocabulary.sparkSession.createDataFrame([("",)], "term string")), "vocabulary")
-    return written(each.join(known, "term").select("doc_id", "_key", "pos", "term"), "postings")
+    return each.join(written(vocabulary.select("term").distinct(), "vocabulary"), "term").select("doc_id", "_key", "pos", "term")
+
 
+def postings(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The index, a written table: tokens(documents, vocabulary)."""
+    return written(tokens(documents, vocabulary), "postings")
 
-def phrase_matches(index: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, _key, item, hits): for every document and alignment with an item, the positions in the document inside an occurring window.
 
-    items: as of item_words. A window is width consecutive words, or the whole item if it is shorter.
+def anchors(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(item, at, off, term): for the window of item that starts at `at`, its rarest term's offset in the item, and those of up to two more.
+
+    A further term is taken only if it is not over four times as frequent, or rare anyway. A window with a word that the
+    corpus lacks has none.
     """
     each = items.select("item", "words").dropDuplicates(["item"])
     last = F.greatest(F.size("words") - width, F.lit(0))
     windows = each.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     terms = windows.select("item", "at", F.posexplode(F.slice("words", F.col("at") + 1, width)).alias("k", "term"))
-    frequency = index.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    known = terms.join(frequency, "term", "left")
-    rank = Window.partitionBy("item", "at").orderBy(F.col("df").asc_nulls_first(), "term", "k")
-    rarest = known.withColumn("rank", F.row_number().over(rank)).where("rank = 1 and df is not null")
-    anchors = written(rarest.select("item", "term", (F.col("at") + F.col("k")).alias("off")).distinct(), "anchors")
-    starts = index.join(anchors, "term").select("doc_id", "_key", "item", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    aligned = starts.join(each, "item").select("doc_id", "_key", "item", "start", F.posexplode("words").alias("off", "term"))
-    aligned = aligned.withColumn("pos", F.col("start") + F.col("off"))
-    met = join_rows(index, aligned, "inner", "pos", "term").select("doc_id", "_key", "item", "start", "off")
-    met = met.groupBy("doc_id", "_key", "item", "start").agg(F.sort_array(F.collect_set("off")).alias("offs"))
-    met = met.join(each.select("item", F.size("words").alias("n")), "item")
-    # runs of consecutive offsets: those as long as a window are covered by windows from end to end
-    size = F.least(F.col("n"), F.lit(width))
-    step = F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("run"), F.array().cast("array<int>").alias("done"))
-    close = lambda a: F.concat(a["done"], F.when(F.size(a["run"]) >= F.col("size"), a["run"]).otherwise(F.array().cast("array<int>")))
-    grown = F.aggregate(
-        "offs",
-        step,
+    frequency = written(tokens(documents, items.select(F.explode("words").alias("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    own = Window.partitionBy("item", "at")
+    known = terms.join(frequency, "term", "left").withColumn("rank", F.row_number().over(own.orderBy("df", "term", "k"))).withColumn("least", F.min("df").over(own)).withColumn("lacks", F.count_if(F.col("df").isNull()).over(own))
+    taken = known.where((F.col("lacks") == 0) & (F.col("rank") <= 3) & ((F.col("rank") == 1) | (F.col("df") <= 4 * F.col("least") + 1000)))
+    return written(taken.select("item", "at", (F.col("at") + F.col("k")).alias("off"), "term"), "anchors")
+
+
+def candidates(index: DataFrame, anchored: DataFrame) -> DataFrame:
+    """(doc_id, _key, item, start): where all anchors of some window of the item meet, the item's first word lying at `start`."""
+    asked = written(anchored.select("item", "off", "term").distinct(), "asked")
+    sets = written(anchored.groupBy("item", "at").agg(F.array_sort(F.collect_set("off")).alias("offs")).groupBy("item").agg(F.collect_set("offs").alias("sets")), "sets")
+    met = index.join(asked, "term").select("doc_id", "_key", "item", (F.col("pos") - F.col("off")).alias("start"), "off")
+    met = met.groupBy("doc_id", "_key", "item", "start").agg(F.collect_set("off").alias("met")).join(sets, "item")
+    return met.where(F.exists("sets", lambda s: F.size(F.array_except(s, "met")) == 0)).select("doc_id", "_key", "item", "start")
+
+
+def _hits(own: Column, item: Column, start: Column, width: int) -> Column:
+    """The positions of own inside runs of at least width words (or all of the item's) that agree with item laid at start."""
+    ints = "array<int>"
+    n = F.size(item)
+    same = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (start + k >= 0) & F.coalesce(F.get(own, start + k) == F.get(item, k), F.lit(False)))
+    size = F.least(n, F.lit(width))
+    zero = F.struct(F.lit(-2).alias("last"), F.array().cast(ints).alias("run"), F.array().cast(ints).alias("done"))
+    close = lambda a: F.concat(a["done"], F.when(F.size(a["run"]) >= size, a["run"]).otherwise(F.array().cast(ints)))
+    runs = F.aggregate(
+        same,
+        zero,
         lambda a, x: F.when(x == a["last"] + 1, F.struct(x.alias("last"), F.concat(a["run"], F.array(x)).alias("run"), a["done"].alias("done"))).otherwise(F.struct(x.alias("last"), F.array(x).alias("run"), close(a).alias("done"))),
         close,
     )
-    found = met.where(F.size("offs") >= size).withColumn("size", size).withColumn("done", grown).where(F.size("done") > 0)
-    return found.select("doc_id", "_key", "item", F.transform("done", lambda x: x + F.col("start")).alias("hits"))
+    return F.transform(runs, lambda k: k + start)
+
+
+def phrase_matches(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """documents (doc_id, text) with n_words and matches, an array of (item, hits): the positions in the document inside a window of the item.
+
+    items: as of item_words. A window is width consecutive words, or the whole item if it is shorter. Alignments of an
+    item that hold no window have no entry.
+    """
+    anchored = anchors(documents, items, width)
+    index = postings(documents, anchored)
+    each = items.select("item", "words").dropDuplicates(["item"])
+    found = candidates(index, anchored).join(each, "item")
+    found = written(found.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("item", "start", "words")).alias("found")), "candidates")
+    marked = documents.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
+    joined = join_rows(marked, found, "left").withColumn("own", F.when(F.col("found").isNotNull(), words(ascii_lower(F.col("text")))))
+    matches = F.filter(F.transform("found", lambda c: F.struct(c["item"].alias("item"), _hits(F.col("own"), c["words"], c["start"], width).alias("hits"))), lambda m: F.size(m["hits"]) > 0)
+    none = F.array().cast("array<struct<item:bigint,hits:array<int>>>")
+    return joined.select("doc_id", "_key", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.coalesce(matches, none).alias("matches"))
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 20) -> DataFrame:
@@ -101,13 +132,13 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 20) -> Dat
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, _key, n_words, n_hit, items) for every row; items: the item_ids with an occurring window, sorted as strings."""
     items = written(item_words(benchmark), "items")
-    index = postings(documents, items.select(F.explode("words").alias("term")).distinct())
+    found = phrase_matches(documents, items, width)
+    # the ids of a matched item: rows that match are few, and the table of items is small
     ids = items.where("item_id is not null").groupBy("item").agg(F.collect_set("item_id").alias("ids"))
-    found = phrase_matches(index, items, width).join(ids, "item", "left")
-    found = found.groupBy("doc_id", "_key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
-    rows = index.where("term = ''").select("doc_id", "_key", F.col("pos").cast("long").alias("n_words"))
-    got = join_rows(rows, found, "left")
-    return got.select("doc_id", "_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    found = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["hits"])))).cast("long"))
+    kept = written(found.select("doc_id", "_key", "n_words", "n_hit", F.array_distinct(F.transform("matches", lambda m: m["item"])).alias("of")), "found")
+    named = kept.where("n_hit > 0").select("doc_id", "_key", F.explode("of").alias("item")).join(ids, "item").groupBy("doc_id", "_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    return join_rows(kept.drop("of"), named, "left").select("doc_id", "_key", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
