@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import cache
 
-CACHE = 400_000
+CACHE = 800_000
 
 
 class Memo(dict):
@@ -43,8 +43,8 @@ def byte_chunks(text: str) -> list[str]:
     return SINGLE.split(text)
 
 
-def byte_encoder(path: str):
-    """(function of a list of chunks that begin with a space, giving arrays of ids; the same for whole texts)."""
+def byte_encoder(path: str) -> Callable[[list[str]], Iterable]:
+    """A function of a list of chunks, giving the ids of each, packed."""
     import os
 
     import numpy as np
@@ -59,46 +59,37 @@ def byte_encoder(path: str):
         opens[i] = piece.startswith("Ġ")
 
     def chunks(new: list[str], most: int = 2000) -> Iterable:
-        """Chunks hold no further space beside white space, so joined ones come apart again at the ids that begin with a space."""
+        """Most chunks hold no space after their first character: joined, they come apart again at the ids that begin with a space."""
         out = []
-        plain = [(" " in c[1:]) for c in new]
         for i in range(0, len(new), most):
             part = new[i : i + most]
-            if any(plain[i : i + most]):
-                out += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-                continue
             ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(opens[ids])
-            if len(at) == len(part):
-                out += np.split(ids, at[1:])
-            else:  # a space of its own before a special token or white space
-                out += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+            if len(at) == len(part) and all(c.startswith(" ") and c.count(" ") == 1 for c in part):
+                cuts, data = [*(at * 4).tolist(), 4 * len(ids)], ids.tobytes()
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:  # white space or a special token beside a space
+                out += [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False)]
         return out
 
-    return chunks, lambda texts: [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return chunks
 
 
 @cache
-def byte_memo(path: str) -> tuple[Memo, Callable]:
-    chunks, whole = byte_encoder(path)
-    return Memo(chunks), whole
+def byte_memo(path: str) -> Memo:
+    return Memo(byte_encoder(path), {"": b""})
 
 
-def encode_byte_level(texts: list[str], path: str) -> list:
-    """ids (uint32 arrays) of each text as the tokenizers library gives them."""
-    import numpy as np
-
-    memo, _ = byte_memo(path)
+def encode_byte_level(texts: list[str], path: str) -> list[bytes]:
+    """ids of each text, as little-endian 32-bit numbers, as the tokenizers library gives them."""
+    memo = byte_memo(path)
     parts = []
     for t in texts:
         first, *rest = byte_chunks(t)
         parts.append([first, *[f" {c}" for c in rest]])
-    out = []
     memo.learn({c for p in parts for c in p})
     get = memo.__getitem__
-    for p in parts:
-        out.append(np.concatenate(list(map(get, p))) if p != [""] else np.zeros(0, np.uint32))
-    return out
+    return [b"".join(map(get, p)) for p in parts]
 
 
 # --- pieces with a mark for each space ------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ from turnframe.llm.linededup import OP3_SQL, op3_line_dedup
 from turnframe.llm.quality import OP4_SQL, op4_quality
 from turnframe.llm.secrets import op5_secrets
 from turnframe.llm.simhash import op1_simhash
+from turnframe.llm.tokencounts import op10_token_counts
+from turnframe.llm.tokenfile import op8_tokens
 
 
 def _on(name, op):
@@ -21,6 +23,8 @@ def queries() -> dict:
         "op3_line_dedup": _on("documents", op3_line_dedup),
         "op4_quality": _on("documents", op4_quality),
         "op5_secrets": _on("documents", op5_secrets),
+        "op8_tokens": _on("documents", op8_tokens),
+        "op10_token_counts": _on("documents", op10_token_counts),
     }
 
 
