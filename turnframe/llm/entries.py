@@ -10,6 +10,7 @@ from turnframe.llm.secrets import op5_secrets
 from turnframe.llm.simhash import op1_simhash
 from turnframe.llm.tokencounts import op10_token_counts
 from turnframe.llm.tokenfile import op8_tokens
+from turnframe.llm.warc import OP6_SQL, op6_warc
 
 
 def _on(name, op):
@@ -23,10 +24,11 @@ def queries() -> dict:
         "op3_line_dedup": _on("documents", op3_line_dedup),
         "op4_quality": _on("documents", op4_quality),
         "op5_secrets": _on("documents", op5_secrets),
+        "op6_warc": _on("pages", op6_warc),
         "op8_tokens": _on("documents", op8_tokens),
         "op10_token_counts": _on("documents", op10_token_counts),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quality": OP4_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quality": OP4_SQL, "op6_warc": OP6_SQL}
