@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from turnframe.llm.common import table
 from turnframe.llm.decontaminate import OP2_SQL, op2_decontaminate
+from turnframe.llm.langid import op7_langid
 from turnframe.llm.linededup import OP3_SQL, op3_line_dedup
 from turnframe.llm.quality import OP4_SQL, op4_quality
 from turnframe.llm.secrets import op5_secrets
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op4_quality": _on("documents", op4_quality),
         "op5_secrets": _on("documents", op5_secrets),
         "op6_warc": _on("pages", op6_warc),
+        "op7_langid": _on("documents", op7_langid),
         "op8_tokens": _on("documents", op8_tokens),
         "op10_token_counts": _on("documents", op10_token_counts),
     }
