@@ -6,6 +6,7 @@ from turnframe.llm.common import table
 from turnframe.llm.decontaminate import OP2_SQL, op2_decontaminate
 from turnframe.llm.langid import op7_langid
 from turnframe.llm.linededup import OP3_SQL, op3_line_dedup
+from turnframe.llm.mixing import op9_mixing
 from turnframe.llm.quality import OP4_SQL, op4_quality
 from turnframe.llm.secrets import op5_secrets
 from turnframe.llm.simhash import op1_simhash
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op6_warc": _on("pages", op6_warc),
         "op7_langid": _on("documents", op7_langid),
         "op8_tokens": _on("documents", op8_tokens),
+        "op9_mixing": lambda spark, sf_dir: op9_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op10_token_counts": _on("documents", op10_token_counts),
     }
 
