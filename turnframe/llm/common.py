@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str = "table", *partition_by: str) -> DataFrame
     """df, computed once and kept as Parquet in a shared folder: cuts the lineage, and a lost executor loses nothing of it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a given schema holds for an empty table too
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -63,8 +63,8 @@ def host_verdicts(counted: DataFrame, limit: float = LIMIT, deviations: float =
     """
     hosts = written(counted.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("base_failed").alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
-    m = hosts.agg(F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("inv")).first()
-    mean = min(max((m.f or 0) / (m.n or 1), 1e-6), 1 - 1e-6)
+    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("inv")).first()
+    mean = min(max(m["mean"] or 0.0, 1e-6), 1 - 1e-6)
     between = (m.v or 0.0) - mean * (1 - mean) * (m.inv or 0.0)  # what varies beyond chance
     strength = min(max(mean * (1 - mean) / between - 1, 1.0), 100.0) if between > 0 else 100.0
     a, b = F.col("n_failed") + mean * strength, F.col("n_docs") - F.col("n_failed") + (1 - mean) * strength
@@ -99,7 +99,7 @@ c AS (
   FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 h AS (SELECT source, cast(count(*) AS double) AS n, cast(count(*) FILTER (base_failed) AS double) AS f FROM b GROUP BY source),
-m AS (SELECT least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
+m AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mean, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
 p AS (SELECT mean, v - mean * (1 - mean) * inv AS between_v FROM m),
 s AS (SELECT mean, CASE WHEN between_v > 0 THEN least(greatest(mean * (1 - mean) / between_v - 1, 1.0), 100.0) ELSE 100.0 END AS k FROM p),
 q AS (SELECT source, (f + mean * k) / (n + k) AS post, n + k + 1 AS t FROM h, s),

@@ -133,7 +133,7 @@ def _parsed(with_block: bool):
                     if kind == "response" and b32encode(hashlib.sha1(block).digest()).decode() != digest:
                         raise ValueError(f"{f['WARC-Record-ID']} doesn't match its digest")
                     row = [number(f["WARC-Record-ID"]), f["WARC-Target-URI"], len(block) if kind == "response" else None, digest, kind, number(f["WARC-Refers-To"]) if kind == "revisit" else None]
-                    rows.append([*row, block.decode("utf-8")] if with_block else row)
+                    rows.append([*row, block.decode("utf-8") if kind == "response" else None] if with_block else row)
                     held += len(block) if with_block else 100
                     if held > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
