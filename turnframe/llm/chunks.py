@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import cache
 
-CACHE = 800_000
+CACHE = 500_000
 
 
 class Memo(dict):
@@ -21,11 +21,12 @@ class Memo(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Afterwards every one of chunks is here."""
-        new = chunks.difference(self)
-        if len(self) + len(new) > CACHE + len(self.fixed):
+        if len(self) > CACHE + len(self.fixed):
             self.clear()
             self.update(self.fixed)
-            new = chunks.difference(self)
+        self.add(chunks.difference(self))
+
+    def add(self, new: set[str]) -> None:
         if new:
             new = sorted(new)
             self.update(zip(new, self.encode(new)))
@@ -35,7 +36,9 @@ class Memo(dict):
 # The pre-tokenizer takes a space into the word after it, and nothing else crosses from one non-space character over a
 # single space to the next; so a text may be cut before each such space. A run of several white-space characters is left whole.
 
-SINGLE = re.compile(r"(?<=\S) (?=\S)")
+SINGLE = re.compile(r"(?<=\S)(?= \S)")
+#: A run of letters (of Latin-1) up to a character that is neither letter nor digit: the pre-tokenizer always cuts there.
+WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s][^ ]*)", re.DOTALL)
 
 
 def byte_chunks(text: str) -> list[str]:
@@ -75,19 +78,25 @@ def byte_encoder(path: str) -> Callable[[list[str]], Iterable]:
     return chunks
 
 
+class ByteMemo(Memo):
+    """Of a new chunk, a word and what follows it are encoded apart, so that each word is merged once, whatever follows it."""
+
+    def add(self, new: set[str]) -> None:
+        cut = [(c, m) for c in new if (m := WORD.fullmatch(c))]
+        super().add(({x for _, m in cut for x in m.groups()} | new.difference(c for c, _ in cut)).difference(self))
+        self.update((c, self[m[1]] + self[m[2]]) for c, m in cut)
+
+
 @cache
 def byte_memo(path: str) -> Memo:
-    return Memo(byte_encoder(path), {"": b""})
+    return ByteMemo(byte_encoder(path), {"": b""})
 
 
 def encode_byte_level(texts: list[str], path: str) -> list[bytes]:
     """ids of each text, as little-endian 32-bit numbers, as the tokenizers library gives them."""
     memo = byte_memo(path)
-    parts = []
-    for t in texts:
-        first, *rest = byte_chunks(t)
-        parts.append([first, *[f" {c}" for c in rest]])
-    memo.learn({c for p in parts for c in p})
+    parts = list(map(byte_chunks, texts))
+    memo.learn(set().union(*parts))
     get = memo.__getitem__
     return [b"".join(map(get, p)) for p in parts]
 

@@ -2,10 +2,10 @@
 
 Each block of a stream is coded on its own: its models start empty and its checksum is its own, so any block can be read
 without the others. Three models predict an id: order 0 the last id that came twice within three, order 1 the id that last
-followed the previous one, order 2 the id that last followed the previous two. A mixture of the three predictions and a
-fixed distribution over all ids gives every id a share of the coder's range; every STRIDE ids the mixture's weights are
-drawn anew from which predictions came true so far. The blocks are the lanes of numpy arrays: step t codes the t-th id of
-all blocks. The coder keeps a range of 48 bits and puts out 16 bits at a time.
+followed the previous one, order 2 the id that last followed the previous two; below them stands a fixed distribution over
+all ids. The coder's range is divided among the four in proportion to the mixture's weights, and an id is coded in the part
+of the highest order that foresees it. Every STRIDE ids the weights move towards which parts were used. The blocks are the
+lanes of numpy arrays: step t codes the t-th id of all blocks. The coder keeps a range of 56 bits and puts out 24 at a time.
 
 Format of a segment (little-endian): magic 'TFMX', version u8, u8 zero, u16 block length / 256, u32 number of ids, then for
 each block u32 length of its code in bytes and u32 crc32 of its ids; then the blocks' codes, one after another.
@@ -20,23 +20,25 @@ from functools import cache
 import numpy as np
 
 MAGIC, VERSION, BLOCK = b"TFMX", 1, 2048
-#: All shares add up to 2 ** 24 at most; the fixed distribution has from 1 to 15 units of 2 ** 20 of them.
+#: Parts add up to 2 ** 24; the fixed distribution has from 1 to 15 units of 2 ** 20 of them.
 TOTAL_BITS, UNIT_BITS, UNITS = 24, 20, 16
 SLOT_BITS = 11  # of the tables of the latest followers
 LANES, STRIDE = 2048, 16
 U = np.uint64
+TOTAL, DIGIT, LOW_BITS, LEAST, MASK = U(TOTAL_BITS), U(24), U(32), U(1 << 32), U((1 << 32) - 1)
 
 
 @cache
-def base_table(n_ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulated fixed shares, 2 ** 20 in all: falling with the id, as vocabularies list merges by frequency, and at least one each; and the id at each place."""
+def base_table(n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fixed distribution, 2 ** 20 shares in all: where each id's begin, how many it has, and the id at each place.
+
+    They fall with the id, as vocabularies list merges by frequency; every id has one at least.
+    """
     weight = 1 / (np.arange(n_ids) + 200.0)
-    share = 1 + np.floor(weight / weight.sum() * ((1 << UNIT_BITS) - n_ids)).astype(np.int64)
+    share = 1 + np.floor(weight / weight.sum() * ((1 << UNIT_BITS) - n_ids)).astype(np.int32)
     share[0] += (1 << UNIT_BITS) - share.sum()
-    cum = np.zeros(n_ids + 2, np.int32)
-    np.cumsum(share, out=cum[1 : n_ids + 1])
-    cum[n_ids + 1] = cum[n_ids]
-    return cum, np.repeat(np.arange(n_ids, dtype=np.int32), share)
+    start = np.cumsum(share, dtype=np.int32) - share
+    return start, share, np.repeat(np.arange(n_ids, dtype=np.int32), share)
 
 
 class _Weights:
@@ -45,18 +47,20 @@ class _Weights:
     def __init__(self, lanes: int):
         self.w = np.array([[2.0], [6.0], [12.0], [20.0]]) * np.ones((1, lanes))
 
-    def shares(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the three predictions, and units of the fixed distribution."""
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where the parts of orders 2, 1 and 0 end, one after another, and the units of the fixed distribution, which begins there."""
         units = np.clip(np.rint(UNITS * self.w[3] / self.w.sum(0)), 1, UNITS - 1)
-        free = (UNITS - units) * float(1 << UNIT_BITS) / (self.w[0] + self.w[1] + self.w[2])
-        return (self.w[:3] * free).astype(np.int32), units.astype(np.int32)
+        free = (UNITS - units) * float(1 << UNIT_BITS)
+        two = self.w[2] / (self.w[0] + self.w[1] + self.w[2])
+        one = two + self.w[1] / (self.w[0] + self.w[1] + self.w[2])
+        return np.maximum(free * two, 1).astype(np.int32), np.maximum(free * one, 2).astype(np.int32), free.astype(np.int32), units.astype(np.int32)
 
-    def learn(self, hits: list[np.ndarray], steps: int) -> None:
-        """hits: by order, how often it was the highest one that was right."""
+    def learn(self, used: np.ndarray) -> None:
+        """used: steps x lanes, the order whose part was used, 3 for the fixed distribution."""
         self.w *= 0.9
-        for k in range(3):
-            self.w[k] += hits[k] + 0.02
-        self.w[3] += steps - hits[0] - hits[1] - hits[2] + 0.02
+        self.w += 0.02
+        for k in range(4):
+            self.w[k] += (used == k).sum(0)
 
 
 def _slot1(prev):
@@ -79,115 +83,124 @@ def _latest(slots: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return before
 
 
+def _shifted(ids: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(ids)
+    out[1:] = ids[:-1]
+    return out
+
+
+def _often(ids: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+    """For each step and lane, the id that last came again after one other, before this step; else 0."""
+    again = ids == prev2
+    again[0] = False
+    place = np.where(again, np.arange(1, len(ids) + 1, dtype=np.int32)[:, None], np.int32(0))
+    last = _shifted(np.maximum.accumulate(place, axis=0))
+    return np.where(last > 0, np.take_along_axis(ids, np.maximum(last - 1, 0), 0), 0).astype(np.int32)
+
+
 def _encode_lanes(ids: np.ndarray, n_ids: int) -> list[bytes]:
-    """ids: steps x lanes, int64."""
+    """ids: steps x lanes, int32."""
     steps, lanes = ids.shape
-    cum, _ = base_table(n_ids)
-    prev = np.vstack([np.zeros((1, lanes), np.int64), ids[:-1]])
-    prev2 = np.vstack([np.zeros((1, lanes), np.int64), prev[:-1]])
-    two = np.where(ids == prev2, np.arange(1, steps + 1)[:, None], 0)  # order 0: where an id came again
-    last = np.vstack([np.zeros((1, lanes), np.int64), np.maximum.accumulate(two, axis=0)[:-1]])
-    seen = [np.where(last > 0, np.take_along_axis(ids, np.maximum(last - 1, 0), 0), 0).astype(np.int32), _latest(_slot1(prev), ids), _latest(_slot2(prev, prev2), ids)]
-    del prev, prev2, two, last
+    begin, share, _ = base_table(n_ids)
+    prev = _shifted(ids)
+    prev2 = _shifted(prev)
+    used = np.full((steps, lanes), 3, np.uint8)
+    wide = prev.astype(np.int64)
+    used[_often(ids, prev2) == ids] = 0
+    used[_latest(_slot1(wide), ids) == ids] = 1
+    used[_latest(_slot2(wide, prev2.astype(np.int64)), ids) == ids] = 2
+    del prev, prev2, wide
     weights = _Weights(lanes)
-    low, rng = np.zeros(lanes, U), np.full(lanes, 1 << 48, U)
-    digits = np.zeros((lanes, steps * 2 + 4), np.int32)
+    low, rng = np.zeros(lanes, U), np.full(lanes, 1 << 56, U)
+    digits = np.zeros((lanes, steps + 4), np.int32)
     at, rows = np.zeros(lanes, np.int64), np.arange(lanes)
-    base, step = cum[ids], cum[ids + 1] - cum[ids]
     for t in range(0, steps, STRIDE):
-        part = slice(t, min(t + STRIDE, steps))
-        share, units = weights.shares()
-        x = ids[part]
-        equal = [s[part] == x for s in seen]
-        start, size = base[part] * units, step[part] * units
-        for k in range(3):
-            start += (seen[k][part] < x) * share[k]
-            size += equal[k] * share[k]
-        weights.learn([(equal[0] & ~equal[1] & ~equal[2]).sum(0), (equal[1] & ~equal[2]).sum(0), equal[2].sum(0)], len(x))
-        start, size = start.astype(U), size.astype(U)
+        x, u = ids[t : t + STRIDE], used[t : t + STRIDE]
+        two, one, nil, units = weights.parts()
+        fixed, first, second = u == 3, u == 2, u == 1
+        start = np.where(first, 0, np.where(second, two, np.where(fixed, nil + begin[x] * units, one))).astype(U)
+        size = np.where(first, two, np.where(second, one - two, np.where(fixed, share[x] * units, nil - one))).astype(U)
+        weights.learn(u)
         for i in range(len(x)):
-            r = rng >> U(TOTAL_BITS)
+            r = rng >> TOTAL
             low += r * start[i]
-            rng = r * size[i]
-            for _ in range(2):
-                out = np.flatnonzero(rng < U(1 << 32))
-                if not len(out):
-                    break
+            np.multiply(r, size[i], out=rng)
+            out = np.flatnonzero(rng < LEAST)
+            if len(out):
                 own = low[out]
-                digits[out, at[out]] = own >> U(32)
+                digits[out, at[out]] = own >> LOW_BITS
                 at[out] += 1
-                low[out] = (own & U(0xFFFFFFFF)) << U(16)
-                rng[out] <<= U(16)
+                low[out] = (own & MASK) << DIGIT
+                rng[out] <<= DIGIT
     for _ in range(3):
-        digits[rows, at] = low >> U(32)
+        digits[rows, at] = low >> LOW_BITS
         at += 1
-        low = (low & U(0xFFFFFFFF)) << U(16)
+        low = (low & MASK) << DIGIT
     for c in range(int(at.max()) - 1, 0, -1):  # carries
-        over = digits[:, c] >> 16
+        over = digits[:, c] >> 24
         if over.any():
-            digits[:, c] &= 0xFFFF
+            digits[:, c] &= 0xFFFFFF
             digits[:, c - 1] += over
-    packed = digits.astype("<u2")
+    packed = digits.astype("<u4").view(np.uint8).reshape(lanes, -1, 4)[:, :, :3]
     return [packed[i, : at[i]].tobytes() for i in range(lanes)]
 
 
 def _decode_lanes(codes: list[bytes], steps: int, n_ids: int) -> np.ndarray:
     """steps x lanes ids."""
     lanes = len(codes)
-    cum, place = base_table(n_ids)
-    most = max(len(c) for c in codes) // 2 + 4
+    begin, share, place = base_table(n_ids)
+    most = max(len(c) for c in codes) // 3 + 4
     digits = np.zeros((lanes, most), U)
     for i, c in enumerate(codes):
-        digits[i, : len(c) // 2] = np.frombuffer(c, "<u2")
+        raw = np.zeros((len(c) // 3, 4), np.uint8)
+        raw[:, :3] = np.frombuffer(c, np.uint8).reshape(-1, 3)
+        digits[i, : len(raw)] = raw.view("<u4")[:, 0]
     weights = _Weights(lanes)
-    diff, rng = (digits[:, 0] << U(32)) | (digits[:, 1] << U(16)) | digits[:, 2], np.full(lanes, 1 << 48, U)
-    at, found = np.full(lanes, 3, np.int64), np.zeros((steps, lanes), np.int64)
+    rng = np.full(lanes, 1 << 56, U)
+    diff = (digits[:, 0] << LOW_BITS) | (digits[:, 1] << U(8)) | (digits[:, 2] >> U(16))
+    # 56 bits are two digits and a third of the next: keep the rest of it for the first shift
+    carry, carry_bits = digits[:, 2] & U(0xFFFF), U(16)
+    at, found, used = np.full(lanes, 3, np.int64), np.zeros((steps, lanes), np.int32), np.empty((STRIDE, lanes), np.uint8)
     rows = np.arange(lanes, dtype=np.int64) << SLOT_BITS
     after1, after2 = np.zeros(lanes << SLOT_BITS, np.int32), np.zeros(lanes << SLOT_BITS, np.int32)
     often, prev, prev2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    two, one, nil, units = weights.parts()
     for t in range(steps):
-        if t % STRIDE == 0:
-            if t:
-                weights.learn(hits, STRIDE)
-            share, units = weights.shares()
-            hits = [np.zeros(lanes, np.int64) for _ in range(3)]
-            s0, s1, s2 = share
+        k = t % STRIDE
+        if t and not k:
+            weights.learn(used)
+            two, one, nil, units = weights.parts()
         slot1, slot2 = rows + _slot1(prev), rows + _slot2(prev, prev2)
-        p0, p1, p2 = often, after1[slot1], after2[slot2]
-        r = rng >> U(TOTAL_BITS)
-        # 48 bits over 24: a double's quotient has the right whole part
-        target = (diff / r).astype(np.int32)
-        c01, c02, c12 = p0 < p1, p0 < p2, p1 < p2
-        d10, d20, d21 = p1 < p0, p2 < p0, p2 < p1
-        low0, low1, low2 = cum[p0] * units + d10 * s1 + d20 * s2, cum[p1] * units + c01 * s0 + d21 * s2, cum[p2] * units + c02 * s0 + c12 * s1
-        e01, e02, e12 = ~(c01 | d10), ~(c02 | d20), ~(c12 | d21)
-        top0 = cum[p0 + 1] * units + (d10 | e01) * s1 + (d20 | e02) * s2 + s0
-        top1 = cum[p1 + 1] * units + (c01 | e01) * s0 + (d21 | e12) * s2 + s1
-        top2 = cum[p2 + 1] * units + (c02 | e02) * s0 + (c12 | e12) * s1 + s2
-        over0, over1, over2 = target >= top0, target >= top1, target >= top2
-        lifted = target - over0 * s0 - over1 * s1 - over2 * s2
-        in0, in1, in2 = (target >= low0) & ~over0, (target >= low1) & ~over1, (target >= low2) & ~over2
-        ids = place[np.clip((lifted / units).astype(np.int32), 0, (1 << UNIT_BITS) - 1)]
-        ids = np.where(in0, p0, np.where(in1, p1, np.where(in2, p2, ids)))
-        start = cum[ids] * units + (p0 < ids) * s0 + (p1 < ids) * s1 + (p2 < ids) * s2
-        size = (cum[ids + 1] - cum[ids]) * units + (p0 == ids) * s0 + (p1 == ids) * s1 + (p2 == ids) * s2
+        r = rng >> TOTAL
+        target = (diff // r).astype(np.int32)
+        ids = place[np.clip((target - nil) // units, 0, (1 << UNIT_BITS) - 1)]
+        start, size = nil + begin[ids] * units, share[ids] * units
+        in2, in1, in0 = target < two, target < one, target < nil
+        order = 3 - in0.view(np.uint8) * 3
+        order[in1], order[in2] = 1, 2
+        used[k] = order
+        np.copyto(ids, often, where=in0)
+        np.copyto(start, one, where=in0)
+        np.copyto(size, nil - one, where=in0)
+        np.copyto(ids, after1[slot1], where=in1)
+        np.copyto(start, two, where=in1)
+        np.copyto(size, one - two, where=in1)
+        np.copyto(ids, after2[slot2], where=in2)
+        np.copyto(start, 0, where=in2)
+        np.copyto(size, two, where=in2)
         diff -= r * start.astype(U)
-        rng = r * size.astype(U)
-        for _ in range(2):
-            more = np.flatnonzero(rng < U(1 << 32))
-            if not len(more):
-                break
-            diff[more] = (diff[more] << U(16)) | digits[more, np.minimum(at[more], most - 1)]
+        np.multiply(r, size.astype(U), out=rng)
+        more = np.flatnonzero(rng < LEAST)
+        if len(more):
+            new = digits[more, np.minimum(at[more], most - 1)]
+            diff[more] = (diff[more] << DIGIT) | (carry[more] << U(8)) | (new >> carry_bits)
+            carry[more] = new & U(0xFFFF)
             at[more] += 1
-            rng[more] <<= U(16)
+            rng[more] <<= DIGIT
         found[t] = ids
-        miss2 = p2 != ids
-        hits[2] += ~miss2
-        hits[1] += (p1 == ids) & miss2
-        hits[0] += (p0 == ids) & (p1 != ids) & miss2
         after1[slot1] = ids
         after2[slot2] = ids
-        often = np.where(ids == prev2, ids, often)
+        np.copyto(often, ids, where=(ids == prev2) & (t > 0))
         prev2, prev = prev, ids.astype(np.int64)
     return found
 
@@ -202,7 +215,7 @@ def encode(ids: np.ndarray, n_ids: int) -> bytes:
     for first in range(0, n, LANES):
         lanes = min(LANES, n - first)
         steps = min(BLOCK, len(ids))  # the last block is filled up with zeros
-        part = np.zeros(lanes * steps, np.int64)
+        part = np.zeros(lanes * steps, np.int32)
         own = ids[first * BLOCK : (first + lanes) * BLOCK]
         part[: len(own)] = own
         for k, code in enumerate(_encode_lanes(np.ascontiguousarray(part.reshape(lanes, steps).T), n_ids)):
