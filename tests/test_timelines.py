@@ -145,6 +145,19 @@ def test_collars(spark):
     assert out(iv.without_overlap(uem, two), "s", "e") == [(0, 5), (8, 30)]
 
 
+def test_extended_zones(spark):
+    z = lambda *rows: spark.createDataFrame([("a", *r) for r in rows], "uri string, s long, e long") if rows else spark.createDataFrame([], "uri string, s long, e long")
+    got = lambda ex, lex, seg, most=10: out(iv.extended_zones(z(*ex), z(*lex), z(*seg), most), "s", "e")
+    assert got([(100, 110)], [], []) == [(90, 120)]
+    assert got([(100, 110)], [(80, 95), (113, 118)], []) == [(95, 113)]
+    assert got([(100, 110)], [(98, 105)], [(0, 112)]) == [(100, 112)]
+    assert got([(100, 110), (125, 130)], [], []) == [(90, 140)]
+    assert got([(100, 110), (125, 130)], [(115, 116)], []) == [(90, 115), (116, 140)]
+    assert got([(100, 110), (140, 150)], [], []) == [(90, 120), (130, 160)]
+    uem = spark.createDataFrame([("a", 0, 200)], "uri string, s long, e long")
+    assert out(iv.without_zones(uem, z((90, 120))), "s", "e") == [(0, 90), (120, 200)]
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(4)
     for _ in range(150):

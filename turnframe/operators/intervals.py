@@ -138,3 +138,33 @@ def index_range(events: DataFrame, words: DataFrame, width: int) -> DataFrame:
     met = overlap_join(events, words.select("uri", "idx", mid.alias("s"), (mid + 1).alias("e")), ["uri"], width, pad=1).where((F.col("b_s") >= F.col("a_s")) & (F.col("b_s") <= F.col("a_e")))
     found = met.groupBy("uri", F.col("a_id").alias("id")).agg(F.min("b_idx").alias("first"), F.max("b_idx").alias("last"))
     return events.select("uri", "id").join(found, ["uri", "id"], "left")
+
+
+def extended_zones(excluded: DataFrame, lexemes: DataFrame, segments: DataFrame, most: int) -> DataFrame:
+    """(uri, s, e): the time of excluded events, each stretch widened on either side by up to `most`, but not past the nearest end of a word or edge of a speaker segment.
+
+    A side at which a word is open is not widened. Stretches that come to touch are joined. One sweep with running counts
+    and as-of edges; tables are (uri, s, e).
+    """
+    merged = joined_zones(zones(_marks(excluded.where("e > s"), F.col("s"), F.col("e"), 1, 0)))
+    no = F.lit(None).cast("long")
+    # kind 0: an edge or a word's mark, which counts before a zone's mark at the same time
+    word = lexemes.where("e > s").select("uri", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
+    rows = word.select("uri", "m.t", F.lit(0).alias("kind"), F.col("m.d").alias("d"), F.when(F.col("m.d") < 0, F.col("m.t")).alias("back"), F.when(F.col("m.d") > 0, F.col("m.t")).alias("ahead"), no.alias("z"))
+    edge = segments.where("e > s").select("uri", F.explode(F.array("s", "e")).alias("t"))
+    rows = rows.union(edge.select("uri", "t", F.lit(0), F.lit(0), "t", "t", no))
+    for kind, side in ((1, "s"), (2, "e")):
+        rows = rows.union(merged.select("uri", F.col(side), F.lit(kind), F.lit(0), no, no, F.col("s")))
+    order = Window.partitionBy("uri").orderBy("t", "kind")
+    till = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = Window.partitionBy("uri").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    seen = rows.withColumns({"open": F.sum("d").over(till), "back": F.max("back").over(till), "ahead": F.min("ahead").over(since)}).where("kind > 0")
+    start = F.when(F.col("open") > 0, F.col("t")).otherwise(F.greatest(F.coalesce("back", F.col("t") - most), F.col("t") - most))
+    end = F.when(F.col("open") > 0, F.col("t")).otherwise(F.least(F.coalesce("ahead", F.col("t") + most), F.col("t") + most))
+    wide = seen.groupBy("uri", "z").agg(F.min(F.when(F.col("kind") == 1, start)).alias("s"), F.max(F.when(F.col("kind") == 2, end)).alias("e"))
+    return joined_zones(zones(_marks(wide, F.col("s"), F.col("e"), 1, 0)))
+
+
+def without_zones(uem: DataFrame, excluded: DataFrame) -> DataFrame:
+    """uem without the time of excluded (uri, s, e)."""
+    return joined_zones(zones(_marks(uem, F.col("s"), F.col("e"), 1, 0).union(_marks(excluded, F.col("s"), F.col("e"), 0, 1))))
