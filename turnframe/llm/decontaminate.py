@@ -101,8 +101,10 @@ def phrase_matches(documents: DataFrame, items: DataFrame, width: int = WIDTH) -
     found = candidates(index, anchored).join(each, "item")
     found = written(found.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("item", "start", "words")).alias("found")), "candidates")
     marked = documents.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
-    joined = join_rows(marked, found, "left").withColumn("own", F.when(F.col("found").isNotNull(), words(ascii_lower(F.col("text")))))
-    matches = F.filter(F.transform("found", lambda c: F.struct(c["item"].alias("item"), _hits(F.col("own"), c["words"], c["start"], width).alias("hits"))), lambda m: F.size(m["hits"]) > 0)
+    joined = join_rows(marked, found, "left")
+    # the words are bound as a lambda's variable: a column would be put into the inner lambda and split anew for each element
+    fits = lambda own: F.filter(F.transform("found", lambda c: F.struct(c["item"].alias("item"), _hits(own, c["words"], c["start"], width).alias("hits"))), lambda m: F.size(m["hits"]) > 0)
+    matches = F.when(F.col("found").isNotNull(), F.get(F.transform(F.array(words(ascii_lower(F.col("text")))), fits), 0))
     none = F.array().cast("array<struct<item:bigint,hits:array<int>>>")
     return joined.select("doc_id", "_key", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.coalesce(matches, none).alias("matches"))
 
