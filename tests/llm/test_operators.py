@@ -93,6 +93,15 @@ def test_runs_compact(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.frequent(5).count() == 1 and runs.frequent(1).count() == 6
     assert runs.unseen(lines(docs(spark, ["shared\nnew"], [99]))).count() == 1
+    # settled hashes leave the counting, and later batches drop them
+    runs = LineRuns(fanout=2, settle=4)
+    for k in range(5):
+        runs.add(lines(docs(spark, [f"only {k}", "shared"], [2 * k, 2 * k + 1]).union(docs(spark, ["shared"], [100 + k]))))
+    assert [r.count() for r in runs.settled] == [1, 0, 0]
+    assert sum(r.count() for r in runs.runs()) == 5
+    assert runs.frequent(4).count() == 1
+    with pytest.raises(ValueError):
+        runs.frequent(5)
 
 
 def test_quality(spark):

@@ -1,8 +1,9 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-Documents come in batches. Each batch's lines are hashed, merge-joined against the runs and added as a new run, sorted by
-hash; when a level has gathered `fanout` runs they are merged into one run of the next level. A run holds, for each hash,
-the number of documents with the line, so that runs of different batches add up.
+Documents come in batches. Each batch's lines are hashed and counted, merge-anti-joined with the runs of settled hashes and
+added as a new run, sorted by hash; when a level has gathered `fanout` runs they are merged into one run of the next level.
+A run holds, for each hash, the number of documents with the line, so that runs of different batches add up. A merge that
+finds a hash in enough documents settles it: it leaves the counting, and later batches drop it by their anti-join.
 
 Hashes are 128 bits wide (two XXH64 of differing seeds). Rows: a null or empty text is one empty line. Rows with equal
 doc_id and text count as one document. Extra columns are ignored; an empty table gives an empty result. DataFrame functions only.
@@ -35,10 +36,15 @@ def lines(documents: DataFrame, least: int = 1) -> DataFrame:
 
 @dataclass
 class LineRuns:
-    """Levels of sorted runs (h1, h2, n), each a written table; compact() keeps fewer than `fanout` runs on a level."""
+    """Levels of sorted runs (h1, h2, n), each a written table; a level keeps fewer than `fanout` runs.
+
+    With `settle`, hashes that a merge finds in at least so many documents move to the settled runs.
+    """
 
     fanout: int = FANOUT
+    settle: int | None = None
     levels: list[list[DataFrame]] = field(default_factory=list)
+    settled: list[DataFrame] = field(default_factory=list)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -46,6 +52,9 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self._merged(self.levels[level]), []
+            if self.settle is not None:
+                self.settled.append(merged.where(F.col("n") >= self.settle))
+                merged = merged.where(F.col("n") < self.settle)
             self._put(merged, level + 1)
 
     @staticmethod
@@ -62,20 +71,29 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def add(self, batch: DataFrame) -> None:
-        """Adds batch (doc_id, _key, line, h1, h2), whose documents are in no other batch, as a run."""
-        each = batch.select("doc_id", "_key", *HASH).distinct()
-        self._put(self._sorted_run(each.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"))), 0)
+        """Adds batch (doc_id, _key, line, h1, h2), whose documents are in no other batch, as a run without settled hashes."""
+        counts = batch.select("doc_id", "_key", *HASH).distinct().groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"))
+        self._put(self._sorted_run(_without(counts, self.settled)), 0)
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """The rows of batch whose hash is in no run: a merge anti-join with each."""
-        for r in self.runs():
-            batch = batch.join(r, HASH, "left_anti")
-        return batch
+        return _without(batch, [*self.settled, *self.runs()])
 
     def frequent(self, documents: int) -> DataFrame:
-        """(h1, h2) of the lines found in at least so many documents."""
+        """(h1, h2) of the lines found in at least so many documents, which is at most `settle` where that is set."""
+        if self.settle is not None and self.settle < documents:
+            raise ValueError("hashes were settled with fewer documents")
         runs = self.runs()
-        return (self._merged(runs) if len(runs) > 1 else runs[0]).where(F.col("n") >= documents).select(*HASH)
+        found = (self._merged(runs) if len(runs) > 1 else runs[0]).where(F.col("n") >= documents)
+        for r in self.settled:
+            found = found.union(r.where(F.col("n") >= documents))
+        return found.select(*HASH)
+
+
+def _without(rows: DataFrame, runs: list[DataFrame]) -> DataFrame:
+    for r in runs:
+        rows = rows.join(r, HASH, "left_anti")
+    return rows
 
 
 def _batch(hashed: DataFrame, k: int) -> DataFrame:
@@ -104,7 +122,7 @@ def first_seen_lines(documents: DataFrame, batches: int = BATCHES, least: int =
 def frequent_lines(documents: DataFrame, documents_at_least: int = 10, least: int = 1, batches: int = BATCHES) -> DataFrame:
     """(doc_id, _key, lines): the numbers of the lines of each document whose key is in at least so many documents."""
     hashed = written(lines(documents, least).withColumn("batch", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(batches)).cast("int")), "lines", "batch")
-    runs = LineRuns()
+    runs = LineRuns(settle=documents_at_least)
     for k in range(batches):
         runs.add(_batch(hashed, k))
     common = written(runs.frequent(documents_at_least), "frequent")
