@@ -80,11 +80,10 @@ def train(labelled: DataFrame, path: str | None = None, sample: int = SAMPLE) ->
     n = usable.select("doc_id").count()
     if n > sample:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    rows = usable.mapInPandas(_counts(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in rows})
+    found = usable.mapInPandas(_counts(path), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(found["lang"].unique())
     counts = np.full((len(_pieces(path)[1]), len(langs)), SMOOTH)
-    for r in rows:
-        counts[r.piece, langs.index(r.lang)] += r.n
+    counts[found["piece"].to_numpy(), np.searchsorted(langs, found["lang"]) if langs else []] += found["n"].to_numpy()
     return langs, counts / counts.sum(0)
 
 

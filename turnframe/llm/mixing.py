@@ -18,7 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,29 +28,27 @@ from turnframe.llm.common import SPACE, written
 DOMAINS = ["high", "low", "toxic"]
 #: Shares of the drawn tokens. The total is the least that needs no domain with a positive share to be thinned out.
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-SAMPLE, FEATURES, STEM = 20_000, 1 << 16, 6
+#: Terms in fewer labelled documents than LEAST_DOCS say nothing that the L1 norm would keep; TERMS bounds what the model holds.
+SAMPLE, LEAST_DOCS, TERMS, STEM = 20_000, 3, 1 << 16, 6
+ANY = "<any>"
 #: Of the L1 norm: most words say nothing about a domain, and labels are noisy.
 REGULARISATION = 0.001
 STEPS, TOLERANCE = 60, 1e-4
 
 
 def terms(text: Column) -> Column:
-    """Distinct words in lower case without what surrounds them, their first STEM letters, what surrounds them, and a mark for capitals."""
+    """Distinct words in lower case without what surrounds them, their first STEM letters, what surrounds them, a mark for capitals, and a term that every text has."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\s]+)", " $1 ")
     words = F.array_distinct(F.split(F.lower(spaced), r"\s+"))
     stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))
     capitals = F.when(F.rlike(spaced, F.lit(r"\b\p{Lu}{2,}\b")), F.array(F.lit("<capitals>"))).otherwise(F.array())
-    return F.array_remove(F.array_distinct(F.concat(words, stems, capitals)), "")
+    return F.array_remove(F.array_distinct(F.concat(words, stems, capitals, F.array(F.lit(ANY)))), "")
 
 
 def n_tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")).cast("long")
 
 
-def _features(documents: DataFrame, *keep) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="features").transform(documents.select(*keep, terms(F.col("text")).alias("_terms"))).drop("_terms")
-
-
 def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, _key, n_tokens, p): p is the posterior of DOMAINS, for every row."""
     from turnframe.llm.common import text_key
@@ -61,14 +59,16 @@ def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     if n > sample:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     usable = written(usable, "labelled")  # at most the sample: small enough to be broadcast by its size
-    taught = written(_features(documents.select("doc_id", "text").join(usable, "doc_id"), "label"), "taught")
-    classes = sorted(int(r.label) for r in taught.select("label").distinct().collect())
+    taught = written(documents.select("doc_id", "text").join(usable, "doc_id").select("label", terms(F.col("text")).alias("terms")), "taught")
+    counts = {int(r.label): r["count"] for r in taught.groupBy("label").count().collect()}
+    classes = sorted(counts)
     rows = documents.select("doc_id", text_key(F.col("text")).alias("_key"), n_tokens(F.col("text")).alias("n_tokens"), "text")
     if len(classes) < 2:
         flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if not classes else [float(k == classes[0]) for k in range(len(DOMAINS))]
         return rows.drop("text").withColumn("p", F.array(*map(F.lit, flat)))
-    model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=1.0, maxIter=100, tol=1e-6).fit(taught)
-    scored = model.transform(_features(rows, "doc_id", "_key", "n_tokens", "text").drop("text"))
+    seen = CountVectorizer(inputCol="terms", outputCol="features", binary=True, vocabSize=TERMS, minDF=float(min(LEAST_DOCS, sum(counts.values())))).fit(taught)
+    model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=1.0, maxIter=100, tol=1e-6).fit(seen.transform(taught).select("label", "features"))
+    scored = model.transform(seen.transform(rows.select("doc_id", "_key", "n_tokens", terms(F.col("text")).alias("terms"))))
     found = vector_to_array("probability")
     return scored.select("doc_id", "_key", "n_tokens", found.alias("found")).select("doc_id", "_key", "n_tokens", F.array(*[F.col("found")[k] if k < model.numClasses else F.lit(0.0) for k in range(len(DOMAINS))]).alias("p"))
 
