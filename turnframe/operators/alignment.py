@@ -1,42 +1,78 @@
-"""Word and event alignment: a best path by dynamic programming in each group, and what is counted from it."""
+"""Word alignment: a best path by dynamic programming inside stretches of speech, and what is counted from it.
+
+Words that are further apart than the gap never pair, so a silence longer than it cuts a recording into islands that are
+aligned on their own. A group holds a run of islands, not a recording.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Islands of a group.
+ISLANDS = 512
+#: Costs of a pair of one kind other than lex and of a lone word other than lex, the sounds that count for no
+#: word, hyphenated words that count for one, and the score above which a pair is no error.
+SAME_KIND, LONE = 0.1, 0.2
+SOUNDS = ("non-lex", "misc")
+SINGLE = ("mm-hmm", "uh-huh", "um-hmm")
+RIGHT = -0.5
+
+
+def word_count(word: str, wtype: str) -> int:
+    """How many words a token stands for: none for a sound, two for a hyphenated word."""
+    bare = word.strip("-")
+    return 0 if wtype in SOUNDS else 1 if bare in SINGLE or bare and "-" not in bare else 2
+
+
+def _holds(whole, part) -> bool:
+    bare = part.word.strip("-")
+    return whole.wtype == "lex" and part.wtype == "frag" and bool(bare) and bare in whole.word
+
 
-def word_score(ref: pd.Series, sys: pd.Series, gap: float) -> float | None:
-    """How well two words (word, s, e) go together: none if they are further than gap apart, else more for equal words and for closeness."""
-    if ref.s - sys.e > gap or sys.s - ref.e > gap:
-        return None
-    shared = min(ref.e, sys.e) - max(ref.s, sys.s)
-    near = max(0.0, 1 - abs((ref.s + ref.e) - (sys.s + sys.e)) / 2 / (gap + max(ref.e - ref.s, sys.e - sys.s, 1e-9)))
-    return (1.0 if ref.word == sys.word else 0.4 if shared > 0 else 0.2) + 0.1 * near
+def pair_score(r, s) -> float:
+    """What a pair of words (word, wtype) adds to a path: 0 if they are the same, or both fragments or filled pauses, or one is a fragment of the other; else less."""
+    same = r.wtype == s.wtype
+    if same and (r.word == s.word or r.wtype in ("fp", "frag")) or _holds(r, s) or _holds(s, r):
+        return 0.0
+    if same and r.wtype != "lex":
+        return -SAME_KIND * max(1, word_count(r.word, r.wtype))
+    return -float(max(1, word_count(r.word, r.wtype), word_count(s.word, s.wtype)))
 
 
-def align(ref: pd.DataFrame, sys: pd.DataFrame, score: Callable, gap: float, most_behind: float = np.inf) -> list[tuple[int | None, int | None]]:
-    """The order-preserving pairing of two sorted tables with the highest total score; a row without a partner is paired with None.
+def lone_score(w) -> float:
+    """What a word without a partner adds."""
+    n = word_count(w.word, w.wtype)
+    return -float(n) if w.wtype == "lex" else -LONE * max(1, n)
 
-    most_behind prunes: a cell whose total lies that far behind the best of its row is not extended. Ties prefer a pair.
+
+def align(refs: Sequence, syss: Sequence, gap: float, score: Callable = pair_score, lone: Callable = lone_score, most_behind: float = np.inf) -> list[tuple[int | None, int | None]]:
+    """The order-preserving pairing of two sorted lists with the highest total score; a word without a partner is paired with None.
+
+    Only words that overlap, or come within gap, can pair. most_behind prunes: a path whose score, with the rest of the
+    other side left alone, lies that far behind the best of its row is not extended by a pair. A pair has to be better than
+    leaving both alone.
     """
-    n, m = len(ref), len(sys)
-    refs, syss = list(ref.itertuples()), list(sys.itertuples())
-    total, step = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
-    step[1:, 0], step[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        best = -np.inf
-        for j in range(1, m + 1):
-            options = [total[i - 1, j], total[i, j - 1]]
-            if total[i - 1, j - 1] >= best - most_behind and (s := score(refs[i - 1], syss[j - 1], gap)) is not None:
-                options.append(total[i - 1, j - 1] + s)
-            k = len(options) - 1 if len(options) == 3 and options[2] >= max(options[:2]) else int(np.argmax(options[:2]))
-            total[i, j], step[i, j] = options[k], k + 1
-            best = max(best, total[i, j])
+    n, m = len(refs), len(syss)
+    left = np.concatenate([[0.0], np.cumsum([lone(s) for s in syss])])
+    total, step = np.empty((n + 1, m + 1)), np.full((n + 1, m + 1), 2, np.int8)
+    total[0], step[1:, 0] = left, 1
+    for i, r in enumerate(refs, 1):
+        before, cost = total[i - 1], lone(r)
+        ahead = before - left
+        floor = ahead.max() - most_behind
+        row = total[i]
+        row[0] = before[0] + cost
+        for j, s in enumerate(syss, 1):
+            drop, add = before[j] + cost, row[j - 1] + left[j] - left[j - 1]
+            row[j], step[i, j] = (drop, 1) if drop >= add else (add, 2)
+            if ahead[j - 1] >= floor and min(r.e, s.e) - max(r.s, s.s) + gap > 0 and (pair := before[j - 1] + score(r, s)) > row[j]:
+                row[j], step[i, j] = pair, 3
     out, i, j = [], n, m
     while i or j:
         k = step[i, j]
@@ -48,24 +84,41 @@ def align(ref: pd.DataFrame, sys: pd.DataFrame, score: Callable, gap: float, mos
 ALIGNED = "uri string, ref_idx long, sys_idx long, ref_word string, sys_word string, kind string, ds double, de double"
 
 
-def aligned_words(ref: DataFrame, sys: DataFrame, gap: float = 0.5, score: Callable = word_score, most_behind: float = np.inf) -> DataFrame:
-    """(uri, ref_idx, sys_idx, ref_word, sys_word, kind, ds, de): words (uri, idx, word, s, e) of each recording aligned; kind is cor, sub, del or ins, ds and de are boundary offsets.
+def islands(ref: DataFrame, sys: DataFrame, gap: float) -> DataFrame:
+    """(uri, island, side, idx, word, wtype, s, e): the words of both sides (ref 0, sys 1), numbered by the stretch without a silence of gap or more."""
+
+    def side(df, k):
+        wtype = F.col("wtype") if "wtype" in df.columns else F.lit("lex")
+        return df.select(F.col("uri").cast("string").alias("uri"), F.lit(k).alias("side"), F.col("idx").cast("long").alias("idx"), "word", wtype.alias("wtype"), "s", "e")
+
+    order = Window.partitionBy("uri").orderBy("s", "e", "side", "idx")
+    until = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = side(ref, 0).union(side(sys, 1)).withColumn("opens", F.when(F.col("s") < until + gap, 0).otherwise(1))
+    return opens.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
+def aligned_words(ref: DataFrame, sys: DataFrame, gap: float = 0.5, score: Callable = pair_score, lone: Callable = lone_score, most_behind: float = np.inf) -> DataFrame:
+    """(uri, ref_idx, sys_idx, ref_word, sys_word, kind, ds, de): words (uri, idx, word, s, e and, if there, wtype) aligned; kind is cor, sub, del or ins, ds and de are boundary offsets.
 
-    A group holds the words of one recording; time and memory grow with the product of the two sides.
+    Time grows with the product of both sides of an island.
     """
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x.sort_values(["s", "idx"]).reset_index(drop=True) for x in (a, b))
-        rows = []
-        for i, j in align(a, b, score, gap, most_behind):
-            r, s = (a.loc[i] if i is not None else None), (b.loc[j] if j is not None else None)
-            kind = "del" if s is None else "ins" if r is None else "cor" if r.word == s.word else "sub"
-            both = r is not None and s is not None
-            rows.append((key[0], None if r is None else int(r.idx), None if s is None else int(s.idx), None if r is None else r.word, None if s is None else s.word, kind, float(s.s - r.s) if both else None, float(s.e - r.e) if both else None))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")])
-        return out.astype({"ref_idx": "Int64", "sys_idx": "Int64"})
-
-    return ref.groupBy("uri").cogroup(sys.groupBy("uri")).applyInPandas(run, ALIGNED)
+    def row(uri, r, s):
+        if r is None:
+            return (uri, None, s.idx, None, s.word, "ins", None, None)
+        if s is None:
+            return (uri, r.idx, None, r.word, None, "del", None, None)
+        return (uri, r.idx, s.idx, r.word, s.word, "cor" if score(r, s) > RIGHT else "sub", float(s.s - r.s), float(s.e - r.e))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        words, rows = pdf.sort_values(["island", "side", "s", "idx"]).itertuples(index=False), []
+        for _, part in groupby(words, key=lambda w: w.island):
+            both = {k: list(x) for k, x in groupby(part, key=lambda w: w.side)}
+            r, s = both.get(0, []), both.get(1, [])
+            rows += [row(pdf["uri"].iloc[0], None if i is None else r[i], None if j is None else s[j]) for i, j in align(r, s, gap, score, lone, most_behind)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")]).astype({"ref_idx": "Int64", "sys_idx": "Int64"})
+
+    return islands(ref, sys, gap).groupBy("uri", F.floor(F.col("island") / ISLANDS)).applyInPandas(run, ALIGNED)
 
 
 def word_errors(aligned: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnframe.functions.matching import assign
-from turnframe.operators.intervals import clipped, extent, overlap_seconds
+from turnframe.operators.intervals import clipped, extent, overlap_join, overlap_seconds
 
 
 def _map_recording(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,6 +73,39 @@ def der_components(ref: DataFrame, sys: DataFrame, width: int) -> DataFrame:
     return error_components(ref, sys, extent(ref), width)
 
 
+def speech_time(ref: DataFrame, sys: DataFrame, uem: DataFrame, width: int) -> DataFrame:
+    """(uri, speech, missed, false_alarm): the time of uem in which anyone of ref speaks, of it the time in which no one of sys does, and the time in which only sys has speakers."""
+    d, none = F.col("b") - F.col("a"), F.lit(0).cast("long")
+    when = lambda cond: F.sum(F.when(cond, d).otherwise(none))
+    found = active_counts(clipped(ref, uem, width), clipped(sys, uem, width)).groupBy("uri")
+    return found.agg(when(F.col("n_ref") > 0).alias("speech"), when((F.col("n_ref") > 0) & (F.col("n_sys") == 0)).alias("missed"), when((F.col("n_ref") == 0) & (F.col("n_sys") > 0)).alias("false_alarm"))
+
+
+def running_total(rows: DataFrame, score: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, id, total): the sum of score over the rows (id) of a key up to each, in order."""
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(*keys, "id", F.sum(score).over(upto).alias("total"))
+
+
+def without_subtype(ref: DataFrame, sys: DataFrame, subtype: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """ref (uri, id, s, e, subt) without the events of a subtype, and sys (uri, id, s, e, mapped) without those mapped to one, or unmapped with their midpoint inside one.
+
+    mapped is the id of the ref event, or null. Midpoints meet events in time buckets.
+    """
+    gone = ref.where(F.col("subt") == subtype)
+    left = sys.join(gone.select("uri", F.col("id").alias("mapped")), ["uri", "mapped"], "left_anti")
+    mid = (F.col("s") + F.col("e")) / 2
+    points = left.where("mapped is null").select("uri", "id", mid.alias("s"), mid.alias("e"))
+    met = overlap_join(points, gone.select("uri", "s", "e"), ["uri"], width, pad=1).where("a_s between b_s and b_e")
+    return ref.where(~F.col("subt").eqNullSafe(subtype)), left.join(met.select("uri", F.col("a_id").alias("id")).distinct(), ["uri", "id"], "left_anti")
+
+
+def grouped_sets(rows: DataFrame, sets: list[list[str]], *sums: Column) -> DataFrame:
+    """sums over each of several groupings, e.g. by recording, speaker and gender; what a set leaves out is null."""
+    by = list(dict.fromkeys(c for some in sets for c in some))
+    return rows.groupingSets([[F.col(c) for c in some] for some in sets], *by).agg(*sums)
+
+
 def rate(part: Column, whole: Column) -> Column:
     """In percent; nothing of nothing is 0, something of nothing infinite."""
     return F.when(whole != 0, part * 100.0 / whole).when(part == 0, 0.0).otherwise(F.lit(float("inf")))

@@ -79,6 +79,11 @@ def current_row(transcript: DataFrame, times: DataFrame) -> DataFrame:
     return met.groupBy("uri", "t").agg(F.min("seq").alias("seq"))
 
 
+def in_view(rows: DataFrame, views: DataFrame, speakers: list[int]) -> DataFrame:
+    """rows of the given speakers that reach into the view (uri, a, b) of their recording."""
+    return rows.where(F.col("speaker_id").isin(speakers)).join(views, "uri").where("e > a and s < b").drop("a", "b")
+
+
 def lanes(rows: DataFrame, most: int = 3) -> DataFrame:
     """(uri, speaker_id, lane): speakers in order of their first appearance, dealt over so many lanes."""
     first = rows.groupBy("uri", "speaker_id").agg(F.min(F.struct("s", "e")).alias("first"))
