@@ -18,7 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ from turnframe.llm.common import SPACE, written
 DOMAINS = ["high", "low", "toxic"]
 #: Shares of the drawn tokens. The total is the least that needs no domain with a positive share to be thinned out.
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-#: Terms in fewer labelled documents than LEAST_DOCS say nothing that the L1 norm would keep; TERMS bounds what the model holds.
-SAMPLE, LEAST_DOCS, TERMS, STEM = 20_000, 3, 1 << 16, 6
+#: The classifier sees the TERMS terms that tell the domains apart best (by chi square), of those in LEAST_DOCS labelled documents or more.
+SAMPLE, LEAST_DOCS, TERMS, STEM = 20_000, 3, 1 << 14, 6
 ANY = "<any>"
 #: Of the L1 norm: most words say nothing about a domain, and labels are noisy.
 REGULARISATION = 0.001
@@ -49,6 +49,15 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")).cast("long")
 
 
+def telling_terms(taught: DataFrame, counts: dict[int, int]) -> list[str]:
+    """The terms of taught (label, terms) whose presence depends most on the label: TERMS at most, whatever the input. counts: documents of each label."""
+    total = sum(counts.values())
+    each = taught.select("label", F.explode("terms").alias("term")).groupBy("term")
+    found = each.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in counts]).where((F.col("n") >= LEAST_DOCS) & (F.col("n") < total))
+    off = [F.pow(F.col(f"n{k}") - F.col("n") * of / total, F.lit(2)) / (F.col("n") * of / total * (1 - F.col("n") / total)) for k, of in counts.items()]
+    return [r.term for r in found.orderBy(sum(off[1:], off[0]).desc(), "term").limit(TERMS).select("term").collect()]
+
+
 def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, _key, n_tokens, p): p is the posterior of DOMAINS, for every row."""
     from turnframe.llm.common import text_key
@@ -66,7 +75,8 @@ def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     if len(classes) < 2:
         flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if not classes else [float(k == classes[0]) for k in range(len(DOMAINS))]
         return rows.drop("text").withColumn("p", F.array(*map(F.lit, flat)))
-    seen = CountVectorizer(inputCol="terms", outputCol="features", binary=True, vocabSize=TERMS, minDF=float(min(LEAST_DOCS, sum(counts.values())))).fit(taught)
+    seen = CountVectorizerModel.from_vocabulary(telling_terms(taught, counts) or [ANY], inputCol="terms", outputCol="features")
+    seen.setBinary(True)
     model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=1.0, maxIter=100, tol=1e-6).fit(seen.transform(taught).select("label", "features"))
     scored = model.transform(seen.transform(rows.select("doc_id", "_key", "n_tokens", terms(F.col("text")).alias("terms"))))
     found = vector_to_array("probability")
