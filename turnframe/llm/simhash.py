@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType
 
 from turnframe.llm.common import written
 from turnframe.llm.components import components
+from turnframe.llm.nearsets import alike_documents
 
 SEGMENTS, BITS = 32, 2
 ONES = 0x5555555555555555
@@ -49,15 +50,18 @@ def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def _fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield pd.Series([fingerprint_of(x) for x in s], dtype="int64")
+def _fingerprint(width: int):
+    @F.pandas_udf(LongType())
+    def fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([fingerprint_of(x, width) for x in s], dtype="int64")
 
+    return fingerprint
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row."""
-    return documents.select("doc_id", _fingerprint("text").alias("fp"))
+
+def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row, over shingles of width words."""
+    return documents.select("doc_id", _fingerprint(width)("text").alias("fp"))
 
 
 def popcounts(fp: Column) -> Column:
@@ -108,9 +112,15 @@ def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(documents: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over linked fingerprints."""
-    docs = written(fingerprints(documents), "fingerprints")
+def near_duplicates(documents: DataFrame, distance: int = 2, cell: int = CELL, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over linked fingerprints.
+
+    With a similarity, links are those of shingle sets of that Jaccard similarity or more instead, whatever their
+    fingerprints' distance, and the columns are (doc_id, node, component_id).
+    """
+    if similarity is not None:
+        return alike_documents(documents, width, similarity)
+    docs = written(fingerprints(documents, width), "fingerprints")
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     labels = components(links(nodes, distance, cell)).withColumnRenamed("node", "fp")
     grouped = labels.join(nodes, "fp")
@@ -120,9 +130,11 @@ def near_duplicates(documents: DataFrame, distance: int = 2, cell: int = CELL) -
     return docs.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(documents: DataFrame, distance: int = 2) -> DataFrame:
+def one_of_each(documents: DataFrame, distance: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
     """documents without near-duplicates: of each group, the row with the smallest doc_id stays. Rows without a doc_id stay."""
-    found = near_duplicates(documents, distance)
+    found = near_duplicates(documents, distance, width=width, similarity=similarity)
+    if similarity is not None:
+        found = written(found, "alike")
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = documents.join(first, "doc_id", "left_semi")
     if found.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
