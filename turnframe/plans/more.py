@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnframe import fixtures as fx
@@ -106,3 +107,52 @@ def word_alignment(spark, d):
     words = words.select("uri", (F.col("i") + 1).alias("idx"), "word", (F.col("i") * 900).alias("s"), (F.col("i") * 900 + 700).alias("e"))
     heard = words.where("idx % 7 <> 0").withColumn("word", F.when(F.col("idx") % 5 == 0, F.concat("word", F.lit("x"))).otherwise(F.col("word")))
     return al.word_errors(al.aligned_words(words.where("idx % 11 <> 3"), heard, gap=100)).withColumn("wer", F.round("wer", 6))
+
+
+# --- asof_time_map, word_index_range, discarded_subtype and stitch_overlap over all their rows --------------------------
+
+ALL_ANCHORS = ", anc AS (SELECT uri, t, t + (t // 7919) % 1000000 AS to_ FROM (SELECT uri, s AS t, min(id) AS id FROM turns GROUP BY uri, s) WHERE id % 17 = 0), pts AS (SELECT uri, id, s AS t FROM turns)"
+
+
+@query(
+    with_views(
+        "turns",
+        body=ALL_ANCHORS
+        + ", b AS (SELECT p.*, a.t AS t0, a.to_ AS x0 FROM pts p ASOF LEFT JOIN anc a ON p.uri = a.uri AND p.t >= a.t), n AS (SELECT b.*, a.t AS t1, a.to_ AS x1 FROM b ASOF LEFT JOIN anc a ON b.uri = a.uri AND b.t <= a.t) SELECT uri, id, t, round(cast(CASE WHEN t0 = t1 THEN x0 WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN x0 + cast(t - t0 AS double) * (x1 - x0) / (t1 - t0) WHEN t0 IS NOT NULL THEN t + x0 - t0 WHEN t1 IS NOT NULL THEN t + x1 - t1 ELSE t END AS double), 0) AS mapped FROM n",
+    )
+)
+def asof_time_map_all(spark, d):
+    turns = fx.turns(spark, d)
+    anchors = turns.groupBy("uri", F.col("s").alias("t")).agg(F.min("id").alias("id")).where("id % 17 = 0").select("uri", "t", F.expr("t + (t div 7919) % 1000000").alias("to"))
+    return iv.interpolated(turns.select("uri", "id", F.col("s").alias("t")), anchors).withColumn("mapped", F.round("mapped", 0))
+
+
+ALL_WORDS = ", wd AS (SELECT uri, row_number() OVER (PARTITION BY uri ORDER BY s, id) AS idx, s, e FROM turns), ev AS (SELECT uri, id, s - 300000000 AS s, e + 300000000 AS e FROM turns)"
+
+
+@query(with_views("turns", body=ALL_WORDS + " SELECT v.uri, v.id, min(w.idx) AS first, max(w.idx) AS last FROM ev v LEFT JOIN wd w ON w.uri = v.uri AND (w.s + w.e) // 2 BETWEEN v.s AND v.e GROUP BY v.uri, v.id"))
+def word_index_range_all(spark, d):
+    turns = fx.turns(spark, d)
+    words = turns.select("uri", F.row_number().over(Window.partitionBy("uri").orderBy("s", "id")).cast("long").alias("idx"), "s", "e")
+    events = turns.select("uri", "id", (F.col("s") - 300 * SECOND).alias("s"), (F.col("e") + 300 * SECOND).alias("e"))
+    return iv.index_range(events, words, WIDTH)
+
+
+ALL_SUBTYPES = ", r AS (SELECT uri, id, s, e, CASE WHEN id % 4 = 0 THEN 'other' ELSE 'statement' END AS subt FROM turns), y AS (SELECT uri, id, s, e, CASE WHEN id % 2 = 0 THEN id END AS mapped FROM sys)"
+
+
+@query(with_views("turns", "sys", body=ALL_SUBTYPES + " SELECT y.uri, y.id FROM y LEFT JOIN r m ON y.mapped = m.id AND y.uri = m.uri WHERE NOT coalesce(m.subt = 'other', false) AND NOT (y.mapped IS NULL AND EXISTS (SELECT 1 FROM r WHERE r.uri = y.uri AND r.subt = 'other' AND (y.s + y.e) / 2 BETWEEN r.s AND r.e))"))
+def discarded_subtype_all(spark, d):
+    ref = fx.turns(spark, d).select("uri", "id", "s", "e", F.when(F.col("id") % 4 == 0, "other").otherwise("statement").alias("subt"))
+    sys = fx.system_turns(spark, d).select("uri", "id", "s", "e", F.expr("CASE WHEN id % 2 = 0 THEN id END").alias("mapped"))
+    return sc.without_subtype(ref, sys, "other", WIDTH)[1].select("uri", "id")
+
+
+@query(
+    "WITH c AS (SELECT conv_id, turn, left(text, length(text) // 2 + 15) AS acc, substr(text, greatest(length(text) // 2 - 15, 0) + 1) AS new FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, coalesce(list_max(list_filter(generate_series(0, least(50, length(acc), length(new))), lambda k: suffix(acc, left(new, k)))), 0) AS k FROM c) SELECT conv_id, turn, acc || substr(new, cast(k AS int) + 1) AS text FROM k"
+)
+def stitch_overlap_all(spark, d):
+    half = F.expr("length(text) div 2").cast("int")
+    cut = F.left("text", half + 15), F.substring("text", F.greatest(half - 15, F.lit(0)) + 1, F.length("text"))
+    rows = fx.load(spark, d, "conversations").where("text is not null").select("conv_id", "turn", cut[0].alias("acc"), cut[1].alias("new"))
+    return rows.select("conv_id", "turn", F.concat("acc", tx.stitch(F.col("acc"), F.col("new"))).alias("text"))
