@@ -115,7 +115,7 @@ def secret_spans(documents: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat(*[_base_spans(F.col("text"), k, names.index(k)) for k in KINDS]))
     more = F.concat(*[_entropy_spans(F.col("text"), k, names.index(k)) for k in CLASSES])
     found = text.select("doc_id", base.alias("base"), more.alias("more"))
-    inside = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", F.filter("more", lambda s: ~inside(s)))).alias("spans"))
 
 
