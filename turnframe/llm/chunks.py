@@ -9,6 +9,10 @@ import re
 from collections.abc import Callable, Iterable
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CACHE = 500_000
 
 
@@ -37,8 +41,12 @@ class Memo(dict):
 # single space to the next; so a text may be cut before each such space. A run of several white-space characters is left whole.
 
 SINGLE = re.compile(r"(?<=\S)(?= \S)")
-#: A run of letters (of Latin-1) up to a character that is neither letter nor digit: the pre-tokenizer always cuts there.
-WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s][^ ]*)", re.DOTALL)
+#: In arrow's syntax: a space at an end of the text or beside other white space (or a control character), where a text can't be cut at every space.
+UNEVEN = r"(?:^|[\s\p{Z}\p{C}]) | (?:$|[\s\p{Z}\p{C}])"
+#: Between a letter and ASCII that is none, white space apart, the pre-tokenizer always cuts, but for a letter after an
+#: apostrophe; and around a line end that stands between two other characters. (Patterns of arrow.)
+CUTS = (r"(\p{L})([!-@\[-`{-~])", r"([!-&(-@\[-`{-~])(\p{L})", r"([!-~\p{L}])(\n)([!-~\p{L}])")
+CUT = "\x1f"
 
 
 def byte_chunks(text: str) -> list[str]:
@@ -50,8 +58,6 @@ def byte_encoder(path: str) -> Callable[[list[str]], Iterable]:
     """A function of a list of chunks, giving the ids of each, packed."""
     import os
 
-    import numpy as np
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -61,44 +67,130 @@ def byte_encoder(path: str) -> Callable[[list[str]], Iterable]:
     for piece, i in vocab.items():
         opens[i] = piece.startswith("Ġ")
 
+    line_end = vocab["Ċ"]
+
+    def joined(part: list[str], glue: str) -> list[bytes] | None:
+        """The ids of part, joined by glue, of which each piece but the first must begin a new run of ids."""
+        ids = np.array(tok.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == line_end if glue else opens[ids])
+        if len(at) != len(part) - bool(glue):
+            return None
+        data, skip = ids.tobytes(), 4 * len(glue)
+        cuts = [-skip, *(at * 4).tolist(), 4 * len(ids)] if glue else [*(at * 4).tolist(), 4 * len(ids)]
+        return [data[a + skip : b] for a, b in zip(cuts, cuts[1:])]
+
     def chunks(new: list[str], most: int = 2000) -> Iterable:
-        """Most chunks hold no space after their first character: joined, they come apart again at the ids that begin with a space."""
-        out = []
-        for i in range(0, len(new), most):
-            part = new[i : i + most]
-            ids = np.array(tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(opens[ids])
-            if len(at) == len(part) and all(c.startswith(" ") and c.count(" ") == 1 for c in part):
-                cuts, data = [*(at * 4).tolist(), 4 * len(ids)], ids.tobytes()
-                out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-            else:  # white space or a special token beside a space
-                out += [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-        return out
+        """Chunks whose only space is their first character come apart again, once joined, at the ids that begin with a space; those without white space, at line ends between them."""
+        found = {}
+        spaced = [c for c in new if c[:1] == " " and c[1:].isprintable() and c.count(" ") == 1]
+        solid = [c for c in new if c and c.isprintable() and " " not in c]
+        for group, glue in ((spaced, ""), (solid, "\n")):
+            for i in range(0, len(group), most):
+                part = group[i : i + most]
+                found.update(zip(part, joined(part, glue) or ()))
+        rest = [c for c in new if c not in found]
+        for i in range(0, len(rest), most):
+            part = rest[i : i + most]
+            found.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False))))
+        return map(found.__getitem__, new)
 
     return chunks
 
 
-class ByteMemo(Memo):
-    """Of a new chunk, a word and what follows it are encoded apart, so that each word is merged once, whatever follows it."""
+class TokenTable:
+    """The ids of all chunks met so far, one after another, and where each chunk's begin."""
 
-    def add(self, new: set[str]) -> None:
-        cut = [(c, m) for c in new if (m := WORD.fullmatch(c))]
-        super().add(({x for _, m in cut for x in m.groups()} | new.difference(c for c, _ in cut)).difference(self))
-        self.update((c, self[m[1]] + self[m[2]]) for c, m in cut)
+    def __init__(self, encode: Callable[[list[str]], Iterable]):
+        self.encode = encode
+        self._empty()
+
+    def _empty(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def trim(self) -> None:
+        if len(self.rows) > CACHE:
+            self._empty()
+
+    def rows_of(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk in starts and sizes."""
+        new = sorted(set(chunks).difference(self.rows))
+        if new:
+            packed = list(self.encode(new))
+            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            sizes = np.array([len(p) // 4 for p in packed], np.int64)
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), np.uint32)])
+        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
 
 
 @cache
-def byte_memo(path: str) -> Memo:
-    return ByteMemo(byte_encoder(path), {"": b""})
+def token_table(path: str) -> TokenTable:
+    return TokenTable(byte_encoder(path))
 
 
-def encode_byte_level(texts: list[str], path: str) -> list[bytes]:
-    """ids of each text, as little-endian 32-bit numbers, as the tokenizers library gives them."""
-    memo = byte_memo(path)
-    parts = list(map(byte_chunks, texts))
-    memo.learn(set().union(*parts))
-    get = memo.__getitem__
-    return [b"".join(map(get, p)) for p in parts]
+@cache
+def uncuttable(path: str) -> str:
+    """A pattern of texts that may not be cut everywhere: with uneven spaces, special tokens or the mark of cuts."""
+    import json
+    import re as plain
+
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens") or []]
+    return "|".join([UNEVEN, CUT, *map(plain.escape, special)])
+
+
+def _encoded(chunks: pa.Array, table: TokenTable) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each chunk has) of chunks of cuttable texts: cut further, each distinct piece looked up once."""
+    for pattern in CUTS:
+        chunks = pc.replace_substring_regex(chunks, pattern, CUT.join(rf"\{k + 1}" for k in range(pattern.count(")"))))
+    cut = pc.split_pattern(chunks, CUT)
+    pieces = cut.values.dictionary_encode()
+    rows = table.rows_of(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+    sizes = table.sizes[rows]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return table.ids[ranges(table.starts[rows], sizes)], np.diff(upto[cut.offsets.to_numpy()])
+
+
+def encode_byte_level(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after another; how many each text has) as the tokenizers library gives them. A null text has none.
+
+    Arrow cuts the texts at single spaces and finds the distinct words, and cuts those further, so that Python handles
+    each distinct piece once.
+    """
+    table = token_table(path)
+    table.trim()
+    texts = pc.fill_null(texts, "")
+    plain = pc.invert(pc.match_substring_regex(texts, uncuttable(path))).to_numpy(zero_copy_only=False)
+    even = texts.filter(pa.array(plain))
+    cut = pc.split_pattern(even, " ")
+    words, ends = cut.values.dictionary_encode(), cut.offsets.to_numpy().astype(np.int64)
+    spaced = pc.binary_join_element_wise("", words.dictionary, " ")
+    # the first word of a text has no space before it
+    ids, sizes = _encoded(pa.concat_arrays([spaced, cut.values.take(pa.array(ends[:-1]))]), table)
+    rows = words.indices.to_numpy().astype(np.int64)
+    rows[ends[:-1]] = len(spaced) + np.arange(len(even))
+    each = np.diff(ends)
+    if not plain.all():
+        parts = list(map(byte_chunks, texts.filter(pa.array(~plain)).to_pylist()))
+        more = table.rows_of([c for p in parts for c in p])
+        own, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        n[plain], n[~plain] = each, list(map(len, parts))
+        own[plain], own[~plain] = ends[:-1], len(rows) + np.cumsum(n[~plain]) - n[~plain]
+        rows, each = np.concatenate([rows, len(sizes) + np.arange(len(more))])[ranges(own, n)], n
+        ids = np.concatenate([ids, table.ids[ranges(table.starts[more], table.sizes[more])]])
+        sizes = np.concatenate([sizes, table.sizes[more]])
+    starts, sizes = (np.cumsum(sizes) - sizes)[rows], sizes[rows]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[ranges(starts, sizes)], np.diff(upto[np.concatenate([[0], np.cumsum(each)])])
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0] to starts[0] + sizes[0] - 1, then those of the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 # --- pieces with a mark for each space ------------------------------------------------------------------------------

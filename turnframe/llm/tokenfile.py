@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,11 @@ from turnframe.llm.common import shared_folder
 
 VOCABULARY, N_IDS, END = "byte_bpe_50k.json", 50257, 0
 #: A segment is closed once it holds this many ids; one document is never split over two.
-SEGMENT = 4_000_000
-#: Texts are encoded so many at a time.
-TEXTS = 500
+SEGMENT = 16_000_000
+#: Bytes of text that a shard aims at: many blocks side by side are coded in less time, and two segments fit into memory.
+SHARD_BYTES = 40_000_000
+#: Texts are encoded so many bytes at a time, and one at least.
+TEXT_BYTES = 8_000_000
 ROWS = "shard int, segment int, doc_ids array<long>, counts array<int>, data binary"
 
 
@@ -42,28 +45,30 @@ def _segments(path: str, end: int, n_ids: int):
         from pyspark import TaskContext
 
         shard, number = TaskContext.get().partitionId(), 0
-        tail = np.uint32(end).tobytes()
         doc_ids, counts, parts, total = [], [], [], 0
 
         def closed():
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             one = lambda x, t: pa.array([x], t)
             columns = [one(shard, pa.int32()), one(number, pa.int32()), one(doc_ids, pa.list_(pa.int64())), one(counts, pa.list_(pa.int32())), one(mixcoder.encode(ids, n_ids), pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_ids", "counts", "data"])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(first, TEXTS)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, packed in zip(part.column("doc_id").to_pylist(), encode_byte_level(texts, path)):
-                    doc_ids.append(doc_id)
-                    counts.append(len(packed) // 4 + 1)
-                    parts += [packed, tail]
-                    total += counts[-1]
-                    if total >= SEGMENT:
-                        yield closed()
-                        number += 1
-                        doc_ids, counts, parts, total = [], [], [], 0
+            texts = batch.column("text")
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < len(texts):
+                upto = max(first + 1, int(np.searchsorted(ends, TEXT_BYTES + (ends[first - 1] if first else 0), "right")))
+                ids, n = encode_byte_level(texts.slice(first, upto - first), path)
+                doc_ids += batch.column("doc_id").slice(first, upto - first).to_pylist()
+                counts += (n + 1).tolist()
+                parts.append(np.insert(ids, np.cumsum(n), end))
+                total += len(parts[-1])
+                first = upto
+                if total >= SEGMENT:
+                    yield closed()
+                    number += 1
+                    doc_ids, counts, parts, total = [], [], [], 0
         if doc_ids:
             yield closed()
 
@@ -72,8 +77,8 @@ def _segments(path: str, end: int, n_ids: int):
 
 def write_tokens(documents: DataFrame, folder: str, path: str | None = None, end: int = END, n_ids: int = N_IDS) -> None:
     """Writes the ids of documents (doc_id, text) to folder."""
-    spark = documents.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_segments(path or vocabulary_path(), end, n_ids), ROWS).write.parquet(folder)
 
