@@ -314,12 +314,50 @@ def test_mixing(spark):
     assert sum(n[i] for i, k in truth.items() if k == 2) <= 3 and all(n[i] >= 1 for i, k in truth.items() if k == 0)
     assert op9_mixing(df.limit(0), lab).collect() == []
     assert {round(r.p_high, 3) for r in op9_mixing(df, lab.limit(0)).collect()} == {round(1 / len(DOMAINS), 3)}
-    # the fit against a plain projected gradient on a small case
     members = spark.createDataFrame([(1, 10, [1.0, 0.0, 0.0]), (2, 30, [0.0, 1.0, 0.0]), (3, 20, [0.5, 0.5, 0.0])], "doc_id long, n_tokens long, p array<double>")
     rates = {r.doc_id: r.rate for r in fitted_rates(members, {"high": 0.5, "low": 0.5}, total=80).collect()}
     assert abs(10 * rates[1] + 10 * rates[3] - 40) < 0.1 and abs(30 * rates[2] + 10 * rates[3] - 40) < 0.1
 
 
+def test_rates_are_those_of_a_plain_projected_gradient(spark):
+    from turnframe.llm.mixing import GRID, fitted_rates
+
+    rng = np.random.default_rng(3)
+    q = rng.multinomial(GRID, [0.5, 0.3, 0.2], 200)
+    q[:60] = [GRID, 0, 0]  # a third of the rows in one cell
+    n = rng.integers(0, 500, 200)
+    members = spark.createDataFrame([(i, int(k), (row / GRID).tolist()) for i, (k, row) in enumerate(zip(n, q))], "doc_id long, n_tokens long, p array<double>")
+    for targets, total in (({"high": 0.7, "low": 0.3, "toxic": 0.0}, 20_000.0), ({"high": 0.2, "low": 0.5, "toxic": 0.3}, 30_000.0)):
+        got = np.array([r.rate for r in fitted_rates(members, targets, total).orderBy("doc_id").collect()])
+        p, rate = q / GRID, np.ones(200)
+        want, have = total * np.array([targets[d] for d in ("high", "low", "toxic")]), n @ p
+        for _ in range(60):  # row by row, without cells
+            rate = np.maximum(rate - p @ (((rate * n) @ p - want) / have), 0)
+        assert np.abs(got - rate).max() < 1e-3
+
+
+def test_targets_out_of_reach_are_told(spark):
+    from turnframe.llm.mixing import fitted_rates
+
+    members = spark.createDataFrame([(1, 10, [0.5, 0.5, 0.0])], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="not met"):
+        assert fitted_rates(members, {"high": 1.0}, total=10).first().rate > 0
+
+
+def test_classifier_chooses_at_the_optimum_of_all_terms(monkeypatch):
+    from turnframe.llm import mixing
+    from turnframe.llm.mixing import PENALTY, learn, softmax
+
+    monkeypatch.setattr(mixing, "RELAXED", 1.0)
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 40)) < rng.random(40)
+    y = np.where(x[:, 0], 2, np.where(x[:, 1] & x[:, 2], 1, 0))
+    doc, term = np.nonzero(x)
+    w, b = learn(y, doc, term, 40, 3)
+    g = x.T @ (softmax(x @ w + b) - np.eye(3)[y])
+    assert np.abs(g[w == 0]).max() <= 1.1 * PENALTY + 1e-6 and np.abs(g + PENALTY * np.sign(w))[w != 0].max() <= 0.15 * PENALTY
+
+
 def test_components(spark):
     from turnframe.llm.components import components
 

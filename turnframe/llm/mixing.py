@@ -2,13 +2,19 @@
 
 A classifier learnt from the label table gives each document a posterior over the domains. A document's rate is how often
 it is to be drawn; the rates are the nonnegative least-squares fit of the expected token totals of the domains (rate x
-tokens x posterior, summed) to their targets, found by projected gradient. Each step needs only the residual of each
-domain: a distributed sum over all documents brings back one number a domain, and a document's rate is the fold of all
-residuals so far, so no state is stored between the steps.
+tokens x posterior, summed) to their targets, found by projected gradient from rates of one.
+
+For the fit, posteriors come in steps of 1 / GRID: documents of one cell of the simplex have the same gradient in every step. The corpus is summed into cells once, a distributed aggregate; the steps then run over the cells, of
+which there are at most (GRID + 1)(GRID + 2) / 2 whatever the corpus. There are STEPS of them: what the corpus can meet is
+met by then, and a target that only the tails of the posteriors stand against, such as nothing toxic at all, has taken the
+documents that are likely toxic and not yet all that may be. A warning says how far from the targets a fit ends.
 
 Domains: toxic (toxic is 1), else high (quality is 1) or low (quality is 0). A label row with a null is no label; a document
-with several label rows trains with each. Training uses at most SAMPLE labelled rows (in expectation, chosen by a hash of
-doc_id); all else covers all rows and whole texts.
+with several label rows trains with each, and repeated rows train once. Training uses at most SAMPLE labelled rows (in
+expectation, chosen by hashes); all else covers all rows and whole texts.
+
+The classifier is a multinomial logistic one with an L1 penalty that lets a term in once it is off by PENALTY documents; a
+term in fewer has weight zero at the optimum, whatever its place, so it is left out beforehand without changing the fit.
 
 Rows: a null or empty text has no tokens; it gets a posterior and a rate like any other and adds nothing to the totals.
 Repeated rows each get their rate. Extra columns are ignored. Without labels all domains are equally likely; an empty table
@@ -17,101 +23,234 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import re
+import warnings
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import SPACE, written
+from turnframe.llm.common import join_rows, text_key, written
 
 DOMAINS = ["high", "low", "toxic"]
 #: Shares of the drawn tokens. The total is the least that needs no domain with a positive share to be thinned out.
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-#: The classifier sees the TERMS terms that tell the domains apart best (by chi square), of those in LEAST_DOCS labelled documents or more.
-SAMPLE, LEAST_DOCS, TERMS, STEM = 20_000, 3, 1 << 14, 6
-ANY = "<any>"
-#: Of the L1 norm: most words say nothing about a domain, and labels are noisy.
-REGULARISATION = 0.001
+SAMPLE, PENALTY, STEM = 20_000, 1.0, 6
+AT_ONCE = 100
+#: The chosen terms are fitted again with this part of the penalty: it chooses well, but shrinks too much for a posterior.
+RELAXED = 0.3
+GRID = 256
 STEPS, TOLERANCE = 60, 1e-4
 
+WORD, CAPITALS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+"), re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
+
+
+def terms_of(text: str | None) -> set[str]:
+    """Words in lower case and what stands between them, the first STEM letters of longer words, and a mark for capitals."""
+    text = text or ""
+    found = set(WORD.findall(text.lower()))
+    found |= {"^" + w[:STEM] for w in found if len(w) > STEM}
+    if CAPITALS.search(text):
+        found.add("<capitals>")
+    return found
+
+
+# --- the classifier -------------------------------------------------------------------------------------------------
+
+
+class _Docs:
+    """Documents as sets of terms: place by place the document and the term, columns centred."""
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, n_docs: int, n_terms: int):
+        self.doc, self.term, self.n_docs, self.n_terms = doc, term, n_docs, n_terms
+        self.mean = np.bincount(term, minlength=n_terms) / n_docs
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.doc, c[self.term], self.n_docs) for c in w.T], 1) - self.mean @ w
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.term, c[self.doc], self.n_terms) for c in r.T], 1) - np.outer(self.mean, r.sum(0))
+
+    def only(self, terms: np.ndarray) -> _Docs:
+        place = np.full(self.n_terms, -1)
+        place[terms] = np.arange(len(terms))
+        kept = place[self.term] >= 0
+        return _Docs(self.doc[kept], place[self.term[kept]], self.n_docs, len(terms))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _descend(x: _Docs, y: np.ndarray, w: np.ndarray, b: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated proximal gradient steps in columns of variance one, restarted where they turn back, until no gradient is off by a tenth of the penalty."""
+    s = 1 / np.sqrt(np.maximum(x.mean * (1 - x.mean), 1e-12))[:, None]
+    v = np.random.default_rng(0).normal(size=(x.n_terms, 1))
+    size = 1.0
+    for _ in range(20):
+        v = s * x.turned(x.times(s * v)) / x.n_docs
+        size = float(np.linalg.norm(v))
+        v /= max(size, 1e-12)
+    # centred columns are at right angles to the bias, so each has a step of its own
+    rate, rate_b, w = 1 / (0.55 * max(1.0, size)), 1 / 0.55, w / s
+    at, at_b, pace = w, b, 1.0
+    for k in range(steps):
+        off = (softmax(x.times(s * at) + at_b) - y) / x.n_docs
+        g = x.turned(off)
+        if at is w and max(np.max(np.where(w != 0, np.abs(g + penalty * np.sign(w)), np.maximum(np.abs(g) - penalty, 0)), initial=0), np.abs(off.sum(0)).max()) < penalty / 10:
+            break
+        z = at - rate * s * g
+        new, new_b = np.sign(z) * np.maximum(np.abs(z) - rate * penalty * s, 0), at_b - rate_b * off.sum(0)
+        turns = np.sum((at - new) * (new - w)) + np.sum((at_b - new_b) * (new_b - b)) > 0
+        ahead = 1.0 if turns else (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        push = 0.0 if turns or (k + 1) % 20 == 0 else (pace - 1) / ahead
+        at, at_b = (new, new_b) if push == 0 else (new + push * (new - w), new_b + push * (new_b - b))
+        w, b, pace = new, new_b, ahead
+    return w * s, b
+
 
-def terms(text: Column) -> Column:
-    """Distinct words in lower case without what surrounds them, their first STEM letters, what surrounds them, a mark for capitals, and a term that every text has."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\s]+)", " $1 ")
-    words = F.array_distinct(F.split(F.lower(spaced), r"\s+"))
-    stems = F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))
-    capitals = F.when(F.rlike(spaced, F.lit(r"\b\p{Lu}{2,}\b")), F.array(F.lit("<capitals>"))).otherwise(F.array())
-    return F.array_remove(F.array_distinct(F.concat(words, stems, capitals, F.array(F.lit(ANY)))), "")
+def learn(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, n_terms: int, n_classes: int, strength: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """(weights: terms x classes, bias). Terms whose gradients break the bound join the fit, AT_ONCE at a time, until none does, so the optimum is that over all terms."""
+    n, penalty = len(labels), strength / len(labels)
+    y = np.eye(n_classes)[labels]
+    every = _Docs(doc, term, n, n_terms)
+    w, b = np.zeros((n_terms, n_classes)), np.log(np.maximum(y.mean(0), 1e-9))
+    active = np.zeros(n_terms, bool)
+    while True:
+        g = np.abs(every.turned((softmax(every.times(w) + b) - y) / n)).max(1)
+        late = np.flatnonzero(~active & (g > penalty * 1.1))
+        if not len(late):
+            break
+        active[late[np.argsort(-g[late], kind="stable")[:AT_ONCE]]] = True
+        own = np.flatnonzero(active)
+        w[own], b = _descend(every.only(own), y, w[own], b, penalty)
+    own = np.flatnonzero(np.abs(w).sum(1) > 0)
+    w[own], b = _descend(every.only(own), y, w[own], b, penalty * RELAXED)
+    return w, b - every.mean @ w
+
+
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, terms) of the sample, in one task, to (term, w): the terms with weights, and as a null term the bias."""
+    labels, sizes, flat = [], [], []
+    for batch in batches:
+        labels.append(batch.column("label").to_numpy())
+        sizes.append(np.diff(batch.column("terms").offsets.to_numpy()))
+        flat.append(batch.column("terms").flatten())
+    labels = np.concatenate(labels) if labels else np.zeros(0, int)
+    present = np.unique(labels)
+    if len(present) < 2:
+        return
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    term, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(labels)), np.concatenate(sizes))
+    # the gradient of a term is at most the documents that have it, or lack it
+    n = np.bincount(term, minlength=len(coded.dictionary))
+    able = np.flatnonzero(n > PENALTY)
+    place = np.full(len(n), -1)
+    place[able] = np.arange(len(able))
+    kept = place[term] >= 0
+    w, b = learn(np.searchsorted(present, labels), doc[kept], place[term[kept]], len(able), len(present))
+    full = np.full((len(able) + 1, len(DOMAINS)), 0.0)
+    full[-1] = -np.inf
+    full[:-1, present], full[-1, present] = w, b
+    some = np.append(np.flatnonzero(np.abs(w).sum(1) > 0), len(able))
+    names = [*coded.dictionary.take(pa.array(able[some[:-1]])).to_pylist(), None]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(full[some]), pa.list_(pa.float64()))], ["term", "w"])
+
+
+def taught(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(label, terms) of at most `sample` labelled rows, in expectation; a written table."""
+    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
+    usable = labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", domain.alias("label")).distinct()
+    usable = _sampled(written(usable, "labels"), sample, "doc_id", "label")
+    # the first choice bounds the labels and the second the rows, should a labelled doc_id have many texts
+    rows = documents.select("doc_id", "text").join(written(usable, "labelled"), "doc_id").withColumn("_key", text_key(F.col("text")))
+    met = written(rows.groupBy("doc_id", "label", "_key").agg(F.first("text").alias("text")), "rows")
 
+    @F.pandas_udf("array<string>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(terms_of(t)) for t in texts], dtype=object)
 
-def n_tokens(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")).cast("long")
+    return written(_sampled(met, sample, "doc_id", "_key", "label").select("label", terms("text").alias("terms")), "taught")
 
 
-def telling_terms(taught: DataFrame, counts: dict[int, int]) -> list[str]:
-    """The terms of taught (label, terms) whose presence depends most on the label: TERMS at most, whatever the input. counts: documents of each label."""
-    total = sum(counts.values())
-    each = taught.select("label", F.explode("terms").alias("term")).groupBy("term")
-    found = each.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in counts]).where((F.col("n") >= LEAST_DOCS) & (F.col("n") < total))
-    off = [F.pow(F.col(f"n{k}") - F.col("n") * of / total, F.lit(2)) / (F.col("n") * of / total * (1 - F.col("n") / total)) for k, of in counts.items()]
-    return [r.term for r in found.orderBy(sum(off[1:], off[0]).desc(), "term").limit(TERMS).select("term").collect()]
+def _sampled(rows: DataFrame, sample: int, *by: str) -> DataFrame:
+    n = rows.count()
+    return rows if n <= sample else rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int((1 << 30) * sample / n))
 
 
 def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, _key, n_tokens, p): p is the posterior of DOMAINS, for every row."""
-    from turnframe.llm.common import text_key
+    model = {r.term: np.array(r.w) for r in taught(documents, labels, sample).coalesce(1).mapInArrow(_learnt, "term string, w array<double>").collect()}
+    bias = model.pop(None, np.zeros(len(DOMAINS)))
+    if not model and labels.limit(1).count():  # nothing tells them apart
+        seen = taught(documents, labels, sample).select("label").distinct().collect()
+        if len(seen) == 1:
+            bias = np.where(np.arange(len(DOMAINS)) == seen[0].label, 0.0, -np.inf)
 
-    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
-    usable = labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", domain.cast("double").alias("label"))
-    n = usable.count()
-    if n > sample:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    usable = written(usable, "labelled")  # at most the sample: small enough to be broadcast by its size
-    taught = written(documents.select("doc_id", "text").join(usable, "doc_id").select("label", terms(F.col("text")).alias("terms")), "taught")
-    counts = {int(r.label): r["count"] for r in taught.groupBy("label").count().collect()}
-    classes = sorted(counts)
-    rows = documents.select("doc_id", text_key(F.col("text")).alias("_key"), n_tokens(F.col("text")).alias("n_tokens"), "text")
-    if len(classes) < 2:
-        flat = [1.0 / len(DOMAINS)] * len(DOMAINS) if not classes else [float(k == classes[0]) for k in range(len(DOMAINS))]
-        return rows.drop("text").withColumn("p", F.array(*map(F.lit, flat)))
-    seen = CountVectorizerModel.from_vocabulary(telling_terms(taught, counts) or [ANY], inputCol="terms", outputCol="features")
-    seen.setBinary(True)
-    model = LogisticRegression(family="multinomial", regParam=REGULARISATION, elasticNetParam=1.0, maxIter=100, tol=1e-6).fit(seen.transform(taught).select("label", "features"))
-    scored = model.transform(seen.transform(rows.select("doc_id", "_key", "n_tokens", terms(F.col("text")).alias("terms"))))
-    found = vector_to_array("probability")
-    return scored.select("doc_id", "_key", "n_tokens", found.alias("found")).select("doc_id", "_key", "n_tokens", F.array(*[F.col("found")[k] if k < model.numClasses else F.lit(0.0) for k in range(len(DOMAINS))]).alias("p"))
-
-
-def _rate(residuals: list[list[float]]) -> Column:
-    """A document's rate after steps of these (scaled) residuals: each is projected on rates of at least zero."""
-    if not residuals:
-        return F.lit(1.0)
-    past = F.array(*[F.array(*map(F.lit, e)) for e in residuals])
-    dot = lambda e: F.aggregate(F.zip_with("p", e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(past, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
+    @F.pandas_udf("n_tokens long, p array<double>")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = model.keys()
+        for texts in parts:
+            n, z = np.zeros(len(texts), np.int64), np.tile(bias, (len(texts), 1))
+            for i, t in enumerate(texts):
+                if t:
+                    n[i] = len(t.encode("utf-8", "replace").split())  # of bytes: white space 9-13 and 32
+                for w in terms_of(t) & known:
+                    z[i] += model[w]
+            yield pd.DataFrame({"n_tokens": n, "p": pd.Series(list(softmax(z)), dtype=object)})
 
+    rows = documents.select("doc_id", text_key(F.col("text")).alias("_key"), scored("text").alias("s"))
+    return rows.select("doc_id", "_key", "s.n_tokens", "s.p")
+
+
+# --- the rates ------------------------------------------------------------------------------------------------------
 
-def fitted_rates(members: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, steps: int = STEPS) -> DataFrame:
-    """members (…, n_tokens, p) with rate. targets: shares of DOMAINS; total: of tokens.
+
+def fit(tokens: np.ndarray, p: np.ndarray, want: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """(rate of each cell, largest error as a share of its domain's tokens) by projected gradient from rates of one.
 
     A residual is scaled by its domain's tokens, which bounds the curvature by one, so that a step of one never overshoots.
     """
-    targets = targets or TARGETS
-    k = range(len(DOMAINS))
-    sums = lambda weight: members.agg(*[F.coalesce(F.sum(weight * F.col("n_tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in k]).first()
-    have = [x or 0.0 for x in sums(F.lit(1.0))]
-    share = [targets.get(d, 0.0) / (sum(targets.values()) or 1) for d in DOMAINS]
-    if total is None:
-        total = max((h / s for h, s in zip(have, share) if s > 0 and h > 0), default=0.0)
-    want, past, now = [total * s for s in share], [], have
+    have = tokens @ p
+    scale = np.where(have > 0, have, 1.0)
+    rate, worst = np.ones(len(tokens)), 0.0
     for _ in range(steps):
-        error = [(n - w) / h if h > 0 else 0.0 for n, w, h in zip(now, want, have)]
-        if max(map(abs, error), default=0) < TOLERANCE or past and max(abs(a - b) for a, b in zip(error, past[-1])) < TOLERANCE / 100:
+        error = ((rate * tokens) @ p - want) / scale * (have > 0)
+        worst = float(np.abs(error).max(initial=0))
+        new = np.maximum(rate - p @ error, 0)
+        if worst < TOLERANCE / 10 or np.abs(new - rate).max(initial=0) < 1e-9:
             break
-        past.append(error)
-        now = list(sums(_rate(past)))
-    return members.withColumn("rate", _rate(past))
+        rate = new
+    return rate, worst
+
+
+def fitted_rates(members: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, steps: int = STEPS) -> DataFrame:
+    """members (…, n_tokens, p) with rate. targets: shares of DOMAINS; total: of tokens."""
+    targets = targets or TARGETS
+    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    share = share / (share.sum() or 1)
+    first, second = F.rint(F.col("p")[0] * GRID).cast("int"), F.rint(F.col("p")[1] * GRID).cast("int")
+    celled = members.withColumn("cell", first * (GRID + 1) + F.least(second, GRID - first))
+    cells = written(celled.groupBy("cell").agg(F.sum(F.col("n_tokens").cast("double")).alias("tokens")), "cells")
+
+    def fits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_cells = pd.concat([pd.DataFrame({"cell": [], "tokens": []}), *parts])
+        cell, tokens = all_cells["cell"].to_numpy(np.int64), all_cells["tokens"].to_numpy(float)
+        p = np.stack([cell // (GRID + 1), cell % (GRID + 1), GRID - cell // (GRID + 1) - cell % (GRID + 1)], 1) / GRID
+        have = tokens @ p
+        goal = total if total is not None else max([h / s for h, s in zip(have, share) if s > 0 and h > 0], default=0.0)
+        rate, worst = fit(tokens, p, goal * share, steps)
+        yield pd.DataFrame({"cell": cell, "rate": rate, "worst": worst})
+
+    found = written(cells.coalesce(1).mapInPandas(fits, "cell int, rate double, worst double"), "rates")
+    worst = found.agg(F.max("worst")).first()[0] or 0.0
+    if worst > TOLERANCE:
+        warnings.warn(f"the targets are not met: a domain is off by {worst:.4f} of its tokens", stacklevel=2)
+    return celled.join(found.select("cell", "rate"), "cell").select(*members.columns, "rate")
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
@@ -123,8 +262,6 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
 def drawn(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """documents with each row as often as its copies say."""
-    from turnframe.llm.common import join_rows, text_key
-
     copies = mixed(documents, labels, targets).groupBy("doc_id", "_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
     marked = documents.withColumn("_key", text_key(F.col("text")))
     each = join_rows(marked, copies, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
