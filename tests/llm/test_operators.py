@@ -319,6 +319,55 @@ def test_mixing(spark):
     assert abs(10 * rates[1] + 10 * rates[3] - 40) < 0.1 and abs(30 * rates[2] + 10 * rates[3] - 40) < 0.1
 
 
+def test_language_against_plain_forward_sums(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    from turnframe.llm.langid import LETTERS, LONGEST, SMOOTH, UNKNOWN, _pieces, op7_langid, vocabulary_path
+
+    random.seed(21)
+    stems = {"en": ["the", "with", "house", "running"], "fr": ["maison", "être", "avec", "été"], "ja": ["日本語", "の", "文章です", "言語"]}
+    rows = [(i, " ".join(random.choices(stems[lang], k=random.randrange(1, 9))), lang) for i in range(120) for lang in [random.choice(list(stems))]]
+    rows += [(200, "日本語の文章です" * 20, "ja"), (201, "maison" * 30, None), (202, None, "en"), (203, "12 — !", "fr"), (204, "é́tat कि", "fr"), (5, rows[5][1], rows[5][2]), (None, "the house", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, pieces = _pieces(vocabulary_path())
+    known = {p: i for i, p in enumerate(pieces) if 0 < len(p) <= LONGEST and not (len(p) > 2 and p[0] == "<" and p[-1] == ">")}
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not out(i):
+            counts.setdefault(lang, Counter()).update(model.encode(" ".join(LETTERS.findall(text.lower()))))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + SMOOTH * len(pieces) for x in langs}
+
+    def log_sum(word, lang):
+        a = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = []
+            for k in range(1, min(LONGEST, end) + 1):
+                piece = word[end - k : end]
+                if piece in known:
+                    ways.append(a[end - k] + math.log((counts[lang][known[piece]] + SMOOTH) / total[lang]))
+                elif k == 1:
+                    ways.append(a[end - 1] + math.log(UNKNOWN))
+            top = max(ways)
+            a.append(top + math.log(sum(math.exp(w - top) for w in ways)))
+        return a[-1]
+
+    want = []
+    for i, text, _ in rows:
+        words = LETTERS.findall((text or "").lower())
+        sums = [sum(log_sum("▁" + w, x) for w in words) for x in langs]
+        best = max(range(len(langs)), key=lambda k: sums[k])
+        want.append((i, out(i), langs[best] if words else "und", 1 / sum(math.exp(s - sums[best]) for s in sums) if words else 0.0))
+    got = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in op7_langid(df).collect()]
+    order = lambda r: (str(r[0]), r[2], r[3])
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order)):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6
+
+
 def test_rates_are_those_of_a_plain_projected_gradient(spark):
     from turnframe.llm.mixing import GRID, fitted_rates
 

@@ -16,11 +16,14 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir; only where that is unset, as in tests, a local one is set."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; only where that is unset and Spark runs in one machine, a local one is made."""
+    ship(spark)
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="turnframe-")
-        shared_folder.own = top
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="turnframe-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/turnframe/{uuid.uuid4().hex}"
 
 

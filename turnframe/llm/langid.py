@@ -8,14 +8,16 @@ compared by the sums of its words' log probabilities.
 Training uses at most SAMPLE labelled rows (in expectation; a hash of doc_id chooses, so the choice does not depend on the
 partitions). Everything else covers all rows and whole texts.
 
-Rows: a null text, or one without a letter, is `und` with score 0. A null lang never trains. Words are runs of letters; a
-run of more than STRETCH letters is scored in stretches. Repeated rows each get a result; extra columns are ignored; an empty
+Rows: a null text, or one without a letter, is `und` with score 0. A null lang never trains. Words are runs of letters with
+their combining marks, of any length: the pass keeps the last LONGEST columns only, rescaled as it goes. Repeated rows each get a result; extra columns are ignored; an empty
 table gives an empty result, and a table with nothing to learn from is `und` throughout.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,14 +26,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnframe.llm.shipping import ship
+
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 20_000
-STRETCH, LONGEST = 24, 16
-LETTERS = re.compile(r"[^\W\d_]+")
+LONGEST = 16  # pieces of the vocabulary have no more characters
 MARK = "▁"
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters with their combining marks."""
+    marks = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for k, c in enumerate(marks) if not k or marks[k - 1] != c - 1]
+    stops = [c for k, c in enumerate(marks) if k + 1 == len(marks) or marks[k + 1] != c + 1]
+    some = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, stops))
+    return re.compile(rf"[^\W\d_]+(?:[{some}]+[^\W\d_]*)*")
+
+
+LETTERS = _letters()
 #: For a character that no piece covers, and added to every count.
 UNKNOWN, SMOOTH = 1e-9, 0.5
-CACHE, TEXTS = 300_000, 500
+CACHE, TEXTS = 100_000, 500
 
 
 def vocabulary_path() -> str:
@@ -92,6 +107,7 @@ class Forward:
 
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.probs = probs
+        self.powers = np.cumprod(np.full(LONGEST, self.BASE, np.uint64))
         keys, ids = [], []
         for i, p in enumerate(pieces):
             if 0 < len(p) <= LONGEST and not (p.startswith("<") and p.endswith(">") and len(p) > 2):
@@ -113,26 +129,34 @@ class Forward:
 
     def _score(self, words: list[str]) -> np.ndarray:
         """words of about equal length, mark included: words x languages."""
-        n, width = len(words), max(map(len, words))
-        chars = np.zeros((n, width), np.uint64)
+        n, width, langs = len(words), max(map(len, words)), self.probs.shape[1]
         sizes = np.array([len(w) for w in words])
-        flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width)
-        chars[:] = flat
-        alpha = np.zeros((width + 1, n, self.probs.shape[1]))
-        alpha[0] = 1.0
-        with np.errstate(over="ignore"):
-            for start in range(width):
-                h = np.zeros(n, np.uint64)
-                for end in range(start + 1, min(width, start + LONGEST) + 1):
-                    h = h * self.BASE + chars[:, end - 1] + np.uint64(1)
-                    at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                    hit = np.flatnonzero((self.keys[at] == h) & (sizes >= end))
-                    if len(hit):
-                        alpha[end][hit] += alpha[start][hit] * self.probs[self.ids[at[hit]]]
-                    if end == start + 1:
-                        missing = np.flatnonzero((self.keys[at] != h) & (sizes >= end))
-                        alpha[end][missing] += alpha[start][missing] * UNKNOWN
-        return np.log(alpha[sizes, np.arange(n)])
+        chars = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width).astype(np.uint64)
+        # hashes[:, i] is that of the first i characters; last[:, k] the sum over segmentations of all but k characters
+        hashes, last = np.zeros((n, width + 1), np.uint64), np.zeros((n, LONGEST, langs))
+        last[:, 0], scale, out = 1.0, np.zeros(n), np.zeros((n, langs))
+        with np.errstate(over="ignore", divide="ignore"):
+            for end in range(1, width + 1):
+                hashes[:, end] = hashes[:, end - 1] * self.BASE + chars[:, end - 1] + np.uint64(1)
+                k = min(end, LONGEST)
+                h = hashes[:, end, None] - hashes[:, end - k : end][:, ::-1] * self.powers[:k]  # of the last 1, 2, … characters
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                rows, sizes_hit = np.nonzero(self.keys[at] == h)
+                now = np.zeros((n, langs))
+                terms = last[rows, sizes_hit] * self.probs[self.ids[at[rows, sizes_hit]]]
+                for lang in range(langs):
+                    now[:, lang] = np.bincount(rows, terms[:, lang], n)
+                alone = np.flatnonzero(self.keys[at[:, 0]] != h[:, 0])
+                now[alone] += last[alone, 0] * UNKNOWN
+                last[:, 1:] = last[:, :-1].copy()
+                last[:, 0] = now
+                done = np.flatnonzero(sizes == end)
+                out[done] = np.log(now[done]) + scale[done, None]
+                if end % 8 == 0:
+                    most = last.max(axis=(1, 2))
+                    last /= most[:, None, None]
+                    scale += np.log(most)
+        return out
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.memo)
@@ -141,18 +165,18 @@ class Forward:
             self.scores, new = self.scores[:0], words
         if not new:
             return
-        # stretches of long words share the rows of their word
-        cut = [(w, MARK + w[i : i + STRETCH] if i == 0 else w[i : i + STRETCH]) for w in new for i in range(0, len(w), STRETCH)]
-        cut.sort(key=lambda x: len(x[1]))
-        first = len(self.scores)
-        order = {w: first + i for i, w in enumerate(new)}
-        added = np.zeros((len(new), self.scores.shape[1]))
-        step = 4096
-        for i in range(0, len(cut), step):
-            part = cut[i : i + step]
-            np.add.at(added, [order[w] - first for w, _ in part], self._score([s for _, s in part]))
+        ordered = sorted(new, key=len)
+        added, first = [], 0
+        while first < len(ordered):
+            # about as many characters at a time, so that long words stand with few others
+            upto = first + 1
+            while upto < len(ordered) and upto - first < 4096 and (upto - first) * (len(ordered[upto]) + 1) < 100_000:
+                upto += 1
+            added.append(self._score([MARK + w for w in ordered[first:upto]]))
+            first = upto
+        order = {w: len(self.scores) + i for i, w in enumerate(ordered)}
         self.memo.update(order)
-        self.scores = np.vstack([self.scores, added])
+        self.scores = np.vstack([self.scores, *added])
 
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """texts (as words) x languages: sums of log probabilities."""
@@ -178,6 +202,7 @@ def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: st
     """documents with lang_pred and score, the posterior of lang_pred under equal priors; extra columns of these names are replaced."""
     import zlib
 
+    ship(documents.sparkSession)
     path = path or vocabulary_path()
     broad = documents.sparkSession.sparkContext.broadcast(probs.astype(np.float64))  # vocabulary times languages
     key = zlib.crc32(probs.tobytes())

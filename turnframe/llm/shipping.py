@@ -1,4 +1,4 @@
-"""Makes the package importable in Python workers where the launcher hasn't put it on PYTHONPATH."""
+"""Readies a session: the package is importable in Python workers, and their batches are small enough for long texts."""
 
 from __future__ import annotations
 
@@ -9,11 +9,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ROWS = 2000
 TOP = Path(__file__).resolve().parents[2]
 
 
 def ship(spark: SparkSession) -> None:
-    """Like --py-files: once for each context, and only where PYTHONPATH lacks the repository."""
+    """Like --py-files: once for each context, and only where PYTHONPATH lacks the repository.
+
+    Batches of rows between Spark and Python hold ROWS of them, unless the session has a size of its own: at Spark's
+    default of 10,000, a batch of documents and its copies would take most of a worker's memory.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     context = spark.sparkContext
     if str(TOP) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_turnframe_shipped", False):
         return
