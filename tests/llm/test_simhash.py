@@ -124,6 +124,15 @@ def test_documents_with_nulls_ties_copies_and_clashing_columns(spark):
     assert kept == sorted(set(want.values()))
 
 
+def test_rows_of_one_doc_id_are_one_node(spark):
+    random.seed(8)
+    a, b = (" ".join(random.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(2))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, "else"), (None, "lone"), (None, a)], "doc_id long, text string")
+    for settings in ({}, {"width": 5, "similarity": 0.8}):
+        got = {(r.doc_id, r.component_id) for r in near_duplicates(df, **settings).collect()}
+        assert got == {(3, 3), (5, 3), (9, 3), (7, 7), (None, None), (None, 3)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == [] and one_of_each(df).collect() == []

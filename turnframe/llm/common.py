@@ -57,3 +57,15 @@ def join_rows(a: DataFrame, b: DataFrame, how: str, *more: str) -> DataFrame:
     for c in on[1:]:
         same = same & (F.col(c) == F.col(f"_of_{c}"))
     return a.join(other, same, how).drop(*(f"_of_{c}" for c in on))
+
+
+def labelled(rows: DataFrame, known: DataFrame, key: str, label: str) -> DataFrame:
+    """rows with the label of their key, from known (key, label, n), n being how many rows have the key.
+
+    Keys with a thousandth of all rows or more are at most a thousand, so they are broadcast; the others are spread by the shuffle.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    heavy = known.where(F.col("n") * 1000 >= total).select(F.col(key).alias("_heavy"), F.col(label).alias("_label"))
+    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    rest = marked.where("_heavy is null").drop("_heavy", "_label").join(known.where(F.col("n") * 1000 < total).select(key, label), key)
+    return marked.where("_heavy is not null").drop("_heavy").withColumnRenamed("_label", label).unionByName(rest)

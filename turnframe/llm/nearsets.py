@@ -9,7 +9,7 @@ Groups are wanted, not pairs: every set is compared with the first of its bucket
 in its group yet. A large group of near copies so takes time in proportion to its rows.
 
 Rows: a null or wordless text has the empty set, and those are alike. Texts shorter than a shingle are one shingle. Rows
-with equal sets are one node. An empty table gives an empty result.
+with equal sets, or of one doc_id, are one node. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import written
+from turnframe.llm.common import labelled, written
 from turnframe.llm.components import components
 
 #: One row in SAMPLE is looked at for frequent shingles; those in OFTEN sampled rows or more are, at most MOST of them.
@@ -115,8 +115,11 @@ def alike_documents(documents: DataFrame, width: int, similarity: float) -> Data
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     sets = shingle_sets(documents, width)
-    least = written(sets.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    grouped = components(set_links(sets, similarity)).join(least, "node")
+    least = written(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    # rows of one doc_id are one node: a star over their sets
+    several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
+    same = sets.join(written(several.select("doc_id", "u"), "several"), "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    grouped = components(set_links(sets, similarity).union(same)).join(least, "node")
     first = grouped.groupBy("component").agg(F.min("least").alias("first"))
-    known = least.join(grouped.join(first, "component").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("component_id"))
-    return sets.select("doc_id", "node").join(known, "node").select("doc_id", "node", "component_id")
+    known = least.join(grouped.join(first, "component").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("component_id"), "n")
+    return labelled(sets.select("doc_id", "node"), written(known, "known"), "node", "component_id")

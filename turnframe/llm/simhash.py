@@ -7,7 +7,7 @@ exactly in at least two of the groups, so they share the cell of some pair of gr
 Manhattan bound is tested first and the Hamming distance last.
 
 Rows: a null or wordless text has fingerprint zero and links like any other. Exact copies meet once, as one fingerprint.
-Rows with the same doc_id are one node. Extra columns are ignored. An empty table gives an empty result.
+Rows with the same doc_id are one node, whatever their texts. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from turnframe.llm.common import written
+from turnframe.llm.common import labelled, written
 from turnframe.llm.components import components
 from turnframe.llm.nearsets import alike_documents
 
@@ -121,13 +121,16 @@ def near_duplicates(documents: DataFrame, distance: int = 2, cell: int = CELL, w
     if similarity is not None:
         return alike_documents(documents, width, similarity)
     docs = written(fingerprints(documents, width), "fingerprints")
-    nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(links(nodes, distance, cell)).withColumnRenamed("node", "fp")
+    nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    # rows of one doc_id are one node: a star over their fingerprints
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("last")).where("u <> last")
+    same = docs.join(written(several.select("doc_id", "u"), "several"), "doc_id").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
+    labels = components(links(nodes, distance, cell).union(same)).withColumnRenamed("node", "fp")
     grouped = labels.join(nodes, "fp")
     least = grouped.groupBy("component").agg(F.min("least").alias("first"))
     linked = grouped.join(least, "component").select("fp", "first")
-    known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return docs.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"), "n"), "known")
+    return labelled(docs, known, "fp", "component_id").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame, distance: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
