@@ -84,6 +84,18 @@ def test_repeated_rows_are_one_document_for_lines(spark):
     assert {r.n_dropped for r in op3_line_dedup(docs(spark, ["same line"] * 12)).collect()} == {1}
 
 
+def test_lines_of_repeated_rows_in_spark_and_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from turnframe.llm.linededup import OP3_SQL, op3_line_dedup
+
+    texts, ids = ["same line"] * 12 + ["other\nlast"] * 10 + ["other"] * 9, [1] * 12 + list(range(10, 20)) + [30] * 4 + [None] * 5
+    documents = pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "text": texts})  # noqa: F841  read by the SQL
+    want = duckdb.sql(OP3_SQL).fetchall()
+    assert values(op3_line_dedup(docs(spark, texts, ids)).collect(), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_runs_compact(spark):
     from turnframe.llm.linededup import LineRuns, lines
 
@@ -173,6 +185,14 @@ def test_warc(spark, tmp_path):
     assert len(again) == 120 and sum(r.record_type == "response" for r in again) == len({x[2] for x in plain.warc(pages)})
 
 
+def test_pages_without_id_revisit_like_others(spark):
+    from turnframe.llm.warc import op6_warc
+
+    df = spark.createDataFrame([(None, "u", "one"), (None, "v", "one"), (None, "u", "two"), (4, "u", "two"), (None, "w", "three")], "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in op6_warc(df).collect())
+    assert got == [("4", 3, "response", "None"), ("None", 3, "response", "None"), ("None", 3, "revisit", "4"), ("None", 3, "revisit", "None"), ("None", 5, "response", "None")]
+
+
 def test_archives_are_warc_files(spark, tmp_path):
     import glob
     import gzip

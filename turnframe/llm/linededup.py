@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from turnframe.llm.common import ascii_lower, join_rows, text_key, written
 
 HASH = ["h1", "h2"]
-BATCHES, FANOUT = 4, 3
+BATCHES, FANOUT = 8, 2
 
 
 def line_key(line: Column) -> Column:
@@ -149,11 +149,11 @@ def op3_line_dedup(documents: DataFrame) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT r, doc_id, i, ls[i] AS line,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, t, i, ls[i] AS line,
         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
       FROM (SELECT *, unnest(generate_series(1, len(ls))) AS i FROM d)),
-f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT {'i': doc_id, 't': t}) >= 10),
 m AS (SELECT l.*, f.k IS NOT NULL AS gone FROM l LEFT JOIN f ON l.k = f.k)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, cast(count(*) FILTER (gone) AS bigint) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256

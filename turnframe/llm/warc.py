@@ -54,14 +54,14 @@ def resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     of = head.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("ids"))
     several = written(of.where("n > 1").select("digest", "first", (F.col("n") > F.col("ids")).alias("repeats")), "several")
     # a broadcast only where Spark finds the table of repeated digests small
-    joined = head.join(several, "digest", "left")
+    joined = head.join(several.withColumn("shared", F.lit(True)), "digest", "left")
     if several.where("repeats").limit(1).count():
         # rows of a page that repeat: any one of them is the response
         own = Window.partitionBy("digest", "page_id").orderBy("url")
         joined = joined.withColumn("again", F.when(F.coalesce("repeats", F.lit(False)), F.row_number().over(own)).otherwise(1))
     else:
         joined = joined.withColumn("again", F.lit(1))
-    first = (F.col("first").isNull()) | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("again") == 1))
+    first = (F.col("shared").isNull()) | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("again") == 1))
     return joined.select("page_id", "url", "html", "digest", "payload_bytes", F.when(~first, F.col("first")).alias("refers_to"), (~first).alias("revisits"))
 
 
