@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from turnframe.plans import more  # noqa: F401
+from turnframe.plans import more, rest  # noqa: F401
 from turnframe.plans import queries as own
 
 SF = "/root/testdata/sf0.001"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, fields, replace
 
 
@@ -67,3 +68,9 @@ def load_settings(path: str, explicit: bool = True) -> dict:
     if not isinstance(found, dict):
         raise ValueError(f"{path} is not a mapping")
     return found
+
+
+def env_flag(name: str, default: bool) -> bool:
+    """A default from the environment: only "1" is true, and a name that is not set leaves the default."""
+    raw = os.environ.get(name)
+    return default if raw is None else raw == "1"

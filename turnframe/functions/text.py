@@ -98,3 +98,18 @@ def powerset_slots(classes: Column, slots: int, most: int) -> Column:
 
 def frame_centres(n: Column, step: float) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i + 0.5) * step)
+
+
+#: Seconds between two ticks of a time axis.
+TICKS = [0.1, 0.2, 0.5, 1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 1800, 3600]
+
+
+def tick_step(span: Column, width: int, least: int = 90) -> Column:
+    """The first step whose ticks lie at least so many pixels apart on an axis of span seconds, else two hours."""
+    steps = F.array(*[F.lit(float(s)) for s in TICKS])
+    return F.coalesce(F.get(F.filter(steps, lambda s: s / span * width >= least), 0), F.lit(7200.0))
+
+
+def count_or_length(tokens: Column, text: Column) -> Column:
+    """The number of tokens or, where no tokenizer has counted them, of characters."""
+    return F.coalesce(tokens.cast("long"), F.length(text).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +54,34 @@ def post_merge_map(clusters: DataFrame, least_duration: float, least_similarity:
     return best.where(F.col("m.similarity") >= least_similarity).select("uri", "absorbed", (-F.col("m.minus")).alias("survivor"), F.col("m.similarity").alias("similarity"))
 
 
-def merge_closure(merges: DataFrame, most: int = 20) -> DataFrame:
+def merge_closure(merges: DataFrame, most: int = 40) -> DataFrame:
     """(uri, absorbed, survivor): chains of merges (uri, absorbed, survivor) followed to their end, by doubling: k rounds reach 2 ** k steps.
 
-    A cycle has no end; its members are left where `most` rounds took them.
+    A merge into itself stays as it is. A cycle of several has no end and raises ValueError.
     """
-    now = merges.select("uri", "absorbed", "survivor")
+    selves = merges.where("absorbed = survivor").select("uri", "absorbed", "survivor")
+    now = _cut(merges.where("absorbed <> survivor").select("uri", "absorbed", "survivor"))
     for _ in range(most):
         step = now.select("uri", F.col("absorbed").alias("survivor"), F.col("survivor").alias("next"))
-        moved = now.join(step, ["uri", "survivor"], "left").select("uri", "absorbed", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved"))
-        now = moved.drop("moved").checkpoint() if _has_checkpoints(merges) else moved.drop("moved")
-        if not moved.where("moved and absorbed <> survivor").limit(1).count():
+        moved = _cut(now.join(step, ["uri", "survivor"], "left").select("uri", "absorbed", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
+        now = moved.drop("moved")
+        state = moved.agg(F.count_if("moved"), F.count_if(F.col("absorbed") == F.col("survivor"))).first()
+        if state[1]:
             break
-    return now
+        if not state[0]:
+            return now.union(selves)
+    raise ValueError("merges form a cycle")
 
 
-def _has_checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder for checkpoints; Spark on one machine gets one if none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnframe-"))
+    return df.checkpoint()
 
 
 def closure_sql(view: str) -> str:
@@ -81,6 +94,11 @@ def closure_sql(view: str) -> str:
     SELECT uri, absorbed, max_by(survivor, depth) AS survivor FROM walk GROUP BY uri, absorbed"""
 
 
+def present(vectors: DataFrame, turns: DataFrame) -> DataFrame:
+    """vectors (uri, cluster, …) of the speakers that have a turn (uri, spk)."""
+    return vectors.join(turns.select("uri", F.col("spk").alias("cluster")), ["uri", "cluster"], "left_semi")
+
+
 def relabelled(turns: DataFrame, closure: DataFrame) -> DataFrame:
     """turns (uri, spk, …) with every speaker replaced by its survivor; the intervals are not merged again."""
     names = closure.select("uri", F.col("absorbed").alias("spk"), "survivor")

@@ -124,9 +124,10 @@ def interpolated(points: DataFrame, anchors: DataFrame) -> DataFrame:
     rows = points.select("uri", "id", "t", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("to"))
     rows = rows.union(anchors.select("uri", F.lit(None).cast("long"), "t", F.col("t"), "to"))
     back = Window.partitionBy("uri").orderBy("t", F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("uri").orderBy("t", F.col("at").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    near = lambda c, w, f: f(c, ignorenulls=True).over(w)
-    found = rows.withColumns({"t0": near("at", back, F.last), "x0": near("to", back, F.last), "t1": near("at", ahead, F.first), "x1": near("to", ahead, F.first)}).where("id is not null")
+    # looking ahead is looking back in turned order: a frame that ends at the row is not read anew for each row
+    ahead = Window.partitionBy("uri").orderBy(F.col("t").desc(), F.col("at").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    found = rows.withColumns({"t0": near("at", back), "x0": near("to", back), "t1": near("at", ahead), "x1": near("to", ahead)}).where("id is not null")
     between = F.col("x0") + (F.col("t") - F.col("t0")).cast("double") * (F.col("x1") - F.col("x0")) / (F.col("t1") - F.col("t0"))
     mapped = F.when(F.col("t0") == F.col("t1"), F.col("x0").cast("double")).when(F.col("t0").isNotNull() & F.col("t1").isNotNull(), between).otherwise(F.coalesce(F.col("t") + F.col("x0") - F.col("t0"), F.col("t") + F.col("x1") - F.col("t1"), F.col("t")).cast("double"))
     return found.select("uri", "id", "t", mapped.alias("mapped"))
@@ -157,7 +158,7 @@ def extended_zones(excluded: DataFrame, lexemes: DataFrame, segments: DataFrame,
         rows = rows.union(merged.select("uri", F.col(side), F.lit(kind), F.lit(0), no, no, F.col("s")))
     order = Window.partitionBy("uri").orderBy("t", "kind")
     till = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    since = Window.partitionBy("uri").orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    since = Window.partitionBy("uri").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.withColumns({"open": F.sum("d").over(till), "back": F.max("back").over(till), "ahead": F.min("ahead").over(since)}).where("kind > 0")
     start = F.when(F.col("open") > 0, F.col("t")).otherwise(F.greatest(F.coalesce("back", F.col("t") - most), F.col("t") - most))
     end = F.when(F.col("open") > 0, F.col("t")).otherwise(F.least(F.coalesce("ahead", F.col("t") + most), F.col("t") + most))

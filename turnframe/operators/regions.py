@@ -80,3 +80,9 @@ def top_overlapped(frames: DataFrame, most: int = 2) -> DataFrame:
     found = with_overlap(frames).where("act = 1 and overlap").groupBy(*SLOT).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("uri", "chunk").orderBy(F.col("n").desc(), "slot")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def window_summary(frames: DataFrame) -> DataFrame:
+    """(uri, chunk, frames, slots, least, most, mean, active): what a window's scores look like, for a debug log; numbers with six decimals."""
+    found = frames.groupBy("uri", "chunk").agg(F.count_distinct("frame").alias("frames"), F.count_distinct("slot").alias("slots"), F.min("act").alias("least"), F.max("act").alias("most"), F.avg("act").alias("mean"), F.count_if(F.col("act") > 0).alias("active"))
+    return found.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("least", "most", "mean")})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnframe.functions.matching import assign
-from turnframe.operators.intervals import clipped, extent, overlap_join, overlap_seconds
+from turnframe.operators.intervals import clipped, contained, extent, holds_midpoint, overlap_join, overlap_seconds
 
 
 def _map_recording(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,3 +153,16 @@ def reference_match(sys_files: DataFrame, ref_files: DataFrame, suffix: str = ""
     stem = lambda p: F.regexp_replace(F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]*$", ""), f"{suffix}$" if suffix else "^$", "")
     refs = ref_files.select(stem(F.col("path")).alias("uri"), "path").groupBy("uri").agg(F.min("path").alias("ref_path"))
     return sys_files.select("path", stem(F.col("path")).alias("uri")).join(refs, "uri", "left").select("path", "uri", "ref_path", F.when(F.col("ref_path").isNull(), "no reference").alias("reason"))
+
+
+def evaluated_words(words: DataFrame, uem: DataFrame) -> DataFrame:
+    """words (uri, id, type, s, e) without the lexemes whose midpoint lies in no part of uem; other types stay."""
+    inside = holds_midpoint(words.where("type = 'LEXEME'"), uem).where("inside").select("uri", "id")
+    return words.where("type <> 'LEXEME'").union(words.where("type = 'LEXEME'").join(inside, ["uri", "id"], "left_semi").select(*words.columns))
+
+
+def evaluated_metadata(marks: DataFrame, uem: DataFrame, kind: str, width: int) -> DataFrame:
+    """marks (uri, id, type, mapped, s, e) without those of the type that are neither mapped nor inside one part of uem."""
+    asked = (F.col("type") == kind) & ~F.coalesce("mapped", F.lit(False))
+    kept = contained(marks.where(asked), uem, width)
+    return marks.where(~asked).unionByName(kept.select(*marks.columns))

@@ -46,11 +46,11 @@ def early_closed(turns: DataFrame, commits: DataFrame, gap: int | float) -> Data
     """(uri, spk, s, e, closed_at): merged turns with the first commit_end of the recording that lies more than `gap` behind their end.
 
     A turn is final once that much has been committed; closed_at is null where only the end of the recording closes it.
-    commits: (uri, commit_end). An as-of lookup: union and a following minimum, no range join.
+    commits: (uri, commit_end). An as-of lookup: union and a running minimum from the end, no range join.
     """
     merged = gap_merge(turns, gap).select("uri", "spk", "s", "e", (F.col("e") + gap).alias("t"), F.lit(None).cast("long").alias("c"))
     marks = commits.select("uri", F.lit(None).cast("long").alias("spk"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), F.col("commit_end").alias("t"), F.col("commit_end").alias("c"))
-    order = Window.partitionBy("uri").orderBy(F.col("t"), F.col("c").isNotNull().desc()).rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy("uri").orderBy(F.col("t").desc(), F.col("c").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     return merged.union(marks).withColumn("closed_at", F.min("c").over(order)).where("c is null").select("uri", "spk", "s", "e", "closed_at")
 
 

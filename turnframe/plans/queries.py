@@ -437,8 +437,7 @@ def _merges(spark, d):
 
 @query(_recursive(with_views("obs", body=WALK + " SELECT * FROM cls")))
 def merge_closure(spark, d):
-    _merges(spark, d).createOrReplaceTempView("merges_in")
-    return spark.sql(cl.closure_sql("merges_in"))
+    return cl.merge_closure(_merges(spark, d))
 
 
 @query(_recursive(with_views("obs", body=WALK + " SELECT o.uri, coalesce(survivor, label) AS spk, chunk, local FROM obs o LEFT JOIN cls ON o.uri = cls.uri AND label = absorbed")))

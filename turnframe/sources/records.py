@@ -143,3 +143,29 @@ def byte_range(content, header: str):
     first = F.lit(int(m[1])) if m[1] else F.greatest(n - int(m[2]), F.lit(0))
     last = F.least(F.lit(int(m[2])), n - 1) if m[1] and m[2] else n - 1
     return F.when((first < n) & (last >= first), F.substring(content, first + 1, last - first + 1))
+
+
+EMBEDDINGS = ["uri", "embedding", "local_idx", "start", "end", "duration"]
+
+
+def write_embeddings(observations: DataFrame, path: str) -> None:
+    """Observations (uri, vec, local, s, e, duration) that have a vector, by recording; one without any gets no file."""
+    found = observations.where("vec is not null").select("uri", F.col("vec").alias("embedding"), F.col("local").cast("long").alias("local_idx"), F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), F.col("duration").cast("double").alias("duration"))
+    found.write.partitionBy("uri").mode("overwrite").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*EMBEDDINGS)
+
+
+def at_rate(segments: DataFrame, rate: int) -> tuple[DataFrame, DataFrame]:
+    """(segments, errors): those of sample_rate `rate`, and the others with an error, for a table of failures. A null rate is an error."""
+    right = F.coalesce(F.col("sample_rate") == rate, F.lit(False))
+    said = F.concat(F.lit("segment sample rate mismatch: "), F.coalesce("path", F.lit("?")), F.lit(" is "), F.coalesce(F.col("sample_rate").cast("string"), F.lit("unknown")), F.lit(f", expected {rate}"))
+    return segments.where(right), segments.where(~right).withColumn("error", said)
+
+
+def artifact_counts(paths: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, n): how many of paths (path) end as kinds (kind: ending) say; kinds without files have 0."""
+    counts = paths.agg(*[F.count_if(F.endswith("path", F.lit(end))).alias(kind) for kind, end in kinds.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])).alias("x")).select("x.kind", "x.n")
