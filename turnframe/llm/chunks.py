@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 500_000
+CACHE = 200_000
 
 
 class Memo(dict):

@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK = b"TFMX", 2, 8192
+MAGIC, VERSION, BLOCK = b"TFMX", 2, 4096
 #: Blocks that are coded side by side, at most.
 LANES = 4096
 GROUPS, SIDE, SIDE_BITS = 32, 32, 5

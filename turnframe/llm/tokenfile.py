@@ -26,11 +26,11 @@ from turnframe.llm.common import shared_folder
 
 VOCABULARY, N_IDS, END = "byte_bpe_50k.json", 50257, 0
 #: A segment is closed once it holds this many ids; one document is never split over two.
-SEGMENT = 16_000_000
+SEGMENT = 8_000_000
 #: Bytes of text that a shard aims at: many blocks side by side are coded in less time, and two segments fit into memory.
-SHARD_BYTES = 40_000_000
+SHARD_BYTES = 20_000_000
 #: Texts are encoded so many bytes at a time, and one at least.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 6_000_000
 ROWS = "shard int, segment int, doc_ids array<long>, counts array<int>, data binary"
 
 
@@ -71,6 +71,7 @@ def _segments(path: str, end: int, n_ids: int):
                     doc_ids, counts, parts, total = [], [], [], 0
         if doc_ids:
             yield closed()
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other stages
 
     return run
 
