@@ -49,6 +49,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def whole_rows(documents: DataFrame) -> DataFrame:
+    """(doc_id, _key, _row): rows with their columns in one struct, so that none clashes with what a join adds."""
+    return documents.select("doc_id", text_key(F.col("text")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+
+
 def join_rows(a: DataFrame, b: DataFrame, how: str, *more: str) -> DataFrame:
     """a joined with b on equal doc_id (nulls too), _key and further columns; of these, a's stay."""
     on = ["doc_id", "_key", *more]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import ascii_lower, join_rows, text_key, written
+from turnframe.llm.common import ascii_lower, join_rows, text_key, whole_rows, written
 
 #: What separates words: ASCII that is no letter or digit.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -145,9 +145,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """documents without the rows that hold a window of the benchmark."""
-    marked = documents.withColumn("_key", text_key(F.col("text")))
     hit = contamination(documents, benchmark, width).where("n_hit > 0").select("doc_id", "_key").distinct()
-    return join_rows(marked, hit, "left_anti").drop("_key")
+    return join_rows(whole_rows(documents), hit, "left_anti").select("_row.*")
 
 
 def op2_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -198,8 +198,8 @@ def _forward(path: str, key: int, probs: np.ndarray) -> Forward:
     return _READY[key]
 
 
-def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: str | None = None) -> DataFrame:
-    """documents with lang_pred and score, the posterior of lang_pred under equal priors; extra columns of these names are replaced."""
+def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """documents with lang_pred and score, the posterior of lang_pred under equal priors; names are theirs, and columns so named are replaced."""
     import zlib
 
     ship(documents.sparkSession)
@@ -225,23 +225,24 @@ def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: st
                     scores.append(float(1 / np.exp(sums[k] - sums[k][best]).sum()))
             yield pd.DataFrame({"lang_pred": preds, "score": scores})
 
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    return documents.withColumn("_said", predict("text")).select(*kept, "_said.lang_pred", "_said.score")
+    kept = [c for c in documents.columns if c not in names]
+    return documents.withColumn("_said", predict("text")).select(*kept, F.col("_said.lang_pred").alias(names[0]), F.col("_said.score").alias(names[1]))
 
 
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def identified(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identified(documents: DataFrame, sample: int = SAMPLE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """documents, each with lang_pred and score, by a model learnt from those that are not held out."""
     langs, probs = train(documents.where(~F.coalesce(held_out(), F.lit(False))), sample=sample)
-    return identify(documents, langs, probs)
+    return identify(documents, langs, probs, names=names)
 
 
 def accepted(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """documents without those that are `und` or whose language's posterior is below least."""
-    return identified(documents).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*documents.columns)
+    found = identified(documents, names=("_lang_pred", "_score"))
+    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*documents.columns)
 
 
 def op7_langid(documents: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import ascii_lower, join_rows, text_key, written
+from turnframe.llm.common import ascii_lower, join_rows, text_key, whole_rows, written
 
 HASH = ["h1", "h2"]
 BATCHES, FANOUT = 8, 2
@@ -132,16 +132,17 @@ def frequent_lines(documents: DataFrame, documents_at_least: int = 10, least: in
 def without_frequent_lines(documents: DataFrame, documents_at_least: int = 10, least: int = 1) -> DataFrame:
     """documents with n_lines (before), n_dropped and text cut to the lines that stay. Extra columns are kept."""
     drops = frequent_lines(documents, documents_at_least, least).withColumnRenamed("lines", "_lines")
-    marked = documents.withColumn("_key", text_key(F.col("text")))
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    joined = join_rows(marked, drops, "left").select(*[c for c in documents.columns if c not in ("n_lines", "n_dropped", "text")], all_lines.alias("_all"), "_lines")
+    all_lines = F.split(F.coalesce("_row.text", F.lit("")), "\n")
+    own = [F.col(f"_row.`{c}`") for c in documents.columns if c not in ("n_lines", "n_dropped", "text")]
+    joined = join_rows(whole_rows(documents), drops, "left").select("_row", all_lines.alias("_all"), "_lines")
     stay = F.when(F.col("_lines").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x, i: ~F.array_contains("_lines", i)))
-    return joined.select(
-        *[c for c in joined.columns if c not in ("_all", "_lines")],
+    found = joined.select(
+        "_row",
         F.size("_all").cast("long").alias("n_lines"),
         F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_dropped"),
         F.array_join(stay, "\n").alias("text"),
     )
+    return found.select(*own, "n_lines", "n_dropped", "text")
 
 
 def op3_line_dedup(documents: DataFrame) -> DataFrame:

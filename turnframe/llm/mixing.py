@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import join_rows, text_key, written
+from turnframe.llm.common import join_rows, text_key, whole_rows, written
 
 DOMAINS = ["high", "low", "toxic"]
 #: Shares of the drawn tokens. The total is the least that needs no domain with a positive share to be thinned out.
@@ -283,9 +283,8 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 def drawn(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """documents with each row as often as its copies say."""
     copies = mixed(documents, labels, targets).groupBy("doc_id", "_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    marked = documents.withColumn("_key", text_key(F.col("text")))
-    each = join_rows(marked, copies, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return each.select(*documents.columns)
+    each = join_rows(whole_rows(documents), copies, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return each.select("_row.*")
 
 
 def op9_mixing(documents: DataFrame, labels: DataFrame) -> DataFrame:
