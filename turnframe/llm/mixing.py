@@ -13,9 +13,9 @@ Domains: toxic (toxic is 1), else high (quality is 1) or low (quality is 0). A l
 with several label rows trains with each, and repeated rows train once. Training uses at most SAMPLE labelled rows (in
 expectation, chosen by hashes); all else covers all rows and whole texts.
 
-The classifier is a multinomial logistic one with an L1 penalty that lets a term in once it is off by PENALTY times the root
-of the sample's size, in documents: chance alone grows in this way. A term in fewer documents has weight zero at the optimum,
-so it is left out beforehand without changing the fit.
+The classifier is a multinomial logistic one with an L1 penalty that lets a term in once it is off, in documents, by PENALTY
+times the root of how many have it: chance alone grows in this way. A term in PENALTY squared documents or fewer has weight
+zero at the optimum, so it is left out beforehand without changing the fit.
 
 Rows: a null or empty text has no tokens; it gets a posterior and a rate like any other and adds nothing to the totals.
 Repeated rows each get their rate. Extra columns are ignored. Without labels all domains are equally likely; an empty table
@@ -39,7 +39,7 @@ from turnframe.llm.common import join_rows, text_key, whole_rows, written
 DOMAINS = ["high", "low", "toxic"]
 #: Shares of the drawn tokens. The total is the least that needs no domain with a positive share to be thinned out.
 TARGETS = {"high": 0.9, "low": 0.1, "toxic": 0.0}
-SAMPLE, PENALTY, STEM = 20_000, 0.025, 6
+SAMPLE, PENALTY, STEM = 20_000, 1.0, 6
 AT_ONCE, STEPS_ROUGH = 100, 60
 #: The chosen terms are fitted again with this part of the penalty: it chooses well, but shrinks too much for a posterior.
 RELAXED = 0.3
@@ -104,9 +104,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _scale(mean: np.ndarray) -> np.ndarray:
+    return 1 / np.sqrt(np.maximum(mean * (1 - mean), 1e-12))[:, None]
+
+
 def _descend(x: _Table, y: np.ndarray, w: np.ndarray, b: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Accelerated proximal gradient steps in columns of variance one, restarted where they turn back, until no gradient is off by a fifth of the penalty."""
-    s = 1 / np.sqrt(np.maximum(x.mean * (1 - x.mean), 1e-12))[:, None]
+    s = _scale(x.mean)
     v = np.random.default_rng(0).normal(size=(x.n_terms, 1))
     size = 1.0
     for _ in range(20):
@@ -118,11 +122,11 @@ def _descend(x: _Table, y: np.ndarray, w: np.ndarray, b: np.ndarray, penalty: fl
     at, at_b, pace = w, b, 1.0
     for k in range(steps):
         off = (softmax(x.times(s * at) + at_b) - y) / x.n_docs
-        g = x.turned(off)
+        g = s * x.turned(off)
         if at is w and max(np.max(np.where(w != 0, np.abs(g + penalty * np.sign(w)), np.maximum(np.abs(g) - penalty, 0)), initial=0), np.abs(off.sum(0)).max()) < penalty / 5:
             break
-        z = at - rate * s * g
-        new, new_b = np.sign(z) * np.maximum(np.abs(z) - rate * penalty * s, 0), at_b - rate_b * off.sum(0)
+        z = at - rate * g
+        new, new_b = np.sign(z) * np.maximum(np.abs(z) - rate * penalty, 0), at_b - rate_b * off.sum(0)
         turns = np.sum((at - new) * (new - w)) + np.sum((at_b - new_b) * (new_b - b)) > 0
         ahead = 1.0 if turns else (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         push = 0.0 if turns or (k + 1) % 20 == 0 else (pace - 1) / ahead
@@ -139,7 +143,7 @@ def learn(labels: np.ndarray, doc: np.ndarray, term: np.ndarray, n_terms: int, n
     w, b = np.zeros((n_terms, n_classes)), np.log(np.maximum(y.mean(0), 1e-9))
     active = np.zeros(n_terms, bool)
     while True:
-        g = np.abs(every.turned((softmax(every.times(w) + b) - y) / n)).max(1)
+        g = np.abs(_scale(every.mean) * every.turned((softmax(every.times(w) + b) - y) / n)).max(1)
         late = np.flatnonzero(~active & (g > penalty * 1.2))
         if not len(late):
             break
@@ -168,7 +172,7 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     term, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(labels)), np.concatenate(sizes))
     # the gradient of a term is at most the documents that have it, or lack it
     n = np.bincount(term, minlength=len(coded.dictionary))
-    able = np.flatnonzero(n > PENALTY * len(labels) ** 0.5)
+    able = np.flatnonzero(n > PENALTY**2)
     place = np.full(len(n), -1)
     place[able] = np.arange(len(able))
     kept = place[term] >= 0
