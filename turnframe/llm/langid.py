@@ -46,7 +46,7 @@ def _letters() -> re.Pattern:
 LETTERS = _letters()
 #: For a character that no piece covers, and added to every count.
 UNKNOWN, SMOOTH = 1e-9, 0.5
-CACHE, TEXTS = 100_000, 500
+CACHE, TEXTS, SLOT_BITS = 200_000, 500, 19
 
 
 def vocabulary_path() -> str:
@@ -113,8 +113,13 @@ class Forward:
             if 0 < len(p) <= LONGEST and not (p.startswith("<") and p.endswith(">") and len(p) > 2):
                 keys.append(self._hash_one(p))
                 ids.append(i)
-        order = np.argsort(np.array(keys, np.uint64))
-        self.keys, self.ids = np.array(keys, np.uint64)[order], np.array(ids)[order]
+        self.keys, self.ids = np.array(keys, np.uint64), np.array(ids)
+        # a key stands in the first free slot from its own on
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        for k, at in enumerate(self._slot(self.keys).tolist()):
+            while self.slots[at] >= 0:
+                at = (at + 1) % len(self.slots)
+            self.slots[at] = k
         self.memo: dict[str, int] = {}
         self.scores = np.zeros((0, probs.shape[1]))
 
@@ -127,6 +132,25 @@ class Forward:
             h = (h * int(cls.BASE) + ord(c) + 1) & (1 << 64) - 1
         return h
 
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in keys, or -1."""
+        flat = h.reshape(-1)
+        at = self._slot(flat)
+        found = self.slots[at]
+        todo = np.flatnonzero(found >= 0)
+        todo = todo[self.keys[found[todo]] != flat[todo]]
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(self.slots)
+            found[todo] = self.slots[at[todo]]
+            todo = todo[found[todo] >= 0]
+            todo = todo[self.keys[found[todo]] != flat[todo]]
+        return found.reshape(h.shape)
+
     def _score(self, words: list[str]) -> np.ndarray:
         """words of about equal length, mark included: words x languages."""
         n, width, langs = len(words), max(map(len, words)), self.probs.shape[1]
@@ -140,13 +164,13 @@ class Forward:
                 hashes[:, end] = hashes[:, end - 1] * self.BASE + chars[:, end - 1] + np.uint64(1)
                 k = min(end, LONGEST)
                 h = hashes[:, end, None] - hashes[:, end - k : end][:, ::-1] * self.powers[:k]  # of the last 1, 2, … characters
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                rows, sizes_hit = np.nonzero(self.keys[at] == h)
+                at = self._find(h)
+                rows, sizes_hit = np.nonzero(at >= 0)
                 now = np.zeros((n, langs))
                 terms = last[rows, sizes_hit] * self.probs[self.ids[at[rows, sizes_hit]]]
                 for lang in range(langs):
                     now[:, lang] = np.bincount(rows, terms[:, lang], n)
-                alone = np.flatnonzero(self.keys[at[:, 0]] != h[:, 0])
+                alone = np.flatnonzero(at[:, 0] < 0)
                 now[alone] += last[alone, 0] * UNKNOWN
                 last[:, 1:] = last[:, :-1].copy()
                 last[:, 0] = now
