@@ -50,3 +50,17 @@ def test_entry_imports_without_the_corpus_operators():
     code = "import sys; sys.modules['turnframe.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'turn_merge' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_entry_imports_where_the_folders_are_deleted(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "r", ignore=lambda d, names: [n for n in names if n in ("llm", "corpus_pipeline.py", ".git", "__pycache__")])
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'turn_merge' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert e.__file__.startswith(%r)" % str(tmp_path)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120, env=env)
+    broken = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", broken], cwd=root, timeout=120, env=env, capture_output=True).returncode != 0
