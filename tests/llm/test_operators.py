@@ -280,6 +280,29 @@ def test_coder_round_trips_and_checks():
         mixcoder.encode(np.array([5000], np.uint32), 5000)
 
 
+def test_coder_beats_order_0_and_zlib():
+    """Fewer bits an id than adaptive order-0 counts with the same resets, and than zlib without any."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    from turnframe.llm import mixcoder
+    from turnframe.llm.chunks import encode_byte_level
+    from turnframe.llm.tokenfile import vocabulary_path
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    ids = encode_byte_level(texts, vocabulary_path())[0]
+    ids = ids[: len(ids) // mixcoder.BLOCK * mixcoder.BLOCK]
+    bits, plain_bits = 8 * len(mixcoder.encode(ids, 50257)) / len(ids), 0.0
+    for block in ids.reshape(-1, mixcoder.BLOCK):
+        counts, new = {}, 0
+        for t, x in enumerate(block.tolist()):
+            n = counts.get(x, 0)  # an escape for each id that was new, then one of all ids
+            plain_bits -= np.log2(n / (t + new + 1)) if n else np.log2((new + 1) / (t + new + 1) / 50257)
+            counts[x], new = n + 1, new + (not n)
+    assert bits < 0.97 * plain_bits / len(ids) and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
 def test_token_counts(spark):
     import public_tokenizers
     import sentencepiece
