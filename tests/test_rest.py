@@ -61,3 +61,22 @@ def test_wrong_rates_are_set_apart(spark):
     good, bad = rc.at_rate(spark.createDataFrame([("x.wav", 16000), ("y.wav", 8000), (None, None)], "path string, sample_rate int"), 16000)
     assert [r.path for r in good.collect()] == ["x.wav"]
     assert sorted(r.error for r in bad.collect()) == ["segment sample rate mismatch: ? is unknown, expected 16000", "segment sample rate mismatch: y.wav is 8000, expected 16000"]
+
+
+def test_strict_types(spark):
+    from turnframe.sources import rttm
+
+    lines = lambda *x: spark.createDataFrame([(y,) for y in x], "line string")
+    got = rttm.parse_strict(lines("speaker f 1 1.0 2.0 <NA> <NA> a <NA>", "NO_RT_METADATA f 1 1.0 2.0 <NA> <NA> <NA> <NA>")).collect()
+    assert [r.type for r in got] == ["SPEAKER", "NO_RT_METADATA"]
+    for bad in ("LEXEME f 1 1.0 2.0 w <NA> a <NA>", "SPKR-INFO f 1 <NA> <NA> <NA> <NA> a <NA>"):
+        with pytest.raises(Exception, match="unknown subtype"):
+            rttm.parse_strict(lines(bad)).collect()
+
+
+def test_one_reference_is_for_one_file(spark):
+    from turnframe.operators import scoring as sc
+
+    files = spark.createDataFrame([("/s/a.rttm",), ("/s/b.rttm",)], "path string")
+    assert {(r.ref_path, r.reason) for r in sc.single_reference(files, "/r/x.rttm").collect()} == {(None, "a single reference for several files")}
+    assert [(r.uri, r.ref_path, r.reason) for r in sc.single_reference(files.limit(1), "/r/x.rttm").collect()] == [("a", "/r/x.rttm", None)]

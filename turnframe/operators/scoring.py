@@ -155,6 +155,13 @@ def reference_match(sys_files: DataFrame, ref_files: DataFrame, suffix: str = ""
     return sys_files.select("path", stem(F.col("path")).alias("uri")).join(refs, "uri", "left").select("path", "uri", "ref_path", F.when(F.col("ref_path").isNull(), "no reference").alias("reason"))
 
 
+def single_reference(sys_files: DataFrame, ref_path: str) -> DataFrame:
+    """reference_match where one file is the reference: it is that of a single file of sys_files, and of several none has one."""
+    many = sys_files.limit(2).count() > 1
+    uri = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return sys_files.select("path", uri.alias("uri"), F.lit(None if many else ref_path).cast("string").alias("ref_path"), F.lit("a single reference for several files" if many else None).cast("string").alias("reason"))
+
+
 def evaluated_words(words: DataFrame, uem: DataFrame) -> DataFrame:
     """words (uri, id, type, s, e) without the lexemes whose midpoint lies in no part of uem; other types stay."""
     inside = holds_midpoint(words.where("type = 'LEXEME'"), uem).where("inside").select("uri", "id")

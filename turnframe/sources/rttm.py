@@ -11,18 +11,19 @@ FIELDS = ["type", "uri", "chnl", "tbeg", "tdur", "word", "subt", "spkr", "conf"]
 #: The record types and their subtypes that a strict reader accepts.
 TYPES = {
     "SEGMENT": {"eval", "<na>"},
-    "SPEAKER": {"<na>"},
-    "LEXEME": {"lex", "fp", "frag", "un-lex", "for-lex", "alpha", "acronym", "interjection", "propernoun", "other", "<na>"},
-    "NON-LEX": {"laugh", "breath", "lipsmack", "cough", "sneeze", "other", "<na>"},
-    "NON-SPEECH": {"noise", "music", "other", "<na>"},
-    "FILLER": {"filled_pause", "discourse_marker", "discourse_response", "explicit_editing_term", "other", "<na>"},
-    "EDIT": {"repetition", "restart", "revision", "simple", "complex", "other", "<na>"},
-    "IP": {"edit", "filler", "edit&filler", "other", "<na>"},
-    "SU": {"statement", "backchannel", "question", "incomplete", "unannotated", "other", "<na>"},
-    "CB": {"coordinating", "clausal", "other", "<na>"},
-    "A/P": {"<na>"},
     "NOSCORE": {"<na>"},
-    "SPKR-INFO": {"adult_male", "adult_female", "child", "unknown", "<na>"},
+    "NO_RT_METADATA": {"<na>"},
+    "LEXEME": {"lex", "fp", "frag", "un-lex", "for-lex", "alpha", "acronym", "interjection", "propernoun", "other"},
+    "NON-LEX": {"laugh", "breath", "lipsmack", "cough", "sneeze", "other"},
+    "NON-SPEECH": {"noise", "music", "other"},
+    "FILLER": {"filled_pause", "discourse_marker", "discourse_response", "explicit_editing_term", "other"},
+    "EDIT": {"repetition", "restart", "revision", "simple", "complex", "other"},
+    "IP": {"edit", "filler", "edit&filler", "other"},
+    "SU": {"statement", "backchannel", "question", "incomplete", "unannotated", "other"},
+    "CB": {"coordinating", "clausal", "other"},
+    "A/P": {"<na>"},
+    "SPEAKER": {"<na>"},
+    "SPKR-INFO": {"adult_male", "adult_female", "child", "unknown"},
 }
 
 
@@ -45,19 +46,20 @@ def parse_refined(lines: DataFrame) -> DataFrame:
 
 
 def parse_strict(lines: DataFrame) -> DataFrame:
-    """Records of lines; anything malformed ends the query: too few fields, unknown types or subtypes, bad or negative times."""
+    """Records of lines, types in upper case; anything malformed ends the query: too few fields, unknown types or subtypes, bad or negative times."""
     parts = lines.where("trim(line) <> '' and not ltrim(line) rlike '^[;#]'").select("line", _fields(F.col("line")).alias("f"))
     say = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("line")))
     kinds = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))])
     checked = F.when(F.size("f") < 9, say("fewer than nine fields"))
-    checked = checked.when(kinds[F.col("f")[0]].isNull(), say("unknown type"))
-    checked = checked.when(~F.array_contains(kinds[F.col("f")[0]], F.lower(F.col("f")[6])), say("unknown subtype"))
-    timed = F.col("f")[0] != "SPKR-INFO"
+    kind = F.upper(F.col("f")[0])
+    checked = checked.when(kinds[kind].isNull(), say("unknown type"))
+    checked = checked.when(~F.array_contains(kinds[kind], F.lower(F.col("f")[6])), say("unknown subtype"))
+    timed = kind != "SPKR-INFO"
     begin, length = clean_time(F.col("f")[3]), clean_time(F.col("f")[4])
     checked = checked.when(timed & (begin.isNull() | length.isNull()), say("not a time")).when(timed & ((begin < 0) | (length < 0)), say("a negative time"))
     good = parts.withColumn("bad", checked.otherwise(F.lit(None).cast("string"))).where("bad is null")
-    text = {"type": 0, "uri": 1, "chnl": 2, "word": 5, "subt": 6, "spkr": 7, "conf": 8}
-    return good.select(*[F.col("f")[i].alias(c) for c, i in text.items()], begin.alias("tbeg"), length.alias("tdur")).select(*FIELDS)
+    text = {"uri": 1, "chnl": 2, "word": 5, "subt": 6, "spkr": 7, "conf": 8}
+    return good.select(kind.alias("type"), *[F.col("f")[i].alias(c) for c, i in text.items()], begin.alias("tbeg"), length.alias("tdur")).select(*FIELDS)
 
 
 def with_gender(records: DataFrame) -> DataFrame:
