@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnframe.functions.text import HEAD, event_key, tag, untagged
+from turnframe.operators.intervals import overlap_join
 
 
 def sorted_transcript(rows: DataFrame) -> DataFrame:
@@ -73,15 +74,17 @@ def peaks(samples: DataFrame, buckets: int) -> DataFrame:
     return samples.groupBy("uri", F.floor(F.col("i") / per).alias("bucket")).agg(F.least(F.min("x"), F.lit(0.0)).alias("low"), F.greatest(F.max("x"), F.lit(0.0)).alias("high"))
 
 
-def current_row(transcript: DataFrame, times: DataFrame) -> DataFrame:
-    """(uri, t, seq): the first row of the sorted transcript that is open at each time asked for."""
-    met = transcript.join(times, "uri").where("s <= t and t <= e")
-    return met.groupBy("uri", "t").agg(F.min("seq").alias("seq"))
+def current_row(transcript: DataFrame, times: DataFrame, width: int = 60_000) -> DataFrame:
+    """(uri, t, seq): the first row of the sorted transcript that is open at each time asked for. Both meet in buckets of time."""
+    asked = times.select("uri", F.col("t").alias("s"), (F.col("t") + 1).alias("e"))
+    met = overlap_join(transcript.select("uri", "seq", "s", "e"), asked, ["uri"], width, pad=1).where("a_s <= b_s and b_s <= a_e")
+    return met.groupBy("uri", F.col("b_s").alias("t")).agg(F.min("a_seq").alias("seq"))
 
 
-def in_view(rows: DataFrame, views: DataFrame, speakers: list[int]) -> DataFrame:
-    """rows of the given speakers that reach into the view (uri, a, b) of their recording."""
-    return rows.where(F.col("speaker_id").isin(speakers)).join(views, "uri").where("e > a and s < b").drop("a", "b")
+def in_view(rows: DataFrame, views: DataFrame, speakers: list[int], width: int = 60_000) -> DataFrame:
+    """rows of the given speakers that reach into the view (uri, a, b) of their recording. Both meet in buckets of time."""
+    met = overlap_join(rows.where(F.col("speaker_id").isin(speakers)), views.select("uri", F.col("a").alias("s"), F.col("b").alias("e")), ["uri"], width)
+    return met.select(*["uri" if c == "uri" else F.col(f"a_{c}").alias(c) for c in rows.columns])
 
 
 def lanes(rows: DataFrame, most: int = 3) -> DataFrame:

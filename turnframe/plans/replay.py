@@ -10,24 +10,20 @@ from pyspark.sql import functions as F
 
 from turnframe.config import EngineConfig
 from turnframe.operators.online import DECISIONS, cluster_recording
-from turnframe.operators.sessions import parameter_grid
 
 
 def sweep(observations: DataFrame, spark: SparkSession, match=(0.45, 0.5, 0.55, 0.6, 0.65), new=(0.3, 0.35, 0.4, 0.45, 0.5), cfg: EngineConfig | None = None) -> DataFrame:
     """(match_threshold, new_threshold, observations, clusters, errors): every combination over all recordings, in one grouped job.
 
-    errors counts the observations whose cluster's most frequent label is another; the groups are a recording under one setting.
+    errors counts the observations whose cluster's most frequent label is another; a recording is shipped once and replayed under every setting.
     """
     cfg = cfg or EngineConfig()
-    grid = parameter_grid(spark, match_threshold=list(match), new_threshold=list(new))
-    each = observations.select("uri", "chunk", "local", "vec", "duration", "allow_update").join(grid)  # the grid is 25 rows
+    settings = [(float(m), float(n)) for m in match for n in new]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, n = float(pdf["match_threshold"].iloc[0]), float(pdf["new_threshold"].iloc[0])
-        out = cluster_recording(pdf.drop(columns=["match_threshold", "new_threshold"]), replace(cfg, match_threshold=m, new_threshold=n))
-        return out.assign(match_threshold=m, new_threshold=n)
+        return pd.concat([cluster_recording(pdf, replace(cfg, match_threshold=m, new_threshold=n)).assign(match_threshold=m, new_threshold=n) for m, n in settings])
 
-    found = each.groupBy("match_threshold", "new_threshold", "uri").applyInPandas(run, f"{DECISIONS}, match_threshold double, new_threshold double")
+    found = observations.select("uri", "chunk", "local", "vec", "duration", "allow_update").groupBy("uri").applyInPandas(run, f"{DECISIONS}, match_threshold double, new_threshold double")
     labelled = found.join(observations.select("uri", "chunk", "local", "label"), ["uri", "chunk", "local"])
     keys = ["match_threshold", "new_threshold"]
     counts = labelled.groupBy(*keys, "uri", "global_id", "label").agg(F.count(F.lit(1)).alias("n"))
