@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.shipping import ship
+from turnframe.llm.shipping import hand_back, ship
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 20_000
@@ -248,6 +248,7 @@ def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: st
                     preds.append(langs[best])
                     scores.append(float(1 / np.exp(sums[k] - sums[k][best]).sum()))
             yield pd.DataFrame({"lang_pred": preds, "score": scores})
+        hand_back()
 
     kept = [c for c in documents.columns if c not in names]
     return documents.withColumn("_said", predict("text")).select(*kept, F.col("_said.lang_pred").alias(names[0]), F.col("_said.score").alias(names[1]))

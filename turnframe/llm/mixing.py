@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnframe.llm.common import join_rows, text_key, whole_rows, written
+from turnframe.llm.shipping import hand_back
 
 DOMAINS = ["high", "low", "toxic"]
 #: Shares of the drawn tokens. The total is the least that needs no domain with a positive share to be thinned out.
@@ -169,11 +170,12 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(present) < 2:
         return
     coded = pa.concat_arrays(flat).dictionary_encode()
-    term, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(labels)), np.concatenate(sizes))
+    del flat
+    term, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(labels), dtype=np.int32), np.concatenate(sizes))
     # the gradient of a term is at most the documents that have it, or lack it
     n = np.bincount(term, minlength=len(coded.dictionary))
     able = np.flatnonzero(n > PENALTY**2)
-    place = np.full(len(n), -1)
+    place = np.full(len(n), -1, np.int32)
     place[able] = np.arange(len(able))
     kept = place[term] >= 0
     w, b = learn(np.searchsorted(present, labels), doc[kept], place[term[kept]], len(able), len(present))
@@ -183,6 +185,8 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = np.append(np.flatnonzero(np.abs(w).sum(1) > 0), len(able))
     names = [*coded.dictionary.take(pa.array(able[some[:-1]])).to_pylist(), None]
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(full[some]), pa.list_(pa.float64()))], ["term", "w"])
+    del coded, term, doc, kept
+    hand_back()
 
 
 def taught(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -226,6 +230,7 @@ def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
                 for w in terms_of(t) & known:
                     z[i] += model[w]
             yield pd.DataFrame({"n_tokens": n, "p": pd.Series(list(softmax(z)), dtype=object)})
+        hand_back()
 
     rows = documents.select("doc_id", text_key(F.col("text")).alias("_key"), scored("text").alias("s"))
     return rows.select("doc_id", "_key", "s.n_tokens", "s.p")

@@ -1,6 +1,6 @@
 """Near-duplicates by the Jaccard similarity of word shingles: an exact join of sets by prefixes.
 
-A row's set holds 64-bit hashes of its word shingles, in one global order: shingles that are frequent in a sample of the
+A row's set holds 64-bit hashes of its word shingles, of which only the prefix is stored, in one global order: shingles that are frequent in a sample of the
 rows last, else by hash. Two sets of similarity t or more share an element within their first n - ceil(t n) + 1, so they
 meet in the bucket of such an element; lengths and places in the order rule out most that meet by chance, and the rest
 are compared set by set. The sample tells frequent shingles only; it settles how fast the join is, not what it finds.
@@ -45,31 +45,36 @@ def shingles_of(text: str | None, width: int, seed: int = 42) -> np.ndarray:
     return np.unique(mixed.view(np.int64))
 
 
-def _rows(width: int, late: np.ndarray | None = None) -> Callable:
-    """text to (node, n, shingles); `late` holds the frequent shingles, the most frequent one last."""
+def prefix_size(n: int, similarity: float) -> int:
+    return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
+
+
+def _rows(width: int, late: np.ndarray | None = None, similarity: float | None = None) -> Callable:
+    """text to (node, n, shingles); `late` holds the frequent shingles, the most frequent one last. With a similarity, shingles are only the set's prefix for it."""
     place = None if late is None or not len(late) else (np.sort(late), np.argsort(late, kind="stable"))
 
     @F.pandas_udf(ROW)
     def rows(texts: pd.Series) -> pd.DataFrame:
-        nodes, sets = [], []
+        nodes, sets, sizes = [], [], []
         for text in texts:
             s = shingles_of(text, width)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
             if place is not None and len(s):
                 at = np.minimum(np.searchsorted(place[0], s), len(place[0]) - 1)
                 s = s[np.lexsort((s, np.where(place[0][at] == s, place[1][at] + 1, 0)))]
-            sets.append(s)
-        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array([len(s) for s in sets], np.int32), "shingles": pd.Series(sets, dtype=object)})
+            sizes.append(len(s))
+            sets.append(s if similarity is None else s[: prefix_size(len(s), similarity)])
+        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), "shingles": pd.Series(sets, dtype=object)})
 
     return rows
 
 
-def shingle_sets(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n, shingles) for every row, a written table."""
+def prefixes(documents: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, node, n, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
     some = documents.where(F.rand(42) < 1 / SAMPLE)
     seen = some.select(F.explode(_rows(width)("text")["shingles"]).alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     late = seen.orderBy(F.desc("count"), "h").limit(MOST).select("h").toPandas()["h"].to_numpy(np.int64)[::-1]
-    return written(documents.select("doc_id", _rows(width, late)("text").alias("r")).select("doc_id", "r.*"), "shingles")
+    return written(documents.select("doc_id", _rows(width, late, similarity)("text").alias("r")).select("doc_id", "r.*"), "prefixes")
 
 
 def _may(similarity: float, a: str, b: str) -> Column:
@@ -79,25 +84,32 @@ def _may(similarity: float, a: str, b: str) -> Column:
     return F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) >= need
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def whole_sets(documents: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes asked for, made from the texts of one doc_id each; nodes has (node, least)."""
+    ids = written(asked.join(nodes, "node").select(F.col("least").alias("_id")).distinct(), "asked")
+    some = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return some.select(_rows(width)("text").alias("r")).select("r.node", "r.shingles").join(asked, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have the similarity."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    known = written(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "compared")
+    asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "pairs")
+    known = written(sets_of(asked), "compared")
     a, b = known.select(F.col("node").alias("u"), F.col("shingles").alias("a")), known.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     met = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
     return met.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("u", "v")
 
 
-def set_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between nodes of sets (node, n, shingles) that connect exactly those linked by chains of pairs of the similarity."""
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1
-    each = sets.where("n > 0").select("node", "n", F.posexplode(F.slice("shingles", F.lit(1), prefix)).alias("pos", "h"))
+def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Edges (u, v) between nodes of prefixes (node, n, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
+    once = sets.where("n > 0").dropDuplicates(["node"])  # copies of a set meet as one node
+    each = once.select("node", "n", F.posexplode("shingles").alias("pos", "h"))
     dealt = each.repartition("h")
     buckets = dealt.groupBy("h").agg(F.min(F.struct("n", "node", "pos")).alias("first"), F.max(F.struct("n", "node", "pos")).alias("last")).where("first.node <> last.node").select("h", "first")
     shared = dealt.join(buckets, "h").select("h", "node", "n", "pos", F.col("first.node").alias("f_node"), F.col("first.n").alias("f_n"), F.col("first.pos").alias("f_pos"))
-    shared = written(shared.distinct(), "shared")
+    shared = written(shared, "shared")
     firsts = written(shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_")).select(F.least("node", "f_node").alias("u"), F.greatest("node", "f_node").alias("v")).distinct(), "firsts")
-    edges = written(_alike(firsts, sets, similarity), "first_edges")
+    edges = written(_alike(firsts, sets_of, similarity), "first_edges")
     groups = written(components(edges), "groups")
     # what is left: pairs that meet in a bucket and lie in different groups
     own = shared.select("h", "node", "n", "pos").join(groups, "node", "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
@@ -107,19 +119,20 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
     met = a.join(b, (a.h == b.h) & (F.col("a_part") < F.col("b_part")) & _may(similarity, "a_", "b_"))
     rest = met.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
     rest = written(rest.join(firsts, ["u", "v"], "left_anti"), "rest")
-    return edges.union(_alike(rest, sets, similarity))
+    return edges.union(_alike(rest, sets_of, similarity))
 
 
 def alike_documents(documents: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, node, component_id) for every row; component_id is the smallest doc_id reachable over sets of the similarity."""
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    sets = shingle_sets(documents, width)
+    sets = prefixes(documents, width, similarity)
     least = written(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     # rows of one doc_id are one node: a star over their sets
     several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
     same = sets.join(written(several.select("doc_id", "u"), "several"), "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    grouped = components(set_links(sets, similarity).union(same)).join(least, "node")
+    sets_of = lambda asked: whole_sets(documents, least, asked, width)
+    grouped = components(set_links(sets, sets_of, similarity).union(same)).join(least, "node")
     first = grouped.groupBy("component").agg(F.min("least").alias("first"))
     known = least.join(grouped.join(first, "component").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("component_id"), "n")
     return labelled(sets.select("doc_id", "node"), written(known, "known"), "node", "component_id")

@@ -13,6 +13,18 @@ ROWS = 2000
 TOP = Path(__file__).resolve().parents[2]
 
 
+def hand_back() -> None:
+    """At the end of a task: memory that is free goes back to the system, as the worker lives on beside those of other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Like --py-files: once for each context, and only where PYTHONPATH lacks the repository.
 

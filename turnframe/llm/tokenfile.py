@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from turnframe.llm import mixcoder
 from turnframe.llm.chunks import encode_byte_level
 from turnframe.llm.common import shared_folder
+from turnframe.llm.shipping import hand_back
 
 VOCABULARY, N_IDS, END = "byte_bpe_50k.json", 50257, 0
 #: A segment is closed once it holds this many ids; one document is never split over two.
@@ -71,7 +72,7 @@ def _segments(path: str, end: int, n_ids: int):
                     doc_ids, counts, parts, total = [], [], [], 0
         if doc_ids:
             yield closed()
-        pa.default_memory_pool().release_unused()  # the worker lives on, for other stages
+        hand_back()
 
     return run
 
@@ -101,6 +102,7 @@ def _documents(n_ids: int, with_ids: bool):
                     columns.append(pa.array([raw[a:b] for a, b in cuts], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        hand_back()
 
     return run
 
