@@ -411,6 +411,15 @@ def test_language_against_plain_forward_sums(spark):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6
 
 
+def test_language_of_documents_held_out(spark):
+    from turnframe.llm.langid import op7_langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.where("lang is not null").select("doc_id", "lang").collect()}
+    said = [r.lang_pred == truth[r.doc_id] for r in op7_langid(docs).where("held_out").collect() if r.doc_id in truth]
+    assert len(said) > 200 and sum(said) / len(said) > 0.98
+
+
 def test_rates_are_those_of_a_plain_projected_gradient(spark):
     from turnframe.llm.mixing import GRID, fitted_rates
 
