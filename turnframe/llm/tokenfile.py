@@ -27,11 +27,11 @@ from turnframe.llm.shipping import hand_back
 
 VOCABULARY, N_IDS, END = "byte_bpe_50k.json", 50257, 0
 #: A segment is closed once it holds this many ids; one document is never split over two.
-SEGMENT = 8_000_000
+SEGMENT = 4_000_000
 #: Bytes of text that a shard aims at: many blocks side by side are coded in less time, and two segments fit into memory.
-SHARD_BYTES = 20_000_000
+SHARD_BYTES = 10_000_000
 #: Texts are encoded so many bytes at a time, and one at least.
-TEXT_BYTES = 6_000_000
+TEXT_BYTES = 4_000_000
 ROWS = "shard int, segment int, doc_ids array<long>, counts array<int>, data binary"
 
 
