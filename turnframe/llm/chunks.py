@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 200_000
+CACHE, TABLE = 500_000, 200_000
 
 
 class Memo(dict):
@@ -110,7 +110,7 @@ class TokenTable:
         self.ids = np.zeros(0, np.uint32)
 
     def trim(self) -> None:
-        if len(self.rows) > CACHE:
+        if len(self.rows) > TABLE:
             self._empty()
 
     def rows_of(self, chunks: list[str]) -> np.ndarray:
