@@ -31,7 +31,16 @@ def written(df: DataFrame, name: str = "table", *partition_by: str) -> DataFrame
     """df, computed once and kept as Parquet in a shared folder: cuts the lineage, and a lost executor loses nothing of it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)  # a given schema holds for an empty table too
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)  # a given schema holds for an empty table too
+    kept._written_at = path
+    return kept
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a table that written() made and that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
