@@ -27,10 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/turnframe/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table", *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str = "table", *partition_by: str, **options: str) -> DataFrame:
     """df, computed once and kept as Parquet in a shared folder: cuts the lineage, and a lost executor loses nothing of it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)  # a given schema holds for an empty table too
     kept._written_at = path
     return kept

@@ -11,6 +11,7 @@ from turnframe.llm.quality import OP4_SQL, op4_quality
 from turnframe.llm.secrets import op5_secrets
 from turnframe.llm.simhash import op1_simhash
 from turnframe.llm.sortmeans import OP12_SQL, op12_sort_means
+from turnframe.llm.tokenalign import op11_token_align
 from turnframe.llm.tokencounts import op10_token_counts
 from turnframe.llm.tokenfile import op8_tokens
 from turnframe.llm.warc import OP6_SQL, op6_warc
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op8_tokens": _on("documents", op8_tokens),
         "op9_mixing": lambda spark, sf_dir: op9_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op10_token_counts": _on("documents", op10_token_counts),
+        "op11_token_align": _on("documents", op11_token_align),
         "op12_sort_means": _on("embeddings", op12_sort_means),
     }
 
