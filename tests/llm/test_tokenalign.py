@@ -57,7 +57,7 @@ def of(df):
     return sorted((tuple(r[c] for c in COLUMNS) for r in df.collect()), key=repr)
 
 
-ODD = [None, "", " ", "  ", "a ", " a", "a  b", "   a\n\n  b   ", "\n", "\t", "▁", "x▁y", "<|endoftext|>", "a <|endoftext|> b", "<s>", "</s> <unk>", "<0x41>", "é", "straße ", "日本語 テキスト", "😀😀 x", "\x00", "a\x1fb", "é", " x", "don't won't", "1234567 89", "a" * 300, "ab " * 200, "\r\n x", "​", "http://a.b/c?d=e&f=g"]
+ODD = [None, "", " ", "  ", "a ", " a", "a  b", "   a\n\n  b   ", "\n", "\t", "▁", "x▁y", "<|endoftext|>", "a <|endoftext|> b", "<s>", "</s> <unk>", "<0x41>", "é", "straße ", "日本語 テキスト", "😀😀 x", "\x00", "a\x1fb", "é", " x", "don't won't", "1234567 89", "a" * 300, "ab " * 200, "\r\n x", "​", "http://a.b/c?d=e&f=g", "a" + " " * 3000 + "b", "\n " * 1000]
 
 
 @pytest.mark.parametrize("most", [1 << 21, 3])

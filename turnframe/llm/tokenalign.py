@@ -17,10 +17,11 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.chunks import MARK, RUNS, TokenTable, encode_byte_level, ranges
+from turnframe.llm.chunks import MARK, RUNS, TokenTable, ranges
 from turnframe.llm.common import dropped, written
 from turnframe.llm.shipping import hand_back
 
@@ -120,28 +121,50 @@ def encode_pieces(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return table.ids[ranges(table.starts[rows], sizes)], np.diff(upto[np.concatenate([[0], np.cumsum(each)])])
 
 
+#: The pre-tokenizer's pattern in byte-level files that name none (fixed value).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: In arrow's syntax: white space so long that that pattern may run out of stack in tiktoken.
+LONG_SPACE = r"[\s\p{Z}\p{C}]{500}"
+
+
 @cache
 def plain_tokenizer(path: str):
+    """(the tokenizers library's, which takes special tokens' strings as plain text; tiktoken's over the same vocabulary, if it says the same)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return tok, "|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or None
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])]
+    same = (
+        told["normalizer"] is None
+        and (before.get("type"), before.get("use_regex", True), before.get("add_prefix_space")) == ("ByteLevel", True, False)
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and merged == list(range(256, 256 + len(merged)))  # ids in the order of the merges, as tiktoken takes them
+        and len(model["vocab"]) == 256 + len(merged)
+    )
+    if not same:
+        return tok, None
+    of = byte_level(path)
+    ranks = {of.data[at : at + n].tobytes(): i for i, (at, n) in enumerate(zip(of.starts, of.sizes)) if i < len(model["vocab"])}
+    return tok, tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode_plain(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """As encode_byte_level, with the strings of special tokens as plain text."""
-    tok, special = plain_tokenizer(path)
-    odd = pc.match_substring_regex(texts, special).to_numpy(zero_copy_only=False) if special else np.zeros(len(texts), bool)
-    ids, sizes = encode_byte_level(texts.filter(pa.array(~odd)), path)
-    if not odd.any():
-        return ids, sizes
-    more = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)]
-    n, own = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    n[~odd], n[odd] = sizes, list(map(len, more))
-    own[~odd], own[odd] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum(n[odd]) - n[odd]
-    return np.concatenate([ids, *more])[ranges(own, n)], n
+    """(ids of all texts, how many each has) as the tokenizers library gives them, with the strings of special tokens as plain text.
+
+    tiktoken encodes with the same vocabulary in a third of the time; texts with a very long run of white space go through
+    the library itself.
+    """
+    tok, fast = plain_tokenizer(path)
+    slow = pc.match_substring_regex(texts, LONG_SPACE).to_pylist() if fast else [True] * len(texts)
+    ids = [tok.encode(t, add_special_tokens=False).ids if s else fast.encode_ordinary(t) for t, s in zip(texts.to_pylist(), slow)]
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
 
 # --- alignment of a batch -------------------------------------------------------------------------------------------
