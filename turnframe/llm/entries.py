@@ -15,6 +15,7 @@ from turnframe.llm.tokenalign import op11_token_align
 from turnframe.llm.tokencounts import op10_token_counts
 from turnframe.llm.tokenfile import op8_tokens
 from turnframe.llm.warc import OP6_SQL, op6_warc
+from turnframe.llm.wrappers import op13_wrappers
 
 
 def _on(name, op):
@@ -35,6 +36,7 @@ def queries() -> dict:
         "op10_token_counts": _on("documents", op10_token_counts),
         "op11_token_align": _on("documents", op11_token_align),
         "op12_sort_means": _on("embeddings", op12_sort_means),
+        "op13_wrappers": _on("pages", op13_wrappers),
     }
 
 
