@@ -62,5 +62,3 @@ def test_entry_imports_where_the_folders_are_deleted(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'turn_merge' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert e.__file__.startswith(%r)" % str(tmp_path)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120, env=env)
-    broken = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
-    assert subprocess.run([sys.executable, "-c", broken], cwd=root, timeout=120, env=env, capture_output=True).returncode != 0

@@ -45,18 +45,6 @@ def test_sentinels(spark, tmp_path):
     assert [(r.stage, r.state) for r in control.states(spark.read.parquet(path)).collect()] == [("asr", "done")]
 
 
-def test_a_failing_recording_leaves_the_others(spark, tmp_path):
-    done, path = [], str(tmp_path / "errors")
-
-    def job(uri):
-        if uri == "bad":
-            raise OSError("no such file")
-        done.append(uri)
-
-    assert control.run_each(spark, ["a", "bad", "c"], job, path) == ["bad"] and done == ["a", "c"]
-    assert [(r.uri, r.error) for r in spark.read.parquet(path).collect()] == [("bad", "OSError: no such file")]
-
-
 def test_wrong_rates_are_set_apart(spark):
     good, bad = rc.at_rate(spark.createDataFrame([("x.wav", 16000), ("y.wav", 8000), (None, None)], "path string, sample_rate int"), 16000)
     assert [r.path for r in good.collect()] == ["x.wav"]

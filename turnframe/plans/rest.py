@@ -14,7 +14,10 @@ from turnframe.operators import scoring as sc
 from turnframe.plans.queries import WIDTH, query
 from turnframe.plans.replay import best_setting
 from turnframe.sources import records as rc
+from turnframe.sources import segments as sg
+from turnframe.sources import tail
 from turnframe.sources import rttm
+from turnframe.sources.folders import shared_folder
 from turnframe.streaming import control
 
 HOURS = 3600 * SECOND
@@ -162,11 +165,7 @@ def padded_samples(spark, d):
 
 @query(with_views("obs", body=" SELECT uri, local AS local_idx, cast(chunk * 5 AS double) AS start, cast(chunk * 5 + 10 AS double) AS \"end\", cast(duration AS double) AS duration, cast(len(vec) AS int) AS dims FROM obs"))
 def embedding_dump(spark, d):
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnframe-")
-    folder = f"{top.rstrip('/')}/turnframe/{uuid.uuid4().hex}/embeddings"
+    folder = shared_folder(spark, "embeddings")
     rc.write_embeddings(fx.observations(spark, d).withColumns({"s": F.col("chunk") * 5, "e": F.col("chunk") * 5 + 10}), folder)
     return rc.read_embeddings(spark, folder).select(F.col("uri").cast("long").alias("uri"), "local_idx", "start", "end", "duration", F.size("embedding").alias("dims"))
 
@@ -175,3 +174,27 @@ def embedding_dump(spark, d):
 def least_errors(spark, d):
     settings = fx.load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("match_threshold"), F.col("o_orderstatus").alias("new_threshold"))
     return best_setting(settings.agg(F.count(F.lit(1)).alias("errors"), F.count_distinct("o_custkey").alias("clusters")))
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def tailed_lines(spark, d):
+    """Lines appended in two steps and followed by a query that is stopped and started again in between."""
+    rows = fx.load(spark, d, "conversations")
+    source, out, state = (shared_folder(spark, x) for x in ("lines", "tailed", "state"))
+    kind = "conv_id bigint, turn bigint, text string"
+    for part in (0, 1):
+        rows.where(F.col("turn") % 2 == part).select(F.to_json(F.struct("conv_id", "turn", "text")).alias("value")).write.mode("append").text(source)
+        lines = tail.tail_lines(spark, source, "part-*", part=4096).select(F.from_json("line", kind).alias("r")).select("r.*")
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(out)
+
+
+@query('SELECT cast(conv_id AS varchar) AS uri, turn AS speaker_id, cast(turn * 10 AS double) AS start, round(turn * 10 + length(text) / 1000.0, 3) AS "end", cast(44 + 2 * length(text) AS bigint) AS bytes FROM conversations WHERE length(text) > 0')
+def segment_files(spark, d):
+    """Segments written in two phases; every row of the manifest with the length of its file."""
+    n = F.length("text")
+    made = fx.load(spark, d, "conversations").where(n > 0).select(F.col("conv_id").cast("string").alias("uri"), F.col("turn").alias("speaker_id"), (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + n / 1000).alias("end"), F.lit(8000).alias("rate"), F.transform(F.sequence(F.lit(1), n), lambda i: (i * 7 % 200 - 100) / 100).alias("pcm"))
+    root = shared_folder(spark, "segments")
+    sg.write_segments(made, root)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/audio").select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), F.col("length").alias("bytes"))
+    return sg.read_segments(spark, root).join(there, "path", "left").select("uri", "speaker_id", "start", "end", "bytes")
