@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnframe.operators.scans import BUCKET, scanned
+
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int, pad: int = 0) -> DataFrame:
     """Pairs of rows of a and b (columns a_*, b_*) with equal keys whose intervals overlap, or come within pad of it.
@@ -35,16 +37,14 @@ def overlap_flags(turns: DataFrame, width: int) -> DataFrame:
     return turns.join(met.withColumn("hit", F.lit(True)), ["uri", "id"], "left").withColumn("overlapped", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def active_segments(turns: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
+def active_segments(turns: DataFrame, keys: tuple[str, ...] = ("uri",), width: int = BUCKET) -> DataFrame:
     """(keys, a, b, n): the stretches between consecutive boundaries of the turns and how many turns are open; stretches with none are left out.
 
     A sweep with running counts; no join.
     """
     marks = turns.where("e > s").select(*keys, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
     steps = marks.groupBy(*keys, F.col("m.t").alias("a")).agg(F.sum("m.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("a")
-    swept = steps.withColumn("n", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.lead("a").over(order))
-    return swept.where("n > 0").select(*keys, "a", "b", "n")
+    return scanned(steps, keys, "a", ["a"], width, n=("sum", "d"), b=("lead", "a")).where("n > 0").select(*keys, "a", "b", "n")
 
 
 def speaker_segments(turns: DataFrame, width: int) -> DataFrame:
@@ -53,25 +53,22 @@ def speaker_segments(turns: DataFrame, width: int) -> DataFrame:
     return met.groupBy("uri", F.col("a_s").alias("a"), F.col("a_e").alias("b")).agg(F.array_sort(F.collect_set("b_spk")).alias("speakers"))
 
 
-def zones(marks: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
+def zones(marks: DataFrame, keys: tuple[str, ...] = ("uri",), width: int = BUCKET) -> DataFrame:
     """(keys, s, e): where the running sum of d over marks (keys, t, d) is at least one and no veto is open.
 
     marks may carry v, changes of a count that forbids. Changes at the same time take effect together.
     """
     v = F.sum("v") if "v" in marks.columns else F.lit(0)
     steps = marks.groupBy(*keys, "t").agg(F.sum("d").alias("d"), v.alias("v"))
-    order = Window.partitionBy(*keys).orderBy("t")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    swept = steps.select(*keys, "t", F.lead("t").over(order).alias("next"), ((F.sum("d").over(upto) >= 1) & (F.sum("v").over(upto) <= 0)).alias("on"))
-    return swept.where("on and next is not null").select(*keys, F.col("t").alias("s"), F.col("next").alias("e"))
+    swept = scanned(steps, keys, "t", ["t"], width, open=("sum", "d"), vetoes=("sum", "v"), next=("lead", "t"))
+    return swept.where("open >= 1 and vetoes <= 0 and next is not null").select(*keys, F.col("t").alias("s"), F.col("next").alias("e"))
 
 
-def joined_zones(pieces: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
-    """Touching zones joined."""
-    order = Window.partitionBy(*keys).orderBy("s")
-    opens = pieces.withColumn("opens", F.when(F.col("s") == F.lag("e").over(order), 0).otherwise(1))
-    grouped = opens.withColumn("g", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("g")
+def joined_zones(pieces: DataFrame, keys: tuple[str, ...] = ("uri",), width: int = BUCKET) -> DataFrame:
+    """Touching zones joined; zones of a key are disjoint. Where one ends and the next begins the two edges cancel, and what is left are starts and ends in turn."""
+    edges = pieces.where("e > s").select(*keys, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
+    left = edges.groupBy(*keys, F.col("m.t").alias("s")).agg(F.sum("m.d").alias("d")).where("d <> 0")
+    return scanned(left, keys, "s", ["s"], width, e=("lead", "s")).where("d > 0").select(*keys, "s", "e")
 
 
 def _marks(df: DataFrame, s, e, d: int, v: int) -> DataFrame:
@@ -110,24 +107,23 @@ def contained(turns: DataFrame, uem: DataFrame, width: int, slack: int = 0) -> D
     return turns.join(met.select("uri", F.col("a_id").alias("id")).distinct(), ["uri", "id"], "left_semi")
 
 
-def holds_midpoint(points: DataFrame, uem: DataFrame) -> DataFrame:
+def holds_midpoint(points: DataFrame, uem: DataFrame, width: int = BUCKET) -> DataFrame:
     """points (id, uri, s, e) with inside: whether the midpoint lies in a closed part of uem, whose parts are disjoint. An as-of lookup of the last start."""
     mid = (F.col("s") + F.col("e")) / 2
     rows = points.select("uri", "id", mid.alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"))
     rows = rows.union(uem.select("uri", F.lit(None).cast("long"), F.col("s").cast("double"), F.lit(0), F.col("e")))
-    order = Window.partitionBy("uri").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("last_end", F.last("end", ignorenulls=True).over(order)).where("kind = 1").select("uri", "id", F.coalesce(F.col("t") <= F.col("last_end"), F.lit(False)).alias("inside"))
+    found = scanned(rows, ("uri",), "t", ["t", "kind"], width, last_end=("last", "end")).where("kind = 1")
+    return found.select("uri", "id", F.coalesce(F.col("t") <= F.col("last_end"), F.lit(False)).alias("inside"))
 
 
-def interpolated(points: DataFrame, anchors: DataFrame) -> DataFrame:
+def interpolated(points: DataFrame, anchors: DataFrame, width: int = BUCKET) -> DataFrame:
     """points (id, uri, t) with mapped: t on the scale of anchors (uri, t, to), linear between the nearest on either side; outside them shifted as the nearest one is."""
     rows = points.select("uri", "id", "t", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("to"))
     rows = rows.union(anchors.select("uri", F.lit(None).cast("long"), "t", F.col("t"), "to"))
-    back = Window.partitionBy("uri").orderBy("t", F.col("at").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    # looking ahead is looking back in turned order: a frame that ends at the row is not read anew for each row
-    ahead = Window.partitionBy("uri").orderBy(F.col("t").desc(), F.col("at").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)
-    near = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    found = rows.withColumns({"t0": near("at", back), "x0": near("to", back), "t1": near("at", ahead), "x1": near("to", ahead)}).where("id is not null")
+    rows = rows.withColumn("later", F.col("at").isNull())  # an anchor comes before the points of its time
+    back = scanned(rows, ("uri",), "t", ["t", "later"], width, t0=("last", "at"), x0=("last", "to"))
+    # from a point on, the anchors of its own time count too
+    found = scanned(back.withColumn("later", ~F.col("later")), ("uri",), "t", ["t", "later"], width, t1=("next", "at"), x1=("next", "to")).where("id is not null")
     between = F.col("x0") + (F.col("t") - F.col("t0")).cast("double") * (F.col("x1") - F.col("x0")) / (F.col("t1") - F.col("t0"))
     mapped = F.when(F.col("t0") == F.col("t1"), F.col("x0").cast("double")).when(F.col("t0").isNotNull() & F.col("t1").isNotNull(), between).otherwise(F.coalesce(F.col("t") + F.col("x0") - F.col("t0"), F.col("t") + F.col("x1") - F.col("t1"), F.col("t")).cast("double"))
     return found.select("uri", "id", "t", mapped.alias("mapped"))
@@ -141,7 +137,7 @@ def index_range(events: DataFrame, words: DataFrame, width: int) -> DataFrame:
     return events.select("uri", "id").join(found, ["uri", "id"], "left")
 
 
-def extended_zones(excluded: DataFrame, lexemes: DataFrame, segments: DataFrame, most: int) -> DataFrame:
+def extended_zones(excluded: DataFrame, lexemes: DataFrame, segments: DataFrame, most: int, width: int = BUCKET) -> DataFrame:
     """(uri, s, e): the time of excluded events, each stretch widened on either side by up to `most`, but not past the nearest end of a word or edge of a speaker segment.
 
     A side at which a word is open is not widened. Stretches that come to touch are joined. One sweep with running counts
@@ -156,10 +152,10 @@ def extended_zones(excluded: DataFrame, lexemes: DataFrame, segments: DataFrame,
     rows = rows.union(edge.select("uri", "t", F.lit(0), F.lit(0), "t", "t", no))
     for kind, side in ((1, "s"), (2, "e")):
         rows = rows.union(merged.select("uri", F.col(side), F.lit(kind), F.lit(0), no, no, F.col("s")))
-    order = Window.partitionBy("uri").orderBy("t", "kind")
-    till = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    since = Window.partitionBy("uri").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumns({"open": F.sum("d").over(till), "back": F.max("back").over(till), "ahead": F.min("ahead").over(since)}).where("kind > 0")
+    # looking ahead, a word that begins at the time of a zone's mark counts: kinds in turned order
+    rows = rows.withColumns({"turned": -F.col("kind"), "back_from": F.col("back"), "ahead_from": F.col("ahead")}).drop("back", "ahead")
+    seen = scanned(rows, ("uri",), "t", ["t", "kind"], width, open=("sum", "d"), back=("max", "back_from"))
+    seen = scanned(seen, ("uri",), "t", ["t", "turned"], width, ahead=("min_ahead", "ahead_from")).where("kind > 0")
     start = F.when(F.col("open") > 0, F.col("t")).otherwise(F.greatest(F.coalesce("back", F.col("t") - most), F.col("t") - most))
     end = F.when(F.col("open") > 0, F.col("t")).otherwise(F.least(F.coalesce("ahead", F.col("t") + most), F.col("t") + most))
     wide = seen.groupBy("uri", "z").agg(F.min(F.when(F.col("kind") == 1, start)).alias("s"), F.max(F.when(F.col("kind") == 2, end)).alias("e"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnframe.functions.matching import assign
 from turnframe.operators.intervals import clipped, contained, extent, holds_midpoint, overlap_join, overlap_seconds
+from turnframe.operators.scans import BUCKET, scanned
 
 
 def _map_recording(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -29,7 +30,7 @@ def speaker_mapping(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("uri").applyInPandas(_map_recording, f"uri {kinds['uri']}, ref {kinds['ref']}, sys {kinds['sys']}, overlap long")
 
 
-def active_counts(ref: DataFrame, sys: DataFrame) -> DataFrame:
+def active_counts(ref: DataFrame, sys: DataFrame, width: int = BUCKET) -> DataFrame:
     """(uri, a, b, n_ref, n_sys): stretches between consecutive boundaries of either timeline, with the open turns of each."""
 
     def marks(df, r, s):
@@ -37,9 +38,8 @@ def active_counts(ref: DataFrame, sys: DataFrame) -> DataFrame:
         return df.where("e > s").select("uri", F.explode(pair).alias("m")).select("uri", "m.t", "m.r", "m.s")
 
     steps = marks(ref, 1, 0).union(marks(sys, 0, 1)).groupBy("uri", "t").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    order = Window.partitionBy("uri").orderBy("t")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("uri", F.col("t").alias("a"), F.lead("t").over(order).alias("b"), F.sum("r").over(upto).alias("n_ref"), F.sum("s").over(upto).alias("n_sys")).where("b is not null and n_ref + n_sys > 0")
+    swept = scanned(steps, ("uri",), "t", ["t"], width, n_ref=("sum", "r"), n_sys=("sum", "s"), b=("lead", "t"))
+    return swept.where("b is not null and n_ref + n_sys > 0").select("uri", F.col("t").alias("a"), "b", "n_ref", "n_sys")
 
 
 def error_components(ref: DataFrame, sys: DataFrame, uem: DataFrame, width: int, mapping_uem: DataFrame | None = None) -> DataFrame:
