@@ -37,7 +37,7 @@ class EngineConfig:
 def coerced(kind: type, value):
     """value as kind; the strings of booleans are understood, and junk is an error."""
     if kind is bool and isinstance(value, str):
-        known = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
+        known = {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}
         if value.strip().lower() not in known:
             raise ValueError(f"not a truth value: {value!r}")
         return known[value.strip().lower()]
@@ -45,13 +45,17 @@ def coerced(kind: type, value):
 
 
 def configured(settings: dict | None = None, explicit: dict | None = None, base: EngineConfig | None = None) -> EngineConfig:
-    """Defaults, below settings, below explicit values. Unknown keys are an error."""
+    """Defaults, below settings, below explicit values; a null sets nothing. Unknown keys and values of another kind are errors."""
     base = base or EngineConfig()
     kinds = {f.name: type(getattr(base, f.name)) for f in fields(base)}
-    chosen = {**(settings or {}), **(explicit or {})}
+    given = lambda x: {k: v for k, v in (x or {}).items() if v is not None or k not in kinds}
+    chosen = {**given(settings), **given(explicit)}
     if unknown := set(chosen) - set(kinds):
         raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    return replace(base, **{k: coerced(kinds[k], v) for k, v in chosen.items()})
+    try:
+        return replace(base, **{(name := k): coerced(kinds[k], v) for k, v in chosen.items()})
+    except (TypeError, ValueError) as e:
+        raise ValueError(f"{name}: {e}") from e
 
 
 def load_settings(path: str, explicit: bool = True) -> dict:

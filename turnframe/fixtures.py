@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnframe.functions.vectors import let
+
 SECOND = 1_000_000
 FRAMES, SLOTS = 60, 3
 #: Weight of the driver's vectors beside the planted cluster direction.
@@ -59,7 +61,7 @@ def observations(spark: SparkSession, sf_dir: str, eps: float = EPS) -> DataFram
         F.expr("(vec_id % 100) div 3").alias("chunk"),
         F.expr("(vec_id % 100) % 3").alias("local"),
         F.col("label").cast("long").alias("label"),
-        F.transform("raw", lambda x: x / norm).alias("vec"),
+        let(norm, lambda n: F.transform("raw", lambda x: x / n)).alias("vec"),
         (0.5 + (F.col("vec_id") % 5) * 0.5).alias("duration"),
         (F.col("vec_id") % 7 != 0).alias("allow_update"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,15 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use has it inside a lambda, which would compute it anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalize(a: Column | str) -> Column:
     """At unit length; a zero vector stays as it is."""
     column = F.col(a) if isinstance(a, str) else a
-    n = norm(column)
-    return F.when(n > 0, F.transform(column, lambda x: x / n)).otherwise(column)
+    return let(column, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnframe.functions.vectors import cosine, dot, l2_normalize
@@ -26,19 +26,29 @@ def merged_centroids(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return packed.select(*keys, "n", "duration", l2_normalize(F.transform("d", lambda d: d["x"])).alias("centroid"))
 
 
+def packed(vectors: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
+    """(keys, targets): the clusters (cluster, centroid) of a recording as one sorted array. A row for each recording, as long as it has clusters."""
+    return vectors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("targets"))
+
+
+def _best(vec: Column, targets: Column) -> Column:
+    """The (similarity, minus) of the most similar target, minus being its cluster's negative, so that ties go to the lower one."""
+    return F.array_max(F.transform(targets, lambda t: F.struct(dot(vec, t["centroid"]).alias("similarity"), (-t["cluster"]).alias("minus"))))
+
+
 def cosine_pairs(vectors: DataFrame) -> DataFrame:
-    """(uri, a, b, cosine) for every pair a < b of the clusters (uri, cluster, centroid) of one recording."""
-    left = vectors.select("uri", F.col("cluster").alias("a"), F.col("centroid").alias("va"))
-    right = vectors.select("uri", F.col("cluster").alias("b"), F.col("centroid").alias("vb"))
-    return left.join(right, "uri").where("a < b").select("uri", "a", "b", cosine("va", "vb").alias("cosine"))
+    """(uri, a, b, cosine) for every pair a < b of the clusters (uri, cluster, centroid) of one recording; made from the recording's array, without a join."""
+    each = packed(vectors).select("uri", "targets", F.posexplode("targets").alias("i", "x"))
+    others = F.slice("targets", F.col("i") + 2, F.size("targets"))
+    pairs = F.transform(others, lambda y: F.struct(y["cluster"].alias("b"), cosine(F.col("x.centroid"), y["centroid"]).alias("cosine")))
+    return each.select("uri", F.col("x.cluster").alias("a"), F.explode(pairs).alias("p")).select("uri", "a", "p.b", "p.cosine").where("a < b")
 
 
 def nearest(observations: DataFrame, targets: DataFrame) -> DataFrame:
-    """(uri, chunk, local, best, similarity): the most similar cluster of the recording; ties go to the lower id."""
-    pairs = observations.where("vec is not null").join(targets.select("uri", F.col("cluster").alias("target"), "centroid"), "uri")
-    scored = pairs.select("uri", "chunk", "local", "target", dot("vec", "centroid").alias("similarity"))
-    best = scored.groupBy("uri", "chunk", "local").agg(F.max(F.struct("similarity", (-F.col("target")).alias("minus"))).alias("m"))
-    return best.select("uri", "chunk", "local", (-F.col("m.minus")).alias("best"), F.col("m.similarity").alias("similarity"))
+    """(uri, chunk, local, best, similarity): the most similar cluster of the recording; ties go to the lower id. A row an observation, none for each pair."""
+    rows = observations.where("vec is not null").select("uri", "chunk", "local", "vec").join(packed(targets), "uri")
+    found = rows.select("uri", "chunk", "local", _best(F.col("vec"), F.col("targets")).alias("m"))
+    return found.select("uri", "chunk", "local", (-F.col("m.minus")).alias("best"), F.col("m.similarity").alias("similarity"))
 
 
 def post_merge_map(clusters: DataFrame, least_duration: float, least_similarity: float) -> DataFrame:
@@ -47,11 +57,10 @@ def post_merge_map(clusters: DataFrame, least_duration: float, least_similarity:
     Short clusters are never targets; one that is less similar than least_similarity to all stays. Without targets nothing merges.
     """
     short = F.coalesce("duration", F.lit(0.0)) < least_duration
-    small = clusters.where(short).select("uri", F.col("cluster").alias("absorbed"), F.col("centroid").alias("vs"))
-    targets = clusters.where(~short).select("uri", F.col("cluster").alias("target"), F.col("centroid").alias("vt"))
-    scored = small.join(targets, "uri").select("uri", "absorbed", "target", dot("vs", "vt").alias("similarity"))
-    best = scored.groupBy("uri", "absorbed").agg(F.max(F.struct("similarity", (-F.col("target")).alias("minus"))).alias("m"))
-    return best.where(F.col("m.similarity") >= least_similarity).select("uri", "absorbed", (-F.col("m.minus")).alias("survivor"), F.col("m.similarity").alias("similarity"))
+    whole = clusters.groupBy("uri").agg(F.collect_list(F.when(short, F.struct("cluster", "centroid"))).alias("small"), F.array_sort(F.collect_list(F.when(~short, F.struct("cluster", "centroid")))).alias("targets"))
+    each = whole.where("size(targets) > 0").select("uri", "targets", F.explode("small").alias("x"))
+    found = each.select("uri", F.col("x.cluster").alias("absorbed"), _best(F.col("x.centroid"), F.col("targets")).alias("m"))
+    return found.where(F.col("m.similarity") >= least_similarity).select("uri", "absorbed", (-F.col("m.minus")).alias("survivor"), F.col("m.similarity").alias("similarity"))
 
 
 def merge_closure(merges: DataFrame, most: int = 40) -> DataFrame:
@@ -84,16 +93,6 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure_sql(view: str) -> str:
-    """The closure of a view (uri, absorbed, survivor) as a recursive query; depth stops cycles."""
-    return f"""
-    WITH RECURSIVE walk AS (
-      SELECT uri, absorbed, survivor, 0 AS depth FROM {view}
-      UNION ALL
-      SELECT w.uri, w.absorbed, m.survivor, w.depth + 1 FROM walk w JOIN {view} m ON w.uri = m.uri AND w.survivor = m.absorbed WHERE w.depth < 64)
-    SELECT uri, absorbed, max_by(survivor, depth) AS survivor FROM walk GROUP BY uri, absorbed"""
-
-
 def present(vectors: DataFrame, turns: DataFrame) -> DataFrame:
     """vectors (uri, cluster, …) of the speakers that have a turn (uri, spk)."""
     return vectors.join(turns.select("uri", F.col("spk").alias("cluster")), ["uri", "cluster"], "left_semi")

@@ -48,12 +48,11 @@ def log_top(events: DataFrame, most: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= most).select("tag", "event", "n", "rank", F.greatest(F.col("kinds") - most, F.lit(0)).alias("more"))
 
 
-def parameter_grid(spark, **values: list[float]) -> DataFrame:
-    """One row for every combination of the given values."""
-    grid = spark.range(1).select()
+def parameter_grid(rows: DataFrame, **values: list[float]) -> DataFrame:
+    """rows, each once for every combination of the given values."""
     for name, some in values.items():
-        grid = grid.select("*", F.explode(F.array(*map(F.lit, some))).alias(name))
-    return grid
+        rows = rows.select("*", F.explode(F.array(*map(F.lit, some))).alias(name))
+    return rows
 
 
 def rms(samples: DataFrame, keys: tuple[str, ...]) -> DataFrame:

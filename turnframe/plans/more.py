@@ -63,16 +63,6 @@ def running_insertions(spark, d):
     return sc.running_total(fx.system_turns(spark, d), -(1 + F.col("id") % 2), ["uri"], ["s", "id"])
 
 
-SUBTYPES = ", r AS (SELECT uri, id, s, e, CASE WHEN id % 4 = 0 THEN 'other' ELSE 'statement' END AS subt FROM turns WHERE id % 3 = 0), y AS (SELECT uri, id, s, e, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN id END AS mapped FROM sys)"
-
-
-@query(with_views("turns", "sys", body=SUBTYPES + " SELECT y.uri, y.id FROM y LEFT JOIN r m ON y.mapped = m.id AND y.uri = m.uri WHERE NOT coalesce(m.subt = 'other', false) AND NOT (y.mapped IS NULL AND EXISTS (SELECT 1 FROM r WHERE r.uri = y.uri AND r.subt = 'other' AND (y.s + y.e) / 2 BETWEEN r.s AND r.e))"))
-def discarded_subtype(spark, d):
-    ref = fx.turns(spark, d).where("id % 3 = 0").select("uri", "id", "s", "e", F.when(F.col("id") % 4 == 0, "other").otherwise("statement").alias("subt"))
-    sys = fx.system_turns(spark, d).select("uri", "id", "s", "e", F.expr("CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN id END").alias("mapped"))
-    return sc.without_subtype(ref, sys, "other", WIDTH)[1].select("uri", "id")
-
-
 @query(with_views("turns", body=", g AS (SELECT uri, spk, CASE WHEN spk IN (0, 3) THEN 'm' WHEN spk = 1 THEN 'f' ELSE 'unknown' END AS gender, e - s AS d FROM turns) SELECT uri, gender, spk, count(*) AS n, cast(sum(d) AS bigint) AS duration FROM g GROUP BY GROUPING SETS ((), (uri), (gender), (uri, gender), (uri, spk))"))
 def gender_rollup(spark, d):
     types = spark.createDataFrame([(0, "m"), (1, "f"), (3, "m")], "spk long, gender string")
@@ -156,3 +146,10 @@ def stitch_overlap_all(spark, d):
     cut = F.left("text", half + 15), F.substring("text", F.greatest(half - 15, F.lit(0)) + 1, F.length("text"))
     rows = fx.load(spark, d, "conversations").where("text is not null").select("conv_id", "turn", cut[0].alias("acc"), cut[1].alias("new"))
     return rows.select("conv_id", "turn", F.concat("acc", tx.stitch(F.col("acc"), F.col("new"))).alias("text"))
+
+
+@query("SELECT uri, cast(m.x AS double) AS match_threshold, cast(n.x AS double) AS new_threshold FROM (SELECT DISTINCT event_type AS uri FROM events) e, (SELECT unnest([0.45, 0.5, 0.55, 0.6, 0.65]) AS x) m, (SELECT unnest([0.3, 0.35, 0.4, 0.45, 0.5]) AS x) n")
+def recording_grid(spark, d):
+    """Every recording under every setting of a sweep."""
+    uris = fx.load(spark, d, "events").select(F.col("event_type").alias("uri")).distinct()
+    return ss.parameter_grid(uris, match_threshold=[0.45, 0.5, 0.55, 0.6, 0.65], new_threshold=[0.3, 0.35, 0.4, 0.45, 0.5])

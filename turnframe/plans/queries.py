@@ -348,36 +348,6 @@ def midpoint_in_uem(spark, d):
     return iv.holds_midpoint(turns, turns.groupBy("uri").agg((F.min("s") + 50 * HOP).alias("s"), (F.min("s") + 150 * HOP).alias("e")))
 
 
-ANCHORS = ", anc AS (SELECT uri, t, t + (t // 7919) % 1000000 AS to_ FROM (SELECT uri, s AS t, min(id) AS id FROM turns GROUP BY uri, s) WHERE id % 17 = 0), pts AS (SELECT uri, id, s AS t FROM turns WHERE id % 5 = 1)"
-
-
-@query(
-    with_views(
-        "turns",
-        body=ANCHORS
-        + ", b AS (SELECT p.*, a.t AS t0, a.to_ AS x0 FROM pts p ASOF LEFT JOIN anc a ON p.uri = a.uri AND p.t >= a.t), n AS (SELECT b.*, a.t AS t1, a.to_ AS x1 FROM b ASOF LEFT JOIN anc a ON b.uri = a.uri AND b.t <= a.t) SELECT uri, id, t, round(cast(CASE WHEN t0 = t1 THEN x0 WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN x0 + cast(t - t0 AS double) * (x1 - x0) / (t1 - t0) WHEN t0 IS NOT NULL THEN t + x0 - t0 WHEN t1 IS NOT NULL THEN t + x1 - t1 ELSE t END AS double), 0) AS mapped FROM n",
-    )
-)
-def asof_time_map(spark, d):
-    turns = fx.turns(spark, d)
-    anchors = turns.groupBy("uri", F.col("s").alias("t")).agg(F.min("id").alias("id")).where("id % 17 = 0").select("uri", "t", F.expr("t + (t div 7919) % 1000000").alias("to"))
-    points = turns.where("id % 5 = 1").select("uri", "id", F.col("s").alias("t"))
-    return iv.interpolated(points, anchors).withColumn("mapped", F.round("mapped", 0))
-
-
-WORDS = ", wd AS (SELECT uri, row_number() OVER (PARTITION BY uri ORDER BY s, id) AS idx, s, e FROM turns), ev AS (SELECT uri, id, s - 300000000 AS s, e + 300000000 AS e FROM turns WHERE id % 9 = 0)"
-
-
-@query(with_views("turns", body=WORDS + " SELECT v.uri, v.id, min(w.idx) AS first, max(w.idx) AS last FROM ev v LEFT JOIN wd w ON w.uri = v.uri AND (w.s + w.e) // 2 BETWEEN v.s AND v.e GROUP BY v.uri, v.id"))
-def word_index_range(spark, d):
-    from pyspark.sql import Window
-
-    turns = fx.turns(spark, d)
-    words = turns.select("uri", F.row_number().over(Window.partitionBy("uri").orderBy("s", "id")).cast("long").alias("idx"), "s", "e")
-    events = turns.where("id % 9 = 0").select("uri", "id", (F.col("s") - 300 * SECOND).alias("s"), (F.col("e") + 300 * SECOND).alias("e"))
-    return iv.index_range(events, words, WIDTH)
-
-
 # --- vectors and clusters -------------------------------------------------------------------------------------------
 
 CENTROIDS = """, dims AS (SELECT uri, label AS cluster, duration, unnest(vec) AS x, unnest(generate_series(1, len(vec))) AS dim FROM obs),
@@ -566,19 +536,6 @@ def log_top_n(spark, d):
     return ss.log_top(ss.log_events(_log(spark, d)), 1)
 
 
-@query("SELECT cast(m.x AS double) AS match_threshold, cast(n.x AS double) AS new_threshold FROM (SELECT unnest([0.45, 0.5, 0.55, 0.6, 0.65]) AS x) m, (SELECT unnest([0.3, 0.35, 0.4, 0.45, 0.5]) AS x) n")
-def param_grid(spark, d):
-    return ss.parameter_grid(spark, match_threshold=[0.45, 0.5, 0.55, 0.6, 0.65], new_threshold=[0.3, 0.35, 0.4, 0.45, 0.5])
-
-
-@query(
-    "WITH c AS (SELECT conv_id, turn, left(text, 40) AS acc, substr(text, 26, 60) AS new FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, coalesce(list_max(list_filter(generate_series(0, least(50, length(acc), length(new))), lambda k: suffix(acc, left(new, k)))), 0) AS k FROM c) SELECT conv_id, turn, acc || substr(new, cast(k AS int) + 1) AS text FROM k"
-)
-def stitch_overlap(spark, d):
-    rows = fx.load(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.left("text", F.lit(40)).alias("acc"), F.substring("text", 26, 60).alias("new"))
-    return rows.select("conv_id", "turn", F.concat("acc", tx.stitch(F.col("acc"), F.col("new"))).alias("text"))
-
-
 @query(with_views("transcript", body=", f AS (SELECT uri, speaker_id, min(s) AS s0, arg_min(e, (s, e)) AS e0 FROM transcript GROUP BY ALL) SELECT uri, speaker_id, cast((row_number() OVER (PARTITION BY uri ORDER BY s0, e0, speaker_id) - 1) % 3 AS int) AS lane FROM f"))
 def lane_allocation(spark, d):
     return ss.lanes(fx.transcript(spark, d)).withColumn("lane", F.col("lane").cast("int"))
