@@ -22,6 +22,8 @@ SAME_KIND, LONE = 0.1, 0.2
 SOUNDS = ("non-lex", "misc")
 SINGLE = ("mm-hmm", "uh-huh", "um-hmm")
 RIGHT = -0.5
+#: Scores are counted in whole millionths, so that equal paths are equal; and the score of what can't be.
+UNITS, NEVER = 1_000_000, -(1 << 60)
 
 
 def word_count(word: str, wtype: str) -> int:
@@ -56,23 +58,39 @@ def align(refs: Sequence, syss: Sequence, gap: float, score: Callable = pair_sco
 
     Only words that overlap, or come within gap, can pair. most_behind prunes: a path whose score, with the rest of the
     other side left alone, lies that far behind the best of its row is not extended by a pair. A pair has to be better than
-    leaving both alone.
+    leaving both alone. A row of the table is a few array operations, and pairs are scored in the band of time of their word.
     """
     n, m = len(refs), len(syss)
-    left = np.concatenate([[0.0], np.cumsum([lone(s) for s in syss])])
-    total, step = np.empty((n + 1, m + 1)), np.full((n + 1, m + 1), 2, np.int8)
-    total[0], step[1:, 0] = left, 1
+    whole = lambda x: int(round(x * UNITS))
+    known: dict = {}
+    left = np.concatenate([[0], np.cumsum([whole(lone(s)) for s in syss], dtype=np.int64)]).astype(np.int64)
+    starts, ends = np.array([s.s for s in syss], float), np.array([s.e for s in syss], float)
+    reach = np.maximum.accumulate(ends) if m else ends
+    step = np.full((n + 1, m + 1), 2, np.int8)
+    before, step[1:, 0] = left, 1
+    behind = None if np.isinf(most_behind) else whole(most_behind)
     for i, r in enumerate(refs, 1):
-        before, cost = total[i - 1], lone(r)
-        ahead = before - left
-        floor = ahead.max() - most_behind
-        row = total[i]
-        row[0] = before[0] + cost
-        for j, s in enumerate(syss, 1):
-            drop, add = before[j] + cost, row[j - 1] + left[j] - left[j - 1]
-            row[j], step[i, j] = (drop, 1) if drop >= add else (add, 2)
-            if ahead[j - 1] >= floor and min(r.e, s.e) - max(r.s, s.s) + gap > 0 and (pair := before[j - 1] + score(r, s)) > row[j]:
-                row[j], step[i, j] = pair, 3
+        cost = whole(lone(r))
+        drop, pair = before + cost, np.full(m + 1, NEVER)
+        # only the words of a band of time can pair
+        lo, hi = int(np.searchsorted(reach, r.s - gap, side="right")), int(np.searchsorted(starts, r.e + gap, side="left"))
+        near = lo + np.flatnonzero(np.minimum(ends[lo:hi], r.e) - np.maximum(starts[lo:hi], r.s) + gap > 0)
+        if behind is not None:
+            ahead = before - left
+            near = near[ahead[near] >= ahead.max() - behind]
+        for j in near:
+            kind = (r.word, r.wtype, syss[j].word, syss[j].wtype) if score is pair_score else None
+            if kind is None:
+                x = whole(score(r, syss[j]))
+            elif (x := known.get(kind)) is None:
+                x = known[kind] = whole(score(r, syss[j]))
+            pair[j + 1] = before[j] + x
+        # leaving words of the other side alone, from the best place before, is a running maximum
+        row = left + np.maximum.accumulate(np.maximum(drop, pair) - left)
+        add = np.concatenate([[NEVER], row[:-1] + np.diff(left)])
+        step[i] = np.where(pair > np.maximum(drop, add), 3, np.where(drop >= add, 1, 2))
+        step[i, 0] = 1
+        before = row
     out, i, j = [], n, m
     while i or j:
         k = step[i, j]

@@ -110,28 +110,47 @@ def online_clusters(observations: DataFrame, cfg: EngineConfig | None = None) ->
 
 
 def agglomerate(vectors: np.ndarray, threshold: float, linkage: str = "average") -> list[int]:
-    """Labels of hierarchical clustering by cosine distance, cut strictly below 1 - threshold; labels count up in order of first member."""
+    """Labels of hierarchical clustering by cosine distance, cut strictly below 1 - threshold; labels count up in order of first member.
+
+    Chains of nearest neighbours: two clusters that are each other's nearest merge, whatever is nearer elsewhere, as these
+    linkages never bring a merged cluster nearer to a third than its parts were. Time grows with the square of the rows. A
+    cluster without another within the cut never merges and leaves. Average distances come from sums of unit vectors, a row at
+    a time; complete and single linkage keep a matrix.
+    """
     n = len(vectors)
     if n == 0:
         return []
-    unit_rows = np.stack([unit(np.asarray(v, float)) for v in vectors])
-    dist = 1 - unit_rows @ unit_rows.T
-    np.fill_diagonal(dist, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    sums = np.stack([unit(np.asarray(v, float)) for v in vectors])
+    size, label, alive, cut = np.ones(n), np.arange(n), np.ones(n, bool), 1 - threshold
+    dist = None if linkage == "average" else 1 - sums @ sums.T
+
+    def row(i: int) -> np.ndarray:
+        d = 1 - (sums @ sums[i]) / (size * size[i]) if dist is None else dist[i].copy()
+        d[~alive] = np.inf
+        d[i] = np.inf
+        return d
+
+    chain: list[int] = []
     while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(dist)), n)
-        if not dist[i, j] < 1 - threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        if linkage == "average":
-            row = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        d = row(chain[-1])
+        j = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+        if not d[j] < cut:
+            alive[chain.pop()] = False
+            continue
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
+        if dist is None:
+            sums[i] += sums[j]
         else:
-            row = np.maximum(dist[i], dist[j]) if linkage == "complete" else np.minimum(dist[i], dist[j])
+            near = (np.maximum if linkage == "complete" else np.minimum)(dist[i], dist[j])
+            dist[i], dist[:, i] = near, near
         size[i] += size[j]
-        row[~alive] = np.inf
-        row[[i, j]] = np.inf
-        dist[i], dist[:, i] = row, row
-        dist[j], dist[:, j] = np.inf, np.inf
         alive[j] = False
         label[label == label[j]] = label[i]
     first: dict[int, int] = {}
@@ -139,7 +158,7 @@ def agglomerate(vectors: np.ndarray, threshold: float, linkage: str = "average")
 
 
 def ahc_clusters(observations: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
-    """(uri, chunk, local, global_id): every recording clustered as a whole. Memory grows with the square of a recording's observations."""
+    """(uri, chunk, local, global_id): every recording clustered as a whole, in one task. With average linkage memory grows with its observations, else with their square."""
     cfg = cfg or EngineConfig()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

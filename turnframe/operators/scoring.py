@@ -30,16 +30,16 @@ def speaker_mapping(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("uri").applyInPandas(_map_recording, f"uri {kinds['uri']}, ref {kinds['ref']}, sys {kinds['sys']}, overlap long")
 
 
-def active_counts(ref: DataFrame, sys: DataFrame, width: int = BUCKET) -> DataFrame:
-    """(uri, a, b, n_ref, n_sys): stretches between consecutive boundaries of either timeline, with the open turns of each."""
+def active_counts(ref: DataFrame, sys: DataFrame, width: int = BUCKET, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
+    """(keys, a, b, n_ref, n_sys): stretches between consecutive boundaries of either timeline, with the open turns of each."""
 
     def marks(df, r, s):
         pair = F.array(F.struct(F.col("s").alias("t"), F.lit(r).alias("r"), F.lit(s).alias("s")), F.struct(F.col("e").alias("t"), F.lit(-r).alias("r"), F.lit(-s).alias("s")))
-        return df.where("e > s").select("uri", F.explode(pair).alias("m")).select("uri", "m.t", "m.r", "m.s")
+        return df.where("e > s").select(*keys, F.explode(pair).alias("m")).select(*keys, "m.t", "m.r", "m.s")
 
-    steps = marks(ref, 1, 0).union(marks(sys, 0, 1)).groupBy("uri", "t").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    swept = scanned(steps, ("uri",), "t", ["t"], width, n_ref=("sum", "r"), n_sys=("sum", "s"), b=("lead", "t"))
-    return swept.where("b is not null and n_ref + n_sys > 0").select("uri", F.col("t").alias("a"), "b", "n_ref", "n_sys")
+    steps = marks(ref, 1, 0).union(marks(sys, 0, 1)).groupBy(*keys, "t").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+    swept = scanned(steps, keys, "t", ["t"], width, n_ref=("sum", "r"), n_sys=("sum", "s"), b=("lead", "t"))
+    return swept.where("b is not null and n_ref + n_sys > 0").select(*keys, F.col("t").alias("a"), "b", "n_ref", "n_sys")
 
 
 def error_components(ref: DataFrame, sys: DataFrame, uem: DataFrame, width: int, mapping_uem: DataFrame | None = None) -> DataFrame:
@@ -136,6 +136,36 @@ def type_confusion(overlaps: DataFrame, types: DataFrame) -> DataFrame:
     return typed.groupBy("ref_type", "sys_type").agg(F.count(F.lit(1)).alias("pairs"), F.sum("overlap").alias("time"))
 
 
+MISS, FALSE_ALARM = "MISS", "FALSE ALARM"
+
+
+def type_time(ref: DataFrame, sys: DataFrame, types: list[str], width: int = BUCKET) -> DataFrame:
+    """(uri, ref_type, sys_type, time): speaker time by types of turns (uri, type, s, e), over stretches in which the open turns stay the same.
+
+    In a stretch a pair of types shares as many speakers as both have there; a type of ref misses as many as it has beyond all
+    of sys, and one of sys raises as many false alarms as it has beyond all of ref. Each cell is a sweep of its own two
+    timelines, so no stretch carries sets of speakers.
+    """
+    every = lambda kinds: F.explode(F.array(*map(F.lit, kinds)))
+    keys, d = ("uri", "ref_type", "sys_type"), F.col("b") - F.col("a")
+    own_ref, own_sys = ref.withColumnRenamed("type", "ref_type"), sys.withColumnRenamed("type", "sys_type")
+    left = own_ref.withColumn("sys_type", every([*types, MISS])).union(ref.select("uri", F.lit(FALSE_ALARM).alias("ref_type"), "s", "e", every(types).alias("sys_type")).select("uri", "ref_type", "s", "e", "sys_type"))
+    right = own_sys.withColumn("ref_type", every([*types, FALSE_ALARM])).select("uri", "ref_type", "s", "e", "sys_type")
+    right = right.union(sys.select("uri", every(types).alias("ref_type"), "s", "e", F.lit(MISS).alias("sys_type")))
+    counts = active_counts(left.select(*keys, "s", "e"), right.select(*keys, "s", "e"), width, keys)
+    n = F.when(F.col("sys_type") == MISS, F.greatest(F.col("n_ref") - F.col("n_sys"), F.lit(0))).when(F.col("ref_type") == FALSE_ALARM, F.greatest(F.col("n_sys") - F.col("n_ref"), F.lit(0))).otherwise(F.least("n_ref", "n_sys"))
+    return counts.groupBy(*keys).agg(F.sum(n * d).alias("time")).where("time > 0")
+
+
+def type_counts(ref: DataFrame, sys: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(uri, ref_type, sys_type, speakers): speakers of ref (uri, spk, type) by their type and that of the speaker they are mapped to (uri, ref, sys), and speakers of sys that none is mapped to."""
+    r = ref.select("uri", F.col("spk").alias("ref"), F.col("type").alias("ref_type")).distinct()
+    s = sys.select("uri", F.col("spk").alias("sys"), F.col("type").alias("sys_type")).distinct()
+    told = r.join(mapping.select("uri", "ref", "sys"), ["uri", "ref"], "left").join(s, ["uri", "sys"], "left").select("uri", "ref_type", F.coalesce("sys_type", F.lit(MISS)).alias("sys_type"))
+    alone = s.join(mapping.select("uri", "sys"), ["uri", "sys"], "left_anti").select("uri", F.lit(FALSE_ALARM).alias("ref_type"), "sys_type")
+    return told.union(alone).groupBy("uri", "ref_type", "sys_type").agg(F.count(F.lit(1)).alias("speakers"))
+
+
 def error_table(components: DataFrame, most: float = 999.99) -> DataFrame:
     """(uri, kind, amount, percent): deletions, insertions and substitutions, in percent of the scored time, at most `most`."""
     long = components.selectExpr("uri", "scored", "stack(3, 'del', miss, 'ins', fa, 'sub', err) as (kind, amount)")

@@ -14,6 +14,7 @@ from turnframe.operators import intervals as iv
 from turnframe.operators import scoring as sc
 from turnframe.operators import sessions as ss
 from turnframe.plans.queries import BOTH, COUNTS, GAP, MERGE, STATUS, WIDTH, _recursive, _ref, _status, _sys, query
+from turnframe.plans.replay import zipped
 from turnframe.streaming.turns import merged_turns
 
 NEAR = 60 * SECOND
@@ -153,3 +154,45 @@ def recording_grid(spark, d):
     """Every recording under every setting of a sweep."""
     uris = fx.load(spark, d, "events").select(F.col("event_type").alias("uri")).distinct()
     return ss.parameter_grid(uris, match_threshold=[0.45, 0.5, 0.55, 0.6, 0.65], new_threshold=[0.3, 0.35, 0.4, 0.45, 0.5])
+
+
+@query()
+def word_alignment_islands(spark, d):
+    """Words with pauses shorter than the gap, so that a whole text is one island, heard late, with some lost, altered and doubled."""
+    uri = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    words = fx.load(spark, d, "conversations").where("text is not null").select(uri.alias("uri"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("i", "word"))
+    words = words.select("uri", (F.col("i") * 2).alias("idx"), "word", (F.col("i") * 900).alias("s"), (F.col("i") * 900 + 700).alias("e"))
+    late = words.where("idx % 14 <> 0").withColumns({"s": F.col("s") + F.col("idx") % 5 * 60, "e": F.col("e") + F.col("idx") % 3 * 90, "word": F.when(F.col("idx") % 10 == 0, F.concat("word", F.lit("x"))).otherwise(F.col("word"))})
+    heard = late.union(late.where("idx % 22 = 2").withColumn("idx", F.col("idx") + 1))
+    return al.word_errors(al.aligned_words(words, heard, gap=500)).withColumn("wer", F.round("wer", 6))
+
+
+TYPED = BOTH + ", ty AS (SELECT * FROM (VALUES (0, 'm'), (1, 'f'), (3, 'm')) v(spk, type)), tr AS (SELECT m.uri, m.spk, coalesce(ty.type, 'unknown') AS type, s, e FROM turns_m m LEFT JOIN ty USING (spk)), tz AS (SELECT m.uri, m.spk, coalesce(ty.type, 'unknown') AS type, s, e FROM sys_m m LEFT JOIN ty USING (spk))"
+STRETCHES = """, tb AS (SELECT uri, s AS t FROM tr UNION SELECT uri, e FROM tr UNION SELECT uri, s FROM tz UNION SELECT uri, e FROM tz),
+tg AS (SELECT uri, t AS a, lead(t) OVER (PARTITION BY uri ORDER BY t) AS b FROM tb),
+cr AS (SELECT g.uri, a, b - a AS d, x.type, count(*) AS n FROM tg g JOIN tr x ON x.uri = g.uri AND x.s <= a AND x.e >= b GROUP BY ALL),
+cz AS (SELECT g.uri, a, b - a AS d, x.type, count(*) AS n FROM tg g JOIN tz x ON x.uri = g.uri AND x.s <= a AND x.e >= b GROUP BY ALL),
+wr AS (SELECT uri, a, sum(n) AS n FROM cr GROUP BY ALL), wz AS (SELECT uri, a, sum(n) AS n FROM cz GROUP BY ALL)
+SELECT uri, ref_type, sys_type, cast(sum(x) AS bigint) AS time FROM (
+  SELECT cr.uri, cr.type AS ref_type, cz.type AS sys_type, least(cr.n, cz.n) * cr.d AS x FROM cr JOIN cz ON cr.uri = cz.uri AND cr.a = cz.a
+  UNION ALL SELECT cr.uri, cr.type, 'MISS', greatest(cr.n - coalesce(wz.n, 0), 0) * cr.d FROM cr LEFT JOIN wz ON cr.uri = wz.uri AND cr.a = wz.a
+  UNION ALL SELECT cz.uri, 'FALSE ALARM', cz.type, greatest(cz.n - coalesce(wr.n, 0), 0) * cz.d FROM cz LEFT JOIN wr ON cz.uri = wr.uri AND cz.a = wr.a)
+GROUP BY ALL HAVING sum(x) > 0"""
+
+
+def _typed(spark, turns):
+    types = spark.createDataFrame([(0, "m"), (1, "f"), (3, "m")], "spk long, type string")
+    return turns.join(types, "spk", "left").fillna("unknown", ["type"])
+
+
+@query(with_views("turns", "sys", body=TYPED + STRETCHES))
+def type_time(spark, d):
+    ref, sys = (_typed(spark, x).select("uri", "type", "s", "e") for x in (_ref(spark, d), _sys(spark, d)))
+    return sc.type_time(ref, sys, ["m", "f", "unknown"])
+
+
+@query("SELECT conv_id, turn, text, octet_length(encode(text)) AS bytes FROM conversations WHERE text IS NOT NULL")
+def zipped_rows(spark, d):
+    """Two tables in one order, without a key, side by side."""
+    rows = fx.load(spark, d, "conversations").where("text is not null").orderBy("conv_id", "turn")
+    return zipped(rows.select("conv_id", "turn"), rows.select("text", F.octet_length("text").cast("long").alias("bytes")))
