@@ -420,21 +420,27 @@ def test_language_of_documents_held_out(spark):
     assert len(said) > 200 and sum(said) / len(said) > 0.98
 
 
+@pytest.mark.filterwarnings("ignore:the targets")
 def test_rates_are_those_of_a_plain_projected_gradient(spark):
-    from turnframe.llm.mixing import GRID, fitted_rates
+    """Document by document, off the grid, and run until nothing moves."""
+    from turnframe.llm.mixing import FIRM, RIDGE, fitted_rates
 
     rng = np.random.default_rng(3)
-    q = rng.multinomial(GRID, [0.5, 0.3, 0.2], 200)
-    q[:60] = [GRID, 0, 0]  # a third of the rows in one cell
+    p = rng.dirichlet([0.6, 0.4, 0.3], 200)
+    p[:60] = [1.0, 0.0, 0.0]  # a third of the rows in one cell
     n = rng.integers(0, 500, 200)
-    members = spark.createDataFrame([(i, int(k), (row / GRID).tolist()) for i, (k, row) in enumerate(zip(n, q))], "doc_id long, n_tokens long, p array<double>")
-    for targets, total in (({"high": 0.7, "low": 0.3, "toxic": 0.0}, 20_000.0), ({"high": 0.2, "low": 0.5, "toxic": 0.3}, 30_000.0)):
+    members = spark.createDataFrame([(i, int(k), row.tolist()) for i, (k, row) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p array<double>")
+    have = n @ p
+    for targets, total in (({"high": 0.7, "low": 0.3, "toxic": 0.0}, 20_000.0), ({"high": 0.2, "low": 0.5, "toxic": 0.3}, 30_000.0), ({"high": 1.0}, 90_000.0)):
         got = np.array([r.rate for r in fitted_rates(members, targets, total).orderBy("doc_id").collect()])
-        p, rate = q / GRID, np.ones(200)
-        want, have = total * np.array([targets[d] for d in ("high", "low", "toxic")]), n @ p
-        for _ in range(60):  # row by row, without cells
-            rate = np.maximum(rate - p @ (((rate * n) @ p - want) / have), 0)
+        want, rate = total * np.array([targets.get(d, 0.0) for d in ("high", "low", "toxic")]), np.ones(200)
+        heavy = np.where(want > 0, FIRM, 1.0)
+        for _ in range(60_000):
+            rate = np.maximum(rate - (p @ (heavy * ((rate * n) @ p - want) / have) + RIDGE * (rate - 1)) / (FIRM + RIDGE), 0)
         assert np.abs(got - rate).max() < 1e-3
+        # and that is an optimum: no rate's pull is left, but for those held at zero
+        pull = p @ (heavy * ((rate * n) @ p - want) / have) + RIDGE * (rate - 1)
+        assert np.abs(pull[rate > 1e-9]).max() < 1e-6 and (pull[rate == 0] > -1e-9).all()
 
 
 def test_targets_out_of_reach_are_told(spark):

@@ -4,10 +4,11 @@ A classifier learnt from the label table gives each document a posterior over th
 it is to be drawn; the rates are the nonnegative least-squares fit of the expected token totals of the domains (rate x
 tokens x posterior, summed) to their targets, found by projected gradient from rates of one.
 
-For the fit, posteriors come in steps of 1 / GRID: documents of one cell of the simplex have the same gradient in every step. The corpus is summed into cells once, a distributed aggregate; the steps then run over the cells, of
-which there are at most (GRID + 1)(GRID + 2) / 2 whatever the corpus. There are STEPS of them: what the corpus can meet is
-met by then, and a target that only the tails of the posteriors stand against, such as nothing toxic at all, has taken the
-documents that are likely toxic and not yet all that may be. A warning says how far from the targets a fit ends.
+Minimised are the squared residuals of the domains, each as a share of its domain's tokens and FIRM times as heavy where the
+target is positive, and RIDGE times the squared distance of the rates from one, weighted by tokens. So targets that the corpus
+can meet are met, and one that only the tails of the posteriors stand against, such as nothing toxic at all, takes the
+documents that are likely toxic and not all that may be. The solution is unique and the fit runs until it stands still; a
+warning says how far from the targets it lies.
 
 Domains: toxic (toxic is 1), else high (quality is 1) or low (quality is 0). A label row with a null is no label; a document
 with several label rows trains with each, and repeated rows train once. Training uses at most SAMPLE labelled rows (in
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnframe.llm.common import join_rows, text_key, whole_rows, written
@@ -44,8 +45,9 @@ SAMPLE, PENALTY, STEM = 20_000, 1.0, 6
 AT_ONCE, STEPS_ROUGH = 100, 60
 #: The chosen terms are fitted again with this part of the penalty: it chooses well, but shrinks too much for a posterior.
 RELAXED = 0.3
-GRID = 256
-STEPS, TOLERANCE = 60, 1e-4
+#: Cells a side of the triangle of posteriors, over which the fit runs; the weights of rates near one and of positive targets;
+#: the change at which a step stands still; and the share by which a domain may be off without a warning.
+GRID, RIDGE, FIRM, STILL, TOLERANCE = 256, 1 / 60, 32.0, 1e-10, 0.01
 
 WORD = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
@@ -239,47 +241,61 @@ def with_posteriors(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
 # --- the rates ------------------------------------------------------------------------------------------------------
 
 
-def fit(tokens: np.ndarray, p: np.ndarray, want: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """(rate of each cell, largest error as a share of its domain's tokens) by projected gradient from rates of one.
+def fit(tokens: np.ndarray, p: np.ndarray, want: np.ndarray, ridge: float = RIDGE, firm: float = FIRM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rate of each cell, residual of each domain as a share of its tokens, the pull of each domain on a rate) by projected gradient.
 
-    A residual is scaled by its domain's tokens, which bounds the curvature by one, so that a step of one never overshoots.
+    Measured by tokens, the curvature lies between ridge and firm + ridge, so that steps of their inverse never overshoot, and
+    steps with the momentum of that ratio get there in time.
     """
     have = tokens @ p
-    scale = np.where(have > 0, have, 1.0)
-    rate, worst = np.ones(len(tokens)), 0.0
-    for _ in range(steps):
-        error = ((rate * tokens) @ p - want) / scale * (have > 0)
-        worst = float(np.abs(error).max(initial=0))
-        new = np.maximum(rate - p @ error, 0)
-        if worst < TOLERANCE / 10 or np.abs(new - rate).max(initial=0) < 1e-9:
-            break
-        rate = new
-    return rate, worst
+    scale, heavy = np.where(have > 0, have, 1.0), np.where(want > 0, firm, 1.0) * (have > 0)
+    top = heavy.max(initial=0) + ridge
+    speed = (1 - np.sqrt(ridge / top)) / (1 + np.sqrt(ridge / top))
+    rate = ahead = np.ones(len(tokens))
+    while True:
+        error = ((ahead * tokens) @ p - want) / scale
+        new = np.maximum(ahead - (p @ (heavy * error) + ridge * (ahead - 1)) / top, 0)
+        moved = max(np.abs(new - rate).max(initial=0), np.abs(new - ahead).max(initial=0))
+        ahead, rate = new + speed * (new - rate), new
+        if moved < STILL:
+            error = ((rate * tokens) @ p - want) / scale
+            return rate, error * (have > 0), heavy * error
+
 
+def rate_of(p: Column, pull: Column, ridge: float = RIDGE) -> Column:
+    """The rate of a document at the optimum: what its own posteriors and the domains' pulls make of it."""
+    return F.greatest(1 - F.aggregate(F.zip_with(p, pull, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / ridge, F.lit(0.0))
 
-def fitted_rates(members: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, steps: int = STEPS) -> DataFrame:
-    """members (…, n_tokens, p) with rate. targets: shares of DOMAINS; total: of tokens."""
+
+def fitted_rates(members: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, ridge: float = RIDGE, firm: float = FIRM) -> DataFrame:
+    """members (…, n_tokens, p) with rate. targets: shares of DOMAINS; total: of tokens.
+
+    Tokens and mean posteriors are summed over all documents into at most GRID ** 2 / 2 cells of like posteriors, and one
+    task runs the gradient over the cells. A document's rate then comes from its own posteriors and the pulls found, so that
+    cells change nothing but those, and by little.
+    """
     targets = targets or TARGETS
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     share = share / (share.sum() or 1)
     first, second = F.rint(F.col("p")[0] * GRID).cast("int"), F.rint(F.col("p")[1] * GRID).cast("int")
-    celled = members.withColumn("cell", first * (GRID + 1) + F.least(second, GRID - first))
-    cells = written(celled.groupBy("cell").agg(F.sum(F.col("n_tokens").cast("double")).alias("tokens")), "cells")
+    own = members.select((first * (GRID + 1) + F.least(second, GRID - first)).alias("cell"), F.col("n_tokens").cast("double").alias("t"), "p")
+    cells = own.groupBy("cell").agg(F.sum("t").alias("tokens"), *[F.sum(F.col("t") * F.col("p")[k]).alias(f"p{k}") for k in range(len(DOMAINS))])
 
     def fits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_cells = pd.concat([pd.DataFrame({"cell": [], "tokens": []}), *parts])
-        cell, tokens = all_cells["cell"].to_numpy(np.int64), all_cells["tokens"].to_numpy(float)
-        p = np.stack([cell // (GRID + 1), cell % (GRID + 1), GRID - cell // (GRID + 1) - cell % (GRID + 1)], 1) / GRID
+        all_cells = pd.concat([pd.DataFrame({"tokens": [], **{f"p{k}": [] for k in range(len(DOMAINS))}}), *parts])
+        all_cells = all_cells[all_cells["tokens"] > 0]
+        tokens = all_cells["tokens"].to_numpy(float)
+        p = all_cells[[f"p{k}" for k in range(len(DOMAINS))]].to_numpy(float) / tokens[:, None]
         have = tokens @ p
         goal = total if total is not None else max([h / s for h, s in zip(have, share) if s > 0 and h > 0], default=0.0)
-        rate, worst = fit(tokens, p, goal * share, steps)
-        yield pd.DataFrame({"cell": cell, "rate": rate, "worst": worst})
+        _, error, pull = fit(tokens, p, goal * share, ridge, firm)
+        yield pd.DataFrame({"error": [error.tolist()], "pull": [pull.tolist()]})
 
-    found = written(cells.coalesce(1).mapInPandas(fits, "cell int, rate double, worst double"), "rates")
-    worst = found.agg(F.max("worst")).first()[0] or 0.0
+    error, pull = written(cells, "cells").coalesce(1).mapInPandas(fits, "error array<double>, pull array<double>").first()
+    worst = max(map(abs, error))
     if worst > TOLERANCE:
         warnings.warn(f"the targets are not met: a domain is off by {worst:.4f} of its tokens", stacklevel=2)
-    return celled.join(found.select("cell", "rate"), "cell").select(*members.columns, "rate")
+    return members.withColumn("rate", rate_of(F.col("p"), F.array(*map(F.lit, pull)), ridge))
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
