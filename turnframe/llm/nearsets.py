@@ -2,8 +2,9 @@
 
 A row's set holds 64-bit hashes of its word shingles, of which only the prefix is stored, in one global order: shingles that are frequent in a sample of the
 rows last, else by hash. Two sets of similarity t or more share an element within their first n - ceil(t n) + 1, so they
-meet in the bucket of such an element; lengths and places in the order rule out most that meet by chance, and the rest
-are compared set by set. The sample tells frequent shingles only; it settles how fast the join is, not what it finds.
+meet in the bucket of such an element. Lengths, places in the order and sketches rule out most that meet by chance, and the
+rest are compared set by set. A sketch has SKETCH bits, each the parity of the elements that fall on it; two sketches differ in
+no more bits than their sets differ in elements, so it never rules out a pair of the similarity. The sample tells frequent shingles only; it settles how fast the join is, not what it finds.
 
 Groups are wanted, not pairs: every set is compared with the first of its bucket, and then only with those that are not
 in its group yet. A large group of near copies so takes time in proportion to its rows.
@@ -27,7 +28,9 @@ from turnframe.llm.components import components
 
 #: One row in SAMPLE is looked at for frequent shingles; those in OFTEN sampled rows or more are, at most MOST of them.
 SAMPLE, OFTEN, MOST = 16, 4, 65_536
-ROW = "node long, n int, shingles array<long>"
+#: Bits of a sketch: two columns of 64.
+SKETCH = 128
+ROW = "node long, n int, k0 long, k1 long, shingles array<long>"
 
 
 def shingles_of(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -55,22 +58,23 @@ def _rows(width: int, late: np.ndarray | None = None, similarity: float | None =
 
     @F.pandas_udf(ROW)
     def rows(texts: pd.Series) -> pd.DataFrame:
-        nodes, sets, sizes = [], [], []
+        nodes, sets, sizes, sketches = [], [], [], []
         for text in texts:
             s = shingles_of(text, width)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
+            sketches.append(np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
             if place is not None and len(s):
                 at = np.minimum(np.searchsorted(place[0], s), len(place[0]) - 1)
                 s = s[np.lexsort((s, np.where(place[0][at] == s, place[1][at] + 1, 0)))]
             sizes.append(len(s))
             sets.append(s if similarity is None else s[: prefix_size(len(s), similarity)])
-        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), "shingles": pd.Series(sets, dtype=object)})
+        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), **{f"k{i}": [k[i] for k in sketches] for i in (0, 1)}, "shingles": pd.Series(sets, dtype=object)})
 
     return rows
 
 
 def prefixes(documents: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, node, n, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
+    """(doc_id, node, n, k0, k1, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
     some = documents.where(F.rand(42) < 1 / SAMPLE)
     seen = some.select(F.explode(_rows(width)("text")["shingles"]).alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     late = seen.orderBy(F.desc("count"), "h").limit(MOST).select("h").toPandas()["h"].to_numpy(np.int64)[::-1]
@@ -78,10 +82,11 @@ def prefixes(documents: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def _may(similarity: float, a: str, b: str) -> Column:
-    """Sets that meet at places pos (from 0) of a and b can have the similarity, if nothing before is shared."""
+    """Sets that meet at places pos (from 0) of a and b can have the similarity, if nothing before is shared; and by their sketches, too."""
     both = F.col(f"{a}n") + F.col(f"{b}n")
     need = F.ceil(both * (similarity / (1 + similarity)) - 1e-9)
-    return F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) >= need
+    apart = F.bit_count(F.col(f"{a}k0").bitwiseXOR(F.col(f"{b}k0"))) + F.bit_count(F.col(f"{a}k1").bitwiseXOR(F.col(f"{b}k1")))
+    return (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) >= need)
 
 
 def whole_sets(documents: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -101,21 +106,21 @@ def _alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
 
 
 def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Edges (u, v) between nodes of prefixes (node, n, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
+    """Edges (u, v) between nodes of prefixes (node, n, k0, k1, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
     once = sets.where("n > 0").dropDuplicates(["node"])  # copies of a set meet as one node
-    each = once.select("node", "n", F.posexplode("shingles").alias("pos", "h"))
+    each = once.select("node", "n", "k0", "k1", F.posexplode("shingles").alias("pos", "h"))
     dealt = each.repartition("h")
-    buckets = dealt.groupBy("h").agg(F.min(F.struct("n", "node", "pos")).alias("first"), F.max(F.struct("n", "node", "pos")).alias("last")).where("first.node <> last.node").select("h", "first")
-    shared = dealt.join(buckets, "h").select("h", "node", "n", "pos", F.col("first.node").alias("f_node"), F.col("first.n").alias("f_n"), F.col("first.pos").alias("f_pos"))
+    buckets = dealt.groupBy("h").agg(F.min(F.struct("n", "node", "pos", "k0", "k1")).alias("first"), F.max(F.struct("n", "node", "pos", "k0", "k1")).alias("last")).where("first.node <> last.node").select("h", "first")
+    shared = dealt.join(buckets, "h").select("h", "node", "n", "pos", "k0", "k1", *[F.col(f"first.{c}").alias(f"f_{c}") for c in ("node", "n", "pos", "k0", "k1")])
     shared = written(shared, "shared")
     firsts = written(shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_")).select(F.least("node", "f_node").alias("u"), F.greatest("node", "f_node").alias("v")).distinct(), "firsts")
     edges = written(_alike(firsts, sets_of, similarity), "first_edges")
     groups = written(components(edges), "groups")
     # what is left: pairs that meet in a bucket and lie in different groups
-    own = shared.select("h", "node", "n", "pos").join(groups, "node", "left").select("h", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
+    own = shared.select("h", "node", "n", "pos", "k0", "k1").join(groups, "node", "left").select("h", "node", "n", "pos", "k0", "k1", F.coalesce("component", "node").alias("part"))
     mixed = own.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
     own = written(own.join(mixed, "h", "left_semi"), "apart")
-    a, b = own.toDF("h", "a_node", "a_n", "a_pos", "a_part"), own.toDF("h", "b_node", "b_n", "b_pos", "b_part")
+    a, b = (own.toDF("h", *[f"{x}_{c}" for c in ("node", "n", "pos", "k0", "k1", "part")]) for x in "ab")
     met = a.join(b, (a.h == b.h) & (F.col("a_part") < F.col("b_part")) & _may(similarity, "a_", "b_"))
     rest = met.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
     rest = written(rest.join(firsts, ["u", "v"], "left_anti"), "rest")
