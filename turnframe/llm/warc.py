@@ -170,8 +170,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, cast(octet_length(encode(html)) AS bigint) AS payload_bytes, sha1(html) AS d FROM p),
 b AS (SELECT page_id, payload_bytes, d, list_transform(generate_series(0, 31), lambda i: cast(('0x' || substr(d, 1 + (i // 4) * 5, 5)) AS bigint) // cast(pow(32, 3 - i % 4) AS bigint) % 32) AS q FROM h),
 g AS (SELECT page_id, payload_bytes, array_to_string(list_transform(q, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(x AS int) + 1, 1)), '') AS payload_digest FROM b),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM g)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS k FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN first END AS refers_to
 FROM m
 """
