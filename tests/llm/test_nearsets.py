@@ -78,3 +78,22 @@ def test_empty_table_and_bounds(spark):
     assert near_duplicates(df, width=5, similarity=0.8).collect() == []
     with pytest.raises(ValueError):
         near_duplicates(df, width=5, similarity=0.0)
+
+
+@pytest.mark.parametrize("pairs", [0, 4])
+def test_rounds_of_pivots_and_pairs_left_are_brute_force(spark, monkeypatch, pairs):
+    """Copies of one text, each changed in other places: similarities lie on both sides of the bound and most pairs meet in many buckets."""
+    rng = random.Random(8)
+    base, texts, counted = [f"v{k}" for k in range(100)], {}, []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5, 8))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    count = nearsets.pairs_left
+    monkeypatch.setattr(nearsets, "PAIRS", pairs)
+    monkeypatch.setattr(nearsets, "pairs_left", lambda own: counted.append(count(own)) or counted[-1])
+    got = {r.doc_id: r.component_id for r in alike_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, 0.8).collect()}
+    assert got == plain_groups(texts) and 1 < len(set(got.values())) < len(texts)
+    if pairs == 0:
+        assert len(counted) > 1 and counted[1][1] < counted[0][1]

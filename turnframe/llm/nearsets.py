@@ -4,10 +4,13 @@ A row's set holds 64-bit hashes of its word shingles, of which only the prefix i
 rows last, else by hash. Two sets of similarity t or more share an element within their first n - ceil(t n) + 1, so they
 meet in the bucket of such an element. Lengths, places in the order and sketches rule out most that meet by chance, and the
 rest are compared set by set. A sketch has SKETCH bits, each the parity of the elements that fall on it; two sketches differ in
-no more bits than their sets differ in elements, so it never rules out a pair of the similarity. The sample tells frequent shingles only; it settles how fast the join is, not what it finds.
+no more bits than their sets differ in elements, so it never rules out a pair of the similarity. Folded to 128 bits it goes with
+every row of a bucket, whole only with those that are left after the first comparison. The sample tells frequent shingles only; it settles how fast the join is, not what it finds.
 
-Groups are wanted, not pairs: every set is compared with the first of its bucket, and then only with those that are not
-in its group yet. A large group of near copies so takes time in proportion to its rows.
+Groups are wanted, not pairs: every set is compared with the first of its bucket. Buckets that hold several groups then name
+another set as pivot, and every set of another group is compared with it, round after round, while that joins groups: time in
+proportion to the rows of a round. Pairs of groups that are left are compared pair by pair, each in the first bucket it shares,
+as far as the last BEFORE elements of both prefixes tell. How many rounds there are settles the time, not the result.
 
 Rows: a null or wordless text has the empty set, and those are alike. Texts shorter than a shingle are one shingle. Rows
 with equal sets, or of one doc_id, are one node. An empty table gives an empty result.
@@ -16,6 +19,7 @@ with equal sets, or of one doc_id, are one node. An empty table gives an empty r
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,9 +32,15 @@ from turnframe.llm.components import components
 
 #: One row in SAMPLE is looked at for frequent shingles; those in OFTEN sampled rows or more are, at most MOST of them.
 SAMPLE, OFTEN, MOST = 16, 4, 65_536
-#: Bits of a sketch: two columns of 64.
-SKETCH = 128
-ROW = "node long, n int, k0 long, k1 long, shingles array<long>"
+#: Bits of a sketch, in columns of 64; and the two columns it is folded to: the parities by 128.
+SKETCH = 512
+WHOLE = [f"k{i}" for i in range(SKETCH // 64)]
+FOLDED = ["k0", "k1"]
+#: Rounds of pivots end where the pairs of groups left are PAIRS times the rows, or fewer, or a round leaves more than STILL of them.
+PAIRS, STILL = 4, 0.5
+#: Elements before a place that a row of a bucket knows.
+BEFORE = 4
+ROW = f"node long, n int, {', '.join(f'{k} long' for k in WHOLE)}, shingles array<long>"
 
 
 def shingles_of(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -68,24 +78,24 @@ def _rows(width: int, late: np.ndarray | None = None, similarity: float | None =
                 s = s[np.lexsort((s, np.where(place[0][at] == s, place[1][at] + 1, 0)))]
             sizes.append(len(s))
             sets.append(s if similarity is None else s[: prefix_size(len(s), similarity)])
-        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), **{f"k{i}": [k[i] for k in sketches] for i in (0, 1)}, "shingles": pd.Series(sets, dtype=object)})
+        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), **{c: [k[i] for k in sketches] for i, c in enumerate(WHOLE)}, "shingles": pd.Series(sets, dtype=object)})
 
     return rows
 
 
 def prefixes(documents: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, node, n, k0, k1, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
+    """(doc_id, node, n, the sketch, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
     some = documents.where(F.rand(42) < 1 / SAMPLE)
     seen = some.select(F.explode(_rows(width)("text")["shingles"]).alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     late = seen.orderBy(F.desc("count"), "h").limit(MOST).select("h").toPandas()["h"].to_numpy(np.int64)[::-1]
     return written(documents.select("doc_id", _rows(width, late, similarity)("text").alias("r")).select("doc_id", "r.*"), "prefixes")
 
 
-def _may(similarity: float, a: str, b: str) -> Column:
+def _may(similarity: float, a: str, b: str, sketch: list[str]) -> Column:
     """Sets that meet at places pos (from 0) of a and b can have the similarity, if nothing before is shared; and by their sketches, too."""
     both = F.col(f"{a}n") + F.col(f"{b}n")
     need = F.ceil(both * (similarity / (1 + similarity)) - 1e-9)
-    apart = F.bit_count(F.col(f"{a}k0").bitwiseXOR(F.col(f"{b}k0"))) + F.bit_count(F.col(f"{a}k1").bitwiseXOR(F.col(f"{b}k1")))
+    apart = sum((F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in sketch), F.lit(0))
     return (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) >= need)
 
 
@@ -105,26 +115,57 @@ def _alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     return met.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("u", "v")
 
 
-def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Edges (u, v) between nodes of prefixes (node, n, k0, k1, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
-    once = sets.where("n > 0").dropDuplicates(["node"])  # copies of a set meet as one node
-    each = once.select("node", "n", "k0", "k1", F.posexplode("shingles").alias("pos", "h"))
-    dealt = each.repartition("h")
-    buckets = dealt.groupBy("h").agg(F.min(F.struct("n", "node", "pos", "k0", "k1")).alias("first"), F.max(F.struct("n", "node", "pos", "k0", "k1")).alias("last")).where("first.node <> last.node").select("h", "first")
-    shared = dealt.join(buckets, "h").select("h", "node", "n", "pos", "k0", "k1", *[F.col(f"first.{c}").alias(f"f_{c}") for c in ("node", "n", "pos", "k0", "k1")])
-    shared = written(shared, "shared")
-    firsts = written(shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_")).select(F.least("node", "f_node").alias("u"), F.greatest("node", "f_node").alias("v")).distinct(), "firsts")
-    edges = written(_alike(firsts, sets_of, similarity), "first_edges")
+def _folded(sketch: list[str], into: int) -> list[Column]:
+    return [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(k) for k in sketch[i::into]]).alias(f"k{i}") for i in range(into)]
+
+
+def _with(row: list[str], of: str) -> list[Column]:
+    return [F.col(f"{of}.{c}").alias(f"f_{c}") for c in row]
+
+
+def _apart(shared: DataFrame, once: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several groups, with their group, whole sketch and the elements before: a written table."""
     groups = written(components(edges), "groups")
-    # what is left: pairs that meet in a bucket and lie in different groups
-    own = shared.select("h", "node", "n", "pos", "k0", "k1").join(groups, "node", "left").select("h", "node", "n", "pos", "k0", "k1", F.coalesce("component", "node").alias("part"))
+    own = shared.select("h", "node", "pos").join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = own.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
-    own = written(own.join(mixed, "h", "left_semi"), "apart")
-    a, b = (own.toDF("h", *[f"{x}_{c}" for c in ("node", "n", "pos", "k0", "k1", "part")]) for x in "ab")
-    met = a.join(b, (a.h == b.h) & (F.col("a_part") < F.col("b_part")) & _may(similarity, "a_", "b_"))
-    rest = met.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
-    rest = written(rest.join(firsts, ["u", "v"], "left_anti"), "rest")
-    return edges.union(_alike(rest, sets_of, similarity))
+    before = F.slice("shingles", F.greatest(F.col("pos") - (BEFORE - 1), F.lit(1)), F.least("pos", F.lit(BEFORE))).alias("before")
+    return written(own.join(mixed, "h", "left_semi").join(once, "node").select("h", "node", "n", "pos", "part", before, *WHOLE), "apart")
+
+
+def pairs_left(own: DataFrame) -> tuple[int, int]:
+    """Rows of buckets, and pairs of rows of different groups that meet in one; pairs are counted, not made."""
+    alike = own.groupBy("h", "part").agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("n"))
+    each = alike.groupBy("h").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    rows, pairs = each.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2)).first()
+    return int(rows or 0), int(pairs or 0)
+
+
+def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Edges (u, v) between nodes of prefixes (node, n, sketch, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
+    once = sets.where("n > 0").dropDuplicates(["node"]).select("node", "n", *WHOLE, "shingles")  # copies of a set meet as one node
+    row, ends = ["n", "node", "pos", *FOLDED], [F.least("node", "f_node").alias("u"), F.greatest("node", "f_node").alias("v")]
+    dealt = once.select("node", "n", *_folded(WHOLE, len(FOLDED)), F.posexplode("shingles").alias("pos", "h")).repartition("h")
+    buckets = dealt.groupBy("h").agg(F.min(F.struct(*row)).alias("first"), F.max(F.struct(*row)).alias("last")).where("first.node <> last.node").select("h", "first")
+    shared = written(dealt.join(buckets, "h").select("h", *row, *_with(row, "first")), "shared")
+    met = written(shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_", FOLDED)).select(*ends).distinct(), "firsts")
+    edges = written(_alike(met, sets_of, similarity), "first_edges")
+    # what is left: pairs that meet in a bucket and lie in different groups
+    own, before, turn, row = _apart(shared, once, edges), None, 0, ["node", "n", "pos", "part", *WHOLE]
+    while True:
+        rows, pairs = pairs_left(own)
+        if pairs <= PAIRS * rows or before is not None and pairs > STILL * before:
+            break
+        before, turn = pairs, turn + 1
+        pivots = own.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", "h", F.lit(turn)).alias("at"), *row)).alias("pivot"))
+        faced = own.join(pivots, "h").select(*row, *_with(row, "pivot")).where(F.col("part") != F.col("f_part")).where(_may(similarity, "", "f_", WHOLE))
+        new = written(faced.select(*ends).distinct().join(met, ["u", "v"], "left_anti"), "faced")
+        met, edges = met.union(new), written(edges.union(_alike(new, sets_of, similarity)), "edges")
+        own = _apart(shared, once, edges)
+    a, b = (own.select("h", *[F.col(c).alias(f"{x}_{c}") for c in (*row, "before")]) for x in "ab")
+    seen = F.arrays_overlap("a_before", "b_before")  # they have met in a bucket before this one
+    last = a.join(b, (a.h == b.h) & (F.col("a_part") < F.col("b_part")) & _may(similarity, "a_", "b_", WHOLE) & ~seen)
+    rest = last.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
+    return edges.union(_alike(written(rest.join(met, ["u", "v"], "left_anti"), "rest"), sets_of, similarity))
 
 
 def alike_documents(documents: DataFrame, width: int, similarity: float) -> DataFrame:
