@@ -102,12 +102,12 @@ def align(refs: Sequence, syss: Sequence, gap: float, score: Callable = pair_sco
 ALIGNED = "uri string, ref_idx long, sys_idx long, ref_word string, sys_word string, kind string, ds double, de double"
 
 
-def islands(ref: DataFrame, sys: DataFrame, gap: float) -> DataFrame:
-    """(uri, island, side, idx, word, wtype, s, e): the words of both sides (ref 0, sys 1), numbered by the stretch without a silence of gap or more."""
+def islands(ref: DataFrame, sys: DataFrame, gap: float, *more: str) -> DataFrame:
+    """(uri, island, side, idx, word, wtype, s, e and more columns): the words of both sides (ref 0, sys 1), numbered by the stretch without a silence of gap or more."""
 
     def side(df, k):
         wtype = F.col("wtype") if "wtype" in df.columns else F.lit("lex")
-        return df.select(F.col("uri").cast("string").alias("uri"), F.lit(k).alias("side"), F.col("idx").cast("long").alias("idx"), "word", wtype.alias("wtype"), "s", "e")
+        return df.select(F.col("uri").cast("string").alias("uri"), F.lit(k).alias("side"), F.col("idx").cast("long").alias("idx"), "word", wtype.alias("wtype"), "s", "e", *more)
 
     order = Window.partitionBy("uri").orderBy("s", "e", "side", "idx")
     until = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -11,6 +11,7 @@ from turnframe.functions import text as tx
 from turnframe.operators import alignment as al
 from turnframe.operators import clusters as cl
 from turnframe.operators import intervals as iv
+from turnframe.operators import metadata as md
 from turnframe.operators import scoring as sc
 from turnframe.operators import sessions as ss
 from turnframe.plans.queries import BOTH, COUNTS, GAP, MERGE, STATUS, WIDTH, _recursive, _ref, _status, _sys, query
@@ -196,3 +197,60 @@ def zipped_rows(spark, d):
     """Two tables in one order, without a key, side by side."""
     rows = fx.load(spark, d, "conversations").where("text is not null").orderBy("conv_id", "turn")
     return zipped(rows.select("conv_id", "turn"), rows.select("text", F.octet_length("text").cast("long").alias("bytes")))
+
+
+EVENTS = """WITH x AS (SELECT conv_id || '-' || turn AS uri, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT uri, unnest(ws) AS word, cast(unnest(range(len(ws))) AS bigint) AS i FROM x),
+words AS (SELECT uri, i AS idx, i * 900 + 350 AS mid, i % 5 <> 0 AS scoreable FROM w),
+ev AS (SELECT uri, i * 4 AS id, 'SU' AS type, CASE WHEN length(word) % 2 = 0 THEN 'statement' ELSE 'question' END AS subtype, i * 900 AS s, i * 900 + 6200 AS e FROM w WHERE i % 7 = 0
+UNION ALL SELECT uri, i * 4 + 1, 'FILLER', CASE WHEN length(word) = 1 THEN 'filled' ELSE 'marker' END, i * 900, i * 900 + 700 FROM w WHERE length(word) <= 2
+UNION ALL SELECT uri, i * 4 + 2, 'EDIT', CASE WHEN length(word) % 2 = 0 THEN 'repeat' ELSE 'revise' END, i * 900, i * 900 + 1600 FROM w WHERE i % 9 = 4
+UNION ALL SELECT uri, i * 4 + 3, 'IP', CASE WHEN length(word) % 2 = 0 THEN 'repeat' ELSE 'revise' END, i * 900 + 1700, i * 900 + 1700 FROM w WHERE i % 9 = 4),
+met AS (SELECT ev.*, idx, mid, scoreable FROM ev LEFT JOIN words ON ev.uri = words.uri AND mid <= e)
+"""
+
+
+def _words_and_events(spark, d):
+    """Words of the turns of conversations, and events over them told from their places and lengths."""
+    uri = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    w = fx.load(spark, d, "conversations").where("text is not null").select(uri.alias("uri"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("i", "word"))
+    w = w.select("uri", F.col("i").cast("long").alias("i"), "word")
+    words = w.select("uri", F.col("i").alias("idx"), (F.col("i") * 900).alias("s"), (F.col("i") * 900 + 700).alias("e"), (F.col("i") % 5 != 0).alias("scoreable"))
+    even, at = F.length("word") % 2 == 0, F.col("i") * 900
+
+    def event(k, kind, subtype, s, e, where):
+        return F.when(where, F.struct((F.col("i") * 4 + k).alias("id"), F.lit(kind).alias("type"), subtype.alias("subtype"), s.alias("s"), e.alias("e")))
+
+    change, place = F.when(even, "repeat").otherwise("revise"), F.col("i") % 9 == 4
+    found = F.array(
+        event(0, "SU", F.when(even, "statement").otherwise("question"), at, at + 6200, F.col("i") % 7 == 0),
+        event(1, "FILLER", F.when(F.length("word") == 1, "filled").otherwise("marker"), at, at + 700, F.length("word") <= 2),
+        event(2, "EDIT", change, at, at + 1600, place),
+        event(3, "IP", change, at + 1700, at + 1700, place),
+    )
+    return words, w.select("uri", F.explode(F.array_compact(found)).alias("x")).select("uri", "x.*")
+
+
+@query(EVENTS + "SELECT uri, id, type, count_if(mid < s) AS first, count(mid) - 1 AS last, count_if(mid < s AND scoreable) AS before, count_if(scoreable) AS until FROM met GROUP BY uri, id, type")
+def event_word_ranges(spark, d):
+    words, events = _words_and_events(spark, d)
+    return md.word_ranges(events, words).select("uri", "id", "type", "first", "last", "before", "until")
+
+
+@query(EVENTS + """, tags AS (SELECT uri, idx, type, subtype, s, e, id FROM met WHERE type IN ('FILLER', 'EDIT') AND mid >= s
+UNION ALL SELECT uri, max(idx), type, subtype, s, e, id FROM met WHERE type IN ('SU', 'IP') AND idx IS NOT NULL GROUP BY ALL)
+SELECT uri, idx, type, subtype FROM tags QUALIFY row_number() OVER (PARTITION BY uri, idx, type ORDER BY s DESC, e DESC, id DESC) = 1""")
+def event_tagged_words(spark, d):
+    words, events = _words_and_events(spark, d)
+    return md.tagged_words(events, words)
+
+
+@query()
+def event_errors(spark, d):
+    """Errors by type and subtype of events that a system hears shifted, with some lost and some of another subtype."""
+    words, events = _words_and_events(spark, d)
+    n = F.expr("id div 4")
+    shift = (n % 5 - 2) * 300
+    heard = events.where(n % 11 != 3).withColumns({"s": F.col("s") + shift, "e": F.col("e") + shift, "subtype": F.when(n % 6 == 1, "other").otherwise(F.col("subtype"))})
+    aligned = md.aligned_events(md.word_ranges(events, words), md.word_ranges(heard, words))
+    return md.event_errors(aligned).groupBy("type", "subtype").agg(*[F.sum(c).alias(c) for c in ("refs", "cor", "sub", "dele", "ins")])
