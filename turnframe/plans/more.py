@@ -231,7 +231,7 @@ def _words_and_events(spark, d):
     return words, w.select("uri", F.explode(F.array_compact(found)).alias("x")).select("uri", "x.*")
 
 
-@query(EVENTS + "SELECT uri, id, type, count_if(mid < s) AS first, count(mid) - 1 AS last, count_if(mid < s AND scoreable) AS before, count_if(scoreable) AS until FROM met GROUP BY uri, id, type")
+@query(EVENTS + "SELECT uri, id, type, count(*) FILTER (mid < s) AS first, count(mid) - 1 AS last, count(*) FILTER (mid < s AND scoreable) AS before, count(*) FILTER (scoreable) AS until FROM met GROUP BY uri, id, type")
 def event_word_ranges(spark, d):
     words, events = _words_and_events(spark, d)
     return md.word_ranges(events, words).select("uri", "id", "type", "first", "last", "before", "until")
