@@ -97,3 +97,42 @@ def test_rounds_of_pivots_and_pairs_left_are_brute_force(spark, monkeypatch, pai
     assert got == plain_groups(texts) and 1 < len(set(got.values())) < len(texts)
     if pairs == 0:
         assert len(counted) > 1 and counted[1][1] < counted[0][1]
+
+
+def test_working_tables_and_shuffles_do_not_pile_up(spark, monkeypatch):
+    """After the join, what it wrote on the way is gone but for small tables; sets are compared in shares of their number."""
+    import pathlib
+
+    rng, texts = random.Random(3), {}
+    for i in range(12):
+        words = [f"g{i}w{k}" for k in range(200)]
+        for k in range(6):
+            changed = list(words)
+            changed[rng.randrange(200)] = "other"
+            texts[i * 100 + k] = " ".join(changed)
+    monkeypatch.setattr(nearsets, "SHARE", 0.4)
+    monkeypatch.setattr(nearsets, "PAIRS", 10**9)  # all pairs that are left in one comparison
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*.parquet"))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in alike_documents(df, 5, 0.8).collect()}
+    assert got == {i: i // 100 * 100 for i in texts}
+    left = {p.parent.name for p in set(shared.rglob("*.parquet")) - before}
+    assert not left & {"prefixes", "once", "shared", "apart", "compared"}
+
+
+def test_written_removes_its_shuffle_files_and_keeps_the_setting(spark):
+    from turnframe.llm.common import CLEANUP, written
+
+    before, was = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(CLEANUP)
+    files = lambda: {f for f in _every(before) if f.startswith("shuffle_")}
+    held = files()
+    assert written(spark.range(1000).repartition(7, "id").groupBy("id").count()).count() == 1000
+    made = {int(f.split("_")[1]) for f in files() - held}
+    assert len(made) <= 1 and spark.conf.get(CLEANUP) == was  # at most that of count() itself
+
+
+def _every(manager):
+    import os
+
+    return [f for d in manager.localDirs() for _, _, names in os.walk(d.getPath()) for f in names]

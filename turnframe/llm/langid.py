@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.shipping import hand_back, ship
+from turnframe.llm.shipping import hand_back, ship, take_over
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE = 20_000
@@ -222,6 +222,11 @@ def _forward(path: str, key: int, probs: np.ndarray) -> Forward:
     return _READY[key]
 
 
+def _release() -> None:
+    _READY.clear()
+    _pieces.cache_clear()
+
+
 def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """documents with lang_pred and score, the posterior of lang_pred under equal priors; names are theirs, and columns so named are replaced."""
     import zlib
@@ -233,6 +238,7 @@ def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: st
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        take_over("langid", _release)
         model = _forward(path, key, broad.value) if langs else None
         for s in parts:
             preds, scores = [], []
@@ -248,7 +254,8 @@ def identify(documents: DataFrame, langs: list[str], probs: np.ndarray, path: st
                     preds.append(langs[best])
                     scores.append(float(1 / np.exp(sums[k] - sums[k][best]).sum()))
             yield pd.DataFrame({"lang_pred": preds, "score": scores})
-        hand_back()
+            texts = sums = None
+            hand_back()
 
     kept = [c for c in documents.columns if c not in names]
     return documents.withColumn("_said", predict("text")).select(*kept, F.col("_said.lang_pred").alias(names[0]), F.col("_said.score").alias(names[1]))

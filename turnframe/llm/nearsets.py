@@ -18,7 +18,7 @@ with equal sets, or of one doc_id, are one node. An empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,8 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.llm.common import labelled, written
+from turnframe.llm.common import dropped, labelled, written
 from turnframe.llm.components import components
+from turnframe.llm.shipping import hand_back, take_over
 
 #: One row in SAMPLE is looked at for frequent shingles; those in OFTEN sampled rows or more are, at most MOST of them.
 SAMPLE, OFTEN, MOST = 16, 4, 65_536
@@ -38,6 +39,8 @@ WHOLE = [f"k{i}" for i in range(SKETCH // 64)]
 FOLDED = ["k0", "k1"]
 #: Rounds of pivots end where the pairs of groups left are PAIRS times the rows, or fewer, or a round leaves more than STILL of them.
 PAIRS, STILL = 4, 0.5
+#: Whole sets are compared in shares of SHARE pairs a set, so that what a share ships is in proportion to the sets.
+SHARE = 2
 #: Elements before a place that a row of a bucket knows.
 BEFORE = 4
 ROW = f"node long, n int, {', '.join(f'{k} long' for k in WHOLE)}, shingles array<long>"
@@ -66,8 +69,7 @@ def _rows(width: int, late: np.ndarray | None = None, similarity: float | None =
     """text to (node, n, shingles); `late` holds the frequent shingles, the most frequent one last. With a similarity, shingles are only the set's prefix for it."""
     place = None if late is None or not len(late) else (np.sort(late), np.argsort(late, kind="stable"))
 
-    @F.pandas_udf(ROW)
-    def rows(texts: pd.Series) -> pd.DataFrame:
+    def made(texts: pd.Series) -> pd.DataFrame:
         nodes, sets, sizes, sketches = [], [], [], []
         for text in texts:
             s = shingles_of(text, width)
@@ -77,9 +79,16 @@ def _rows(width: int, late: np.ndarray | None = None, similarity: float | None =
                 at = np.minimum(np.searchsorted(place[0], s), len(place[0]) - 1)
                 s = s[np.lexsort((s, np.where(place[0][at] == s, place[1][at] + 1, 0)))]
             sizes.append(len(s))
-            sets.append(s if similarity is None else s[: prefix_size(len(s), similarity)])
+            sets.append(s if similarity is None else s[: prefix_size(len(s), similarity)].copy())
         return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), **{c: [k[i] for k in sketches] for i, c in enumerate(WHOLE)}, "shingles": pd.Series(sets, dtype=object)})
 
+    @F.pandas_udf(ROW)
+    def rows(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        take_over("nearsets")
+        for texts in parts:
+            yield made(texts)
+            hand_back()
+
     return rows
 
 
@@ -107,12 +116,18 @@ def whole_sets(documents: DataFrame, nodes: DataFrame, asked: DataFrame, width:
 
 
 def _alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have the similarity."""
+    """The pairs (u, v) whose sets have the similarity: a written table."""
     asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "pairs")
     known = written(sets_of(asked), "compared")
     a, b = known.select(F.col("node").alias("u"), F.col("shingles").alias("a")), known.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    met = pairs.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return met.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("u", "v")
+    shares, found = max(1, int(np.ceil(pairs.count() / (SHARE * max(1, asked.count()))))), []
+    for k in range(shares):
+        some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(shares)) == k)
+        met = some.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
+        found.append(written(met.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("u", "v"), "alike"))
+    for done in (asked, known):
+        dropped(done)
+    return reduce(DataFrame.union, found)
 
 
 def _folded(sketch: list[str], into: int) -> list[Column]:
@@ -142,13 +157,13 @@ def pairs_left(own: DataFrame) -> tuple[int, int]:
 
 def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Edges (u, v) between nodes of prefixes (node, n, sketch, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
-    once = sets.where("n > 0").dropDuplicates(["node"]).select("node", "n", *WHOLE, "shingles")  # copies of a set meet as one node
+    once = written(sets.where("n > 0").dropDuplicates(["node"]).select("node", "n", *WHOLE, "shingles"), "once")  # copies of a set meet as one node
     row, ends = ["n", "node", "pos", *FOLDED], [F.least("node", "f_node").alias("u"), F.greatest("node", "f_node").alias("v")]
     dealt = once.select("node", "n", *_folded(WHOLE, len(FOLDED)), F.posexplode("shingles").alias("pos", "h")).repartition("h")
     buckets = dealt.groupBy("h").agg(F.min(F.struct(*row)).alias("first"), F.max(F.struct(*row)).alias("last")).where("first.node <> last.node").select("h", "first")
     shared = written(dealt.join(buckets, "h").select("h", *row, *_with(row, "first")), "shared")
     met = written(shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_", FOLDED)).select(*ends).distinct(), "firsts")
-    edges = written(_alike(met, sets_of, similarity), "first_edges")
+    edges = _alike(met, sets_of, similarity)
     # what is left: pairs that meet in a bucket and lie in different groups
     own, before, turn, row = _apart(shared, once, edges), None, 0, ["node", "n", "pos", "part", *WHOLE]
     while True:
@@ -160,12 +175,16 @@ def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], simila
         faced = own.join(pivots, "h").select(*row, *_with(row, "pivot")).where(F.col("part") != F.col("f_part")).where(_may(similarity, "", "f_", WHOLE))
         new = written(faced.select(*ends).distinct().join(met, ["u", "v"], "left_anti"), "faced")
         met, edges = met.union(new), written(edges.union(_alike(new, sets_of, similarity)), "edges")
+        dropped(own)
         own = _apart(shared, once, edges)
     a, b = (own.select("h", *[F.col(c).alias(f"{x}_{c}") for c in (*row, "before")]) for x in "ab")
     seen = F.arrays_overlap("a_before", "b_before")  # they have met in a bucket before this one
     last = a.join(b, (a.h == b.h) & (F.col("a_part") < F.col("b_part")) & _may(similarity, "a_", "b_", WHOLE) & ~seen)
     rest = last.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
-    return edges.union(_alike(written(rest.join(met, ["u", "v"], "left_anti"), "rest"), sets_of, similarity))
+    rest = written(rest.join(met, ["u", "v"], "left_anti"), "rest")
+    for done in (once, shared, own):  # what is left of the work is small beside them
+        dropped(done)
+    return edges.union(_alike(rest, sets_of, similarity))
 
 
 def alike_documents(documents: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -173,12 +192,15 @@ def alike_documents(documents: DataFrame, width: int, similarity: float) -> Data
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     sets = prefixes(documents, width, similarity)
-    least = written(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    ids = written(sets.select("doc_id", "node"), "ids")
+    least = written(ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     # rows of one doc_id are one node: a star over their sets
-    several = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
-    same = sets.join(written(several.select("doc_id", "u"), "several"), "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    several = ids.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
+    same = ids.join(written(several.select("doc_id", "u"), "several"), "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
     sets_of = lambda asked: whole_sets(documents, least, asked, width)
-    grouped = components(set_links(sets, sets_of, similarity).union(same)).join(least, "node")
+    links = set_links(sets, sets_of, similarity)
+    dropped(sets)
+    grouped = components(links.union(same)).join(least, "node")
     first = grouped.groupBy("component").agg(F.min("least").alias("first"))
     known = least.join(grouped.join(first, "component").select("node", "first"), "node", "left").select("node", F.coalesce("first", "least").alias("component_id"), "n")
-    return labelled(sets.select("doc_id", "node"), written(known, "known"), "node", "component_id")
+    return labelled(ids, written(known, "known"), "node", "component_id")
