@@ -128,3 +128,27 @@ def test_time_and_counts_by_type(spark):
     mapping = spark.createDataFrame([("r", 0, 7)], "uri string, ref long, sys long")
     got = {(x.ref_type, x.sys_type): x.speakers for x in sc.type_counts(ref, sys, mapping).collect()}
     assert got == {("m", "m"): 1, ("f", "MISS"): 1, ("m", "MISS"): 1, ("FALSE ALARM", "f"): 1}
+
+
+def test_a_long_island_needs_a_band_of_the_table_only():
+    import tracemalloc
+    from types import SimpleNamespace as W
+
+    refs = [W(word=f"w{i % 7}", wtype="lex", s=i * 900, e=i * 900 + 700) for i in range(12_000)]
+    syss = [W(word=w.word, wtype="lex", s=w.s + 60, e=w.e + 60) for i, w in enumerate(refs) if i % 9]
+    tracemalloc.start()
+    found = align(refs, syss, 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, j in found if i is not None] == list(range(len(refs))) and [j for i, j in found if j is not None] == list(range(len(syss)))
+    assert peak < 60_000_000  # the whole table has 128 million cells
+
+
+def test_small_islands_are_no_groups_of_their_own(spark, capsys):
+    from turnframe.operators.alignment import aligned_words
+
+    words = spark.createDataFrame([("u", i, "w", i * 900, i * 900 + 700) for i in range(5)], "uri string, idx long, word string, s long, e long")
+    aligned = aligned_words(words, words.where("idx <> 3"), gap=100)
+    aligned.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    assert sorted(r.kind for r in aligned.collect()) == ["cor"] * 4 + ["del"]

@@ -11,13 +11,11 @@ is an empty one. Events and words may repeat times; tables may be empty. An id n
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnframe.operators.alignment import ISLANDS, align, islands
+from turnframe.operators.alignment import align, in_islands, islands
 from turnframe.operators.intervals import BUCKET, overlap_join
 from turnframe.operators.scans import scanned
 
@@ -76,8 +74,8 @@ def event_score(gap: float = GAP) -> Callable:
 def aligned_events(ref: DataFrame, sys: DataFrame, gap: float = GAP, unit_words: int = UNIT_WORDS, most_behind: float = float("inf")) -> DataFrame:
     """The ALIGNED rows of events with word ranges (see word_ranges): kind is cor, sub, del or ins; dbeg and dend are the offsets of both ends in scoreable words.
 
-    Of a sentence unit only the last unit_words count. A group holds a run of stretches of one recording and type; time grows
-    with the product of both sides of a stretch.
+    Of a sentence unit only the last unit_words count. A task holds one stretch of one recording and type at a time; time grows
+    with the pairs of its events that are near in time.
     """
     if gap <= 0:
         raise ValueError("gap must be above 0")
@@ -91,22 +89,16 @@ def aligned_events(ref: DataFrame, sys: DataFrame, gap: float = GAP, unit_words:
     score, zero = event_score(gap), lambda w: 0.0
 
     def row(r, s):
-        one, a, b = r or s, r and r.about, s and s.about
+        one, a, b = r or s, r and r.more, s and s.more
         kind = "ins" if r is None else "del" if s is None else "cor" if r.word == s.word else "sub"
         off = (b["before"] - a["before"], b["until"] - a["until"]) if r and s else (None, None)
         ends = [x[c] if x else None for x in (a, b) for c in ("first", "last")]
-        return (one.about["uri"], one.wtype, r and r.idx, s and s.idx, r and r.word, s and s.word, kind, *off, *ends)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, part in groupby(pdf.sort_values(["island", "side", "s", "e", "idx"]).itertuples(index=False), key=lambda w: w.island):
-            both = {k: list(x) for k, x in groupby(part, key=lambda w: w.side)}
-            r, s = both.get(0, []), both.get(1, [])
-            rows += [row(None if i is None else r[i], None if j is None else s[j]) for i, j in align(r, s, gap, score, zero, most_behind)]
-        named = [c.split() for c in ALIGNED.split(", ")]
-        return pd.DataFrame(rows, columns=[c for c, _ in named]).astype({c: "Int64" for c, t in named if t == "long"})
-
-    return islands(side(ref), side(sys), gap, "about").groupBy("uri", F.floor(F.col("island") / ISLANDS)).applyInPandas(run, ALIGNED)
+        return (one.more["uri"], one.wtype, r and r.idx, s and s.idx, r and r.word, s and s.word, kind, *off, *ends)
+
+    def run(_, r, s):
+        return [row(None if i is None else r[i], None if j is None else s[j]) for i, j in align(r, s, gap, score, zero, most_behind)]
+
+    return in_islands(islands(side(ref), side(sys), gap, "about"), run, ALIGNED, "about")
 
 
 def event_errors(aligned: DataFrame) -> DataFrame:
