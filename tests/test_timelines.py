@@ -206,3 +206,11 @@ def test_plans_push_down(spark):
     plan = own.tumbling_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in plan
     assert F is not None
+
+
+def test_a_turn_without_length_cuts_the_stretch_that_it_lies_in(spark):
+    from turnframe.operators import intervals as iv
+
+    turns = spark.createDataFrame([("u", 1, 0, 10), ("u", 2, 4, 4), ("u", 3, 20, 20)], "uri string, spk long, s long, e long")
+    assert sorted((r.a, r.b, r.speakers) for r in iv.speaker_segments(turns, 5).collect()) == [(0, 4, [1]), (4, 10, [1])]
+    assert [(r.a, r.b) for r in iv.active_segments(turns).collect()] == [(0, 10)]

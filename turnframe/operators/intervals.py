@@ -37,19 +37,19 @@ def overlap_flags(turns: DataFrame, width: int) -> DataFrame:
     return turns.join(met.withColumn("hit", F.lit(True)), ["uri", "id"], "left").withColumn("overlapped", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def active_segments(turns: DataFrame, keys: tuple[str, ...] = ("uri",), width: int = BUCKET) -> DataFrame:
+def active_segments(turns: DataFrame, keys: tuple[str, ...] = ("uri",), width: int = BUCKET, points: bool = False) -> DataFrame:
     """(keys, a, b, n): the stretches between consecutive boundaries of the turns and how many turns are open; stretches with none are left out.
 
-    A sweep with running counts; no join.
+    A sweep with running counts; no join. With points, a turn without length is a boundary too, though never open.
     """
-    marks = turns.where("e > s").select(*keys, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
+    marks = turns.where("e >= s" if points else "e > s").select(*keys, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("m"))
     steps = marks.groupBy(*keys, F.col("m.t").alias("a")).agg(F.sum("m.d").alias("d"))
     return scanned(steps, keys, "a", ["a"], width, n=("sum", "d"), b=("lead", "a")).where("n > 0").select(*keys, "a", "b", "n")
 
 
 def speaker_segments(turns: DataFrame, width: int) -> DataFrame:
-    """(uri, a, b, speakers): atomic stretches with the sorted set of speakers."""
-    met = overlap_join(active_segments(turns).select("uri", F.col("a").alias("s"), F.col("b").alias("e")), turns, ["uri"], width)
+    """(uri, a, b, speakers): atomic stretches with the sorted set of speakers. Turns without length cut them, too, and speak in none."""
+    met = overlap_join(active_segments(turns, points=True).select("uri", F.col("a").alias("s"), F.col("b").alias("e")), turns, ["uri"], width)
     return met.groupBy("uri", F.col("a_s").alias("a"), F.col("a_e").alias("b")).agg(F.array_sort(F.collect_set("b_spk")).alias("speakers"))
 
 
