@@ -194,3 +194,26 @@ def test_sweep(spark):
     assert len(rows) == 4
     assert best_setting(grid).first().errors == min(r.errors for r in rows)
     assert cluster_recording(pd.DataFrame(columns=["uri", "chunk", "local", "vec", "duration", "allow_update"]), EngineConfig()).empty
+
+
+def test_rounded_keeps_the_sign_of_a_small_number(spark):
+    from turnframe.functions.vectors import rounded
+
+    df = spark.createDataFrame([(-1e-9,), (1e-9,), (-0.0,), (0.0,), (-1.2345675,), (2.5e-6,), (None,)], "x double")
+    assert [str(r[0]) for r in df.select(rounded("x", 6)).collect()] == ["-0.0", "0.0", "-0.0", "0.0", "-1.234568", "3e-06", "None"]
+
+
+def test_vector_queries_give_the_zeros_of_their_sql(spark, tmp_path):
+    import duckdb
+
+    from turnframe.plans import queries as own
+
+    spark.createDataFrame([(i, [1.0, -1e-9, 0.5], 0) for i in range(4)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("centroids", "centroid_merge", "normalized_vectors"):
+        df = own.QUERIES[name](spark, str(tmp_path))
+        rel = con.sql(own.ORACLES[name])
+        at = rel.columns.index(df.columns[-1])
+        got = sorted(str(r[-1]) for r in df.collect())
+        assert got == sorted(str(r[at]) for r in rel.fetchall()) and "-0.0" in got[0]

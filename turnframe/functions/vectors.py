@@ -30,3 +30,9 @@ def l2_normalize(a: Column | str) -> Column:
 def cosine(a: Column | str, b: Column | str) -> Column:
     """With norms of at least 1e-12, so that a zero vector gives 0."""
     return dot(a, b) / (F.greatest(norm(a), F.lit(1e-12)) * F.greatest(norm(b), F.lit(1e-12)))
+
+
+def rounded(x: Column | str, digits: int) -> Column:
+    """Rounded half away from zero, with the sign of x kept where that gives zero; Spark's round() makes 0.0 of a small negative x."""
+    column = F.col(x) if isinstance(x, str) else x
+    return F.round(F.abs(column), digits) * F.signum(column)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnframe import fixtures as fx
 from turnframe.fixtures import SECOND, with_views
 from turnframe.functions import text as tx
-from turnframe.functions.vectors import cosine, l2_normalize
+from turnframe.functions.vectors import cosine, l2_normalize, rounded
 from turnframe.operators import clusters as cl
 from turnframe.operators import intervals as iv
 from turnframe.operators import regions as rg
@@ -362,27 +362,27 @@ def _centroids(spark, d):
 
 @query(with_views("obs", body=CENTROIDS + "SELECT uri, cluster, n, duration, list_transform(centroid, lambda x: round(x, 6)) AS centroid FROM cen"))
 def centroids(spark, d):
-    return _centroids(spark, d).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return _centroids(spark, d).withColumn("centroid", F.transform("centroid", lambda x: rounded(x, 6)))
 
 
 @query(with_views("obs", body=CENTROIDS + ", h AS (SELECT uri, cluster % 3 AS part, n, duration, unnest(centroid) AS x, unnest(generate_series(1, len(centroid))) AS dim FROM cen), av2 AS (SELECT uri, part, dim, sum(x * n) / sum(n) AS x, cast(sum(n) AS bigint) AS n, sum(duration) AS duration FROM h GROUP BY ALL), pk2 AS (SELECT uri, part, max(n) AS n, max(duration) AS duration, list(x ORDER BY dim) AS v FROM av2 GROUP BY ALL) SELECT uri, part, n, duration, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS centroid FROM pk2"))
 def centroid_merge(spark, d):
-    return cl.merged_centroids(_centroids(spark, d).withColumn("part", F.col("cluster") % 3), ("uri", "part")).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    return cl.merged_centroids(_centroids(spark, d).withColumn("part", F.col("cluster") % 3), ("uri", "part")).withColumn("centroid", F.transform("centroid", lambda x: rounded(x, 6)))
 
 
 @query(with_views("obs", body=CENTROIDS + "SELECT a.uri, a.cluster AS a, b.cluster AS b, round(list_dot_product(a.centroid, b.centroid), 6) AS cosine FROM cen a JOIN cen b ON a.uri = b.uri AND a.cluster < b.cluster"))
 def cosine_pairs(spark, d):
-    return cl.cosine_pairs(_centroids(spark, d)).withColumn("cosine", F.round("cosine", 6))
+    return cl.cosine_pairs(_centroids(spark, d)).withColumn("cosine", rounded("cosine", 6))
 
 
 @query(with_views("obs", body=CENTROIDS + ", p AS (SELECT a.uri, a.cluster AS a, b.cluster AS b, list_dot_product(a.centroid, b.centroid) AS c FROM cen a JOIN cen b ON a.uri = b.uri AND a.cluster < b.cluster) SELECT uri, a, b, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY c DESC, a, b) AS r FROM p WHERE c >= 0.1) WHERE r = 1"))
 def merge_pair(spark, d):
-    return cl.best_merge_pair(cl.cosine_pairs(_centroids(spark, d)), 0.1).withColumn("cosine", F.round("cosine", 6))
+    return cl.best_merge_pair(cl.cosine_pairs(_centroids(spark, d)), 0.1).withColumn("cosine", rounded("cosine", 6))
 
 
 @query(with_views("obs", body=CENTROIDS + ", p AS (SELECT o.uri, chunk, local, c.cluster AS best, list_dot_product(o.vec, c.centroid) AS s FROM obs o JOIN cen c USING (uri)) SELECT uri, chunk, local, best, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY uri, chunk, local ORDER BY s DESC, best) AS r FROM p) WHERE r = 1"))
 def nearest_centroid(spark, d):
-    return cl.nearest(fx.observations(spark, d), _centroids(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    return cl.nearest(fx.observations(spark, d), _centroids(spark, d)).withColumn("similarity", rounded("similarity", 6))
 
 
 POST = CENTROIDS + ", pm AS (SELECT uri, absorbed, survivor, similarity FROM (SELECT a.uri, a.cluster AS absorbed, b.cluster AS survivor, list_dot_product(a.centroid, b.centroid) AS similarity, row_number() OVER (PARTITION BY a.uri, a.cluster ORDER BY list_dot_product(a.centroid, b.centroid) DESC, b.cluster) AS r FROM cen a JOIN cen b ON a.uri = b.uri WHERE a.duration < 15 AND b.duration >= 15) WHERE r = 1 AND similarity >= 0.05)"
@@ -394,7 +394,7 @@ def _post(spark, d):
 
 @query(with_views("obs", body=POST + " SELECT uri, absorbed, survivor, round(similarity, 6) AS similarity FROM pm"))
 def post_merge_map(spark, d):
-    return _post(spark, d).withColumn("similarity", F.round("similarity", 6))
+    return _post(spark, d).withColumn("similarity", rounded("similarity", 6))
 
 
 CHAINS = ", mg AS (SELECT DISTINCT uri, label AS absorbed, label // 2 AS survivor FROM obs WHERE label > 0 AND (label + uri) % 3 <> 0)"
@@ -455,7 +455,7 @@ def match_2x2(spark, d):
     one = lambda name, local, back: obs.where(F.col("local") == local).select("uri", (F.col("chunk") - back).alias("chunk"), F.col("vec").alias(name))
     four = one("t0", 0, 0).join(one("t1", 1, 0), ["uri", "chunk"]).join(one("c0", 0, 1), ["uri", "chunk"]).join(one("c1", 1, 1), ["uri", "chunk"])
     sims = four.select("uri", "chunk", *[cosine(f"t{i}", f"c{j}").alias(f"s{i}{j}") for i in (0, 1) for j in (0, 1)])
-    return cl.match_two(sims).withColumns({c: F.round(c, 6) for c in ("s00", "s01", "s10", "s11", "least")})
+    return cl.match_two(sims).withColumns({c: rounded(c, 6) for c in ("s00", "s01", "s10", "s11", "least")})
 
 
 @query(with_views("obs", body=", b AS (SELECT uri, label, min(chunk * 3 + local) AS k, max(chunk * 3 + local) AS l FROM obs GROUP BY ALL) SELECT b.uri, b.label AS cluster, chunk * 3 + local AS at FROM b JOIN obs o ON o.uri = b.uri AND o.chunk * 3 + o.local = CASE WHEN (b.uri + b.label) % 2 = 0 THEN l ELSE k END"))
@@ -577,7 +577,7 @@ def word_standardise(spark, d):
 @query("SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS vec FROM (SELECT vec_id, list_transform(embedding, lambda x, i: cast(x AS double) * i) AS v FROM embeddings)")
 def normalized_vectors(spark, d):
     v = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
-    return fx.load(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.transform(l2_normalize("v"), lambda x: F.round(x, 6)).alias("vec"))
+    return fx.load(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", F.transform(l2_normalize("v"), lambda x: rounded(x, 6)).alias("vec"))
 
 
 @query("WITH k AS (SELECT event_id, epoch_us(ts) % 1000000000 AS us, value FROM events) SELECT event_id, printf('%d:%02d:%02d.%03d', us // 3600000000, us // 60000000 % 60, us // 1000000 % 60, us // 1000 % 1000) AS clock, cast(event_id % 12 AS bigint) AS colour FROM (SELECT event_id, us // 1000 * 1000 AS us FROM k)")
