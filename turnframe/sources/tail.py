@@ -2,7 +2,8 @@
 
 The offset of a stream is how many bytes of each file have been taken. A round takes whole lines only: what follows the last
 line end stays for a later one, so a line that is written in pieces comes once. Files are append-only; a file that shrinks
-ends the stream with an error. Long backlogs are cut into parts that are read side by side.
+ends the stream with an error. Long backlogs are cut into parts that are read side by side; a task takes several where there
+are more parts than tasks, so small parts cost no task and no output file each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from turnframe.sources.folders import files, store
 from turnframe.sources.records import MANIFEST
 
 LINES = "path string, at long, line string"
-BLOCK, PART = 1 << 20, 64 << 20
+BLOCK, PART, STEP = 1 << 20, 64 << 20, 4096
 
 
 @dataclass
@@ -35,10 +36,31 @@ class Span(InputPartition):
     end: int
 
 
-def _blocks(f, at: int, end: int) -> Iterator[bytes]:
+@dataclass
+class Spans(InputPartition):
+    """What one task reads, in order."""
+
+    spans: list[Span]
+
+
+def bundled(spans: list[Span], tasks: int) -> list[Spans]:
+    """Spans in runs of about equal bytes: as many as tasks, or more where a run would be longer than PART."""
+    total = sum(s.last - s.first for s in spans)
+    most, runs, size = min(PART, -(-total // tasks)), [], 0
+    for s in spans:
+        if not runs or size + s.last - s.first > most:
+            runs.append(Spans([]))
+            size = 0
+        runs[-1].spans.append(s)
+        size += s.last - s.first
+    return runs
+
+
+def _blocks(f, at: int, last: int, end: int) -> Iterator[bytes]:
+    """Bytes from at: up to last, and on to end in small steps for the line that goes on there."""
     f.seek(at)
     while at < end:
-        block = f.read(min(BLOCK, end - at))
+        block = f.read(min(BLOCK, max(last - at, STEP), end - at))
         if not block:
             return
         at += len(block)
@@ -51,7 +73,7 @@ def lines_of(span: Span) -> Iterator[tuple[str, int, str]]:
     inside = span.first > span.start  # the range begins in the middle of a line, unless the byte before ends one
     at, rest = span.first - inside, b""
     with system.open_input_file(path) as f:
-        for block in _blocks(f, at, span.end):
+        for block in _blocks(f, at, span.last, span.end):
             *whole, rest = (rest + block).split(b"\n")
             for raw in whole:
                 if at >= span.last:
@@ -77,8 +99,8 @@ def whole_upto(path: str, size: int, known: int) -> int:
 
 
 class TailReader(DataSourceStreamReader):
-    def __init__(self, path: str, glob: str, part: int):
-        self.path, self.glob, self.part = path, glob, part
+    def __init__(self, path: str, glob: str, part: int, tasks: int = 200):
+        self.path, self.glob, self.part, self.tasks = path, glob, part, tasks
         self.seen: dict[str, int] = {}  # spares reading again what has been looked through
 
     def initialOffset(self) -> dict:
@@ -90,21 +112,22 @@ class TailReader(DataSourceStreamReader):
                 self.seen[f.path] = whole_upto(f.path, f.size, self.seen.get(f.path, 0))
         return {p: n for p, n in sorted(self.seen.items()) if n}
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Spans]:
         spans = []
         for path in sorted(set(start) | set(end)):
             a, b = start.get(path, 0), end.get(path, 0)
             if b < a:
                 raise ValueError(f"{path} has shrunk: {a} bytes of it were taken, and it has {b} of whole lines")
             spans += [Span(path, a, x, min(x + self.part, b), b) for x in range(a, b, self.part)]
-        return spans
+        return bundled(spans, self.tasks)
 
-    def read(self, partition: Span) -> Iterator[tuple[str, int, str]]:
-        return lines_of(partition)
+    def read(self, partition: Spans) -> Iterator[tuple[str, int, str]]:
+        for span in partition.spans:
+            yield from lines_of(span)
 
 
 class TailSource(DataSource):
-    """Format `tail_lines`: options path (a folder), glob (of file names) and part (bytes that one task reads)."""
+    """Format `tail_lines`: options path (a folder), glob (of file names), part (bytes that are read as one) and tasks (of a round, about; more only for long backlogs)."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,13 +137,13 @@ class TailSource(DataSource):
         return LINES
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.options.get("glob", "*"), int(self.options.get("part", PART)))
+        return TailReader(self.options["path"], self.options.get("glob", "*"), int(self.options.get("part", PART)), int(self.options.get("tasks", 200)))
 
 
 def tail_lines(spark: SparkSession, path: str, glob: str = "*", part: int = PART) -> DataFrame:
     """A stream (path, at, line) of the lines appended to the files below a folder."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("tail_lines").option("path", path).option("glob", glob).option("part", part).load()
+    return spark.readStream.format("tail_lines").option("path", path).option("glob", glob).option("part", part).option("tasks", 4 * spark.sparkContext.defaultParallelism).load()
 
 
 def tail_manifest(spark: SparkSession, path: str, glob: str = "*.segments.jsonl") -> DataFrame:
