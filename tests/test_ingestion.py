@@ -211,3 +211,21 @@ def test_a_failing_recording_leaves_the_others_alone(spark, tmp_path):
     assert [(r.uri, r.error) for r in errors.collect()] == [("r3", "ValueError: bad audio")]
     none, fine = control.isolated(rows.limit(0), ["uri"], job, "uri string, total long", str(tmp_path / "u"))
     assert none.collect() == [] and fine.collect() == []
+
+
+def test_small_parts_of_a_long_backlog_share_tasks(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("".join(f"line {i}\n" for i in range(5000)))
+    reader = tl.TailReader(str(tmp_path), "*", 64, tasks=8)
+    runs = reader.partitions({}, reader.latestOffset())
+    assert len(runs) <= 9 and [line for r in runs for _, _, line in reader.read(r)] == [f"line {i}" for i in range(5000)]
+
+
+def test_lengths_of_segment_files_are_asked_for_in_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"u{i % 3}", i, float(i), i + 1.0, 8000, [0.1] * (i + 1)) for i in range(20)], sg.SEGMENTS)
+    sg.write_segments(rows, str(tmp_path))
+    found = sg.with_bytes(sg.read_segments(spark, str(tmp_path)))
+    assert found.columns[-1] == "bytes" and {(r.speaker_id, r.bytes) for r in found.collect()} == {(i, 44 + 2 * (i + 1)) for i in range(20)}
+    gone = found.orderBy("speaker_id").first().path
+    Path(gone).unlink()
+    assert found.where(F.col("path") == gone).first().bytes is None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnframe import fixtures as fx
 from turnframe.fixtures import SECOND, with_views
 from turnframe.functions import text as tx
+from turnframe.functions.vectors import rounded
 from turnframe.operators import clusters as cl
 from turnframe.operators import intervals as iv
 from turnframe.operators import regions as rg
@@ -158,7 +159,7 @@ def padded_samples(spark, d):
     vec = fx.load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     slices = F.array(F.struct(F.lit(2).alias("a"), F.lit(4).alias("b")), F.struct(F.lit(7).alias("a"), F.lit(8).alias("b")))
     size = vec.select(F.size("x")).first()[0] + 7 if vec.head(1) else 7
-    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 5)
+    total = lambda a: rounded(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 5)
     wide = vec.select("vec_id", "x", tx.padded(F.col("x"), size).alias("wide"))
     return wide.select("vec_id", F.size("wide").alias("n"), total("wide").alias("total"), total(tx.joined_slices(F.col("x"), slices)).alias("picked"))
 
@@ -196,5 +197,4 @@ def segment_files(spark, d):
     made = fx.load(spark, d, "conversations").where(n > 0).select(F.col("conv_id").cast("string").alias("uri"), F.col("turn").alias("speaker_id"), (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + n / 1000).alias("end"), F.lit(8000).alias("rate"), F.transform(F.sequence(F.lit(1), n), lambda i: (i * 7 % 200 - 100) / 100).alias("pcm"))
     root = shared_folder(spark, "segments")
     sg.write_segments(made, root)
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/audio").select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), F.col("length").alias("bytes"))
-    return sg.read_segments(spark, root).join(there, "path", "left").select("uri", "speaker_id", "start", "end", "bytes")
+    return sg.with_bytes(sg.read_segments(spark, root)).select("uri", "speaker_id", "start", "end", "bytes")
