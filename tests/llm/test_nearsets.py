@@ -136,3 +136,15 @@ def _every(manager):
     import os
 
     return [f for d in manager.localDirs() for _, _, names in os.walk(d.getPath()) for f in names]
+
+
+def test_whole_sets_are_made_of_the_texts_asked_for_alone(spark, tmp_path):
+    """The sets are made once, after the join with the ids asked for, and not for every document at the scan."""
+    spark.createDataFrame(list(planted().items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    df = spark.read.parquet(f"{tmp_path}/documents")
+    nodes = nearsets.written(nearsets.prefixes(df, 5, 0.8).groupBy("node").agg({"doc_id": "min"}).toDF("node", "least"))
+    asked = nearsets.written(nodes.where("least < 20").select("node"))
+    sets = nearsets.whole_sets(df, nodes, asked, 5)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join LeftSemi" in plan[plan.index("ArrowEvalPython") :]
+    assert {r.node for r in sets.collect()} == {r.node for r in asked.collect()}

@@ -112,7 +112,8 @@ def whole_sets(documents: DataFrame, nodes: DataFrame, asked: DataFrame, width:
     """(node, shingles) of the nodes asked for, made from the texts of one doc_id each; nodes has (node, least)."""
     ids = written(asked.join(nodes, "node").select(F.col("least").alias("_id")).distinct(), "asked")
     some = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return some.select(_rows(width)("text").alias("r")).select("r.node", "r.shingles").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    made = _rows(width).asNondeterministic()  # else the join's test for null nodes is pushed to the scan, and makes the sets of all documents
+    return some.select(made("text").alias("r")).select("r.node", "r.shingles").join(asked, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
