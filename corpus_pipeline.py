@@ -1,6 +1,7 @@
 """The corpus pipeline: language ID, near-dedup, benchmark decontamination, mixing to target weights, token-ID output.
 
-The near-dedup stage links documents by an exact join of shingle sets and not by fingerprints, as README says why.
+The near-dedup stage links documents by op 1's fingerprints, checked for the similarity of their shingle sets, and then by an
+exact join of the sets those whose fingerprints lie further apart, as README says why.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; the last returns one row for each document (and copy) of

@@ -148,3 +148,30 @@ def test_whole_sets_are_made_of_the_texts_asked_for_alone(spark, tmp_path):
     plan = sets._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Join LeftSemi" in plan[plan.index("ArrowEvalPython") :]
     assert {r.node for r in sets.collect()} == {r.node for r in asked.collect()}
+
+
+def test_fingerprints_of_op_1_link_first_and_the_join_adds_the_rest(spark, monkeypatch):
+    from turnframe.llm.simhash import majority
+
+    texts, asked, linked = planted(), [], []
+    alike, links = nearsets._alike, nearsets.links
+    monkeypatch.setattr(nearsets, "_alike", lambda pairs, *a: asked.append([(r.u, r.v) for r in pairs.collect()]) or alike(pairs, *a))
+    monkeypatch.setattr(nearsets, "links", lambda fps: linked.append(links(fps)) or linked[-1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.node, r.component_id) for r in alike_documents(df, 5, 0.8).collect()}
+    assert {i: c for i, (_, c) in got.items()} == plain_groups(texts)
+    sets = {got[i][0]: nearsets.shingles_of(t, 5) for i, t in texts.items()}
+    marks = {node: majority(s.view("uint64")) % (1 << 64) for node, s in sets.items()}
+    apart = lambda u, v: (marks[u] ^ marks[v]).bit_count()
+    near, *later = asked
+    assert len(linked) == 1 and near and max(apart(u, v) for u, v in near) <= 2
+    assert later and not set(near) & {p for pairs in later for p in pairs}
+    # pairs of the similarity that fingerprints don't link are there: the join is not a plainer path beside them
+    similarity = lambda u, v: len(set(sets[u]) & set(sets[v])) / len(set(sets[u]) | set(sets[v]))
+    assert any(apart(u, v) > 2 and similarity(u, v) >= 0.8 for pairs in later for u, v in pairs)
+
+
+def test_majority_of_the_bits():
+    from turnframe.llm.simhash import majority
+
+    assert majority([]) == 0 and majority([1, 3, 1 << 63]) == 1 and majority([1 << 63]) == -(1 << 63)

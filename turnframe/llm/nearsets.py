@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: an exact join of sets by prefixes.
+"""Near-duplicates by the Jaccard similarity of word shingles: fingerprints of op 1 first, then an exact join of sets by prefixes.
+
+A row's fingerprint is the majority of the bits of its set. Those that the grid of segment popcounts links are compared set by
+set, and the pairs of the similarity join their groups. Sets of a similarity of 0.8 have fingerprints up to some 11 bits apart,
+where no grid rules out much; the join finds these, and compares nothing again that lies in one group already.
 
 A row's set holds 64-bit hashes of its word shingles, of which only the prefix is stored, in one global order: shingles that are frequent in a sample of the
 rows last, else by hash. Two sets of similarity t or more share an element within their first n - ceil(t n) + 1, so they
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from turnframe.llm.common import dropped, labelled, written
 from turnframe.llm.components import components
 from turnframe.llm.shipping import hand_back, take_over
+from turnframe.llm.simhash import links, majority
 
 #: One row in SAMPLE is looked at for frequent shingles; those in OFTEN sampled rows or more are, at most MOST of them.
 SAMPLE, OFTEN, MOST = 16, 4, 65_536
@@ -43,7 +48,7 @@ PAIRS, STILL = 4, 0.5
 SHARE = 2
 #: Elements before a place that a row of a bucket knows.
 BEFORE = 4
-ROW = f"node long, n int, {', '.join(f'{k} long' for k in WHOLE)}, shingles array<long>"
+ROW = f"node long, n int, fp long, {', '.join(f'{k} long' for k in WHOLE)}, shingles array<long>"
 
 
 def shingles_of(text: str | None, width: int, seed: int = 42) -> np.ndarray:
@@ -66,21 +71,22 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def _rows(width: int, late: np.ndarray | None = None, similarity: float | None = None) -> Callable:
-    """text to (node, n, shingles); `late` holds the frequent shingles, the most frequent one last. With a similarity, shingles are only the set's prefix for it."""
+    """text to (node, n, fp, the sketch, shingles); `late` holds the frequent shingles, the most frequent one last. With a similarity, shingles are only the set's prefix for it."""
     place = None if late is None or not len(late) else (np.sort(late), np.argsort(late, kind="stable"))
 
     def made(texts: pd.Series) -> pd.DataFrame:
-        nodes, sets, sizes, sketches = [], [], [], []
+        nodes, sets, sizes, marks, sketches = [], [], [], [], []
         for text in texts:
             s = shingles_of(text, width)
             nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
+            marks.append(majority(s.view(np.uint64)))
             sketches.append(np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
             if place is not None and len(s):
                 at = np.minimum(np.searchsorted(place[0], s), len(place[0]) - 1)
                 s = s[np.lexsort((s, np.where(place[0][at] == s, place[1][at] + 1, 0)))]
             sizes.append(len(s))
             sets.append(s if similarity is None else s[: prefix_size(len(s), similarity)].copy())
-        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), **{c: [k[i] for k in sketches] for i, c in enumerate(WHOLE)}, "shingles": pd.Series(sets, dtype=object)})
+        return pd.DataFrame({"node": np.array(nodes, np.int64), "n": np.array(sizes, np.int32), "fp": np.array(marks, np.int64), **{c: [k[i] for k in sketches] for i, c in enumerate(WHOLE)}, "shingles": pd.Series(sets, dtype=object)})
 
     @F.pandas_udf(ROW)
     def rows(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -93,7 +99,7 @@ def _rows(width: int, late: np.ndarray | None = None, similarity: float | None =
 
 
 def prefixes(documents: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, node, n, the sketch, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
+    """(doc_id, node, n, fp, the sketch, shingles) for every row, a written table; shingles are the prefix of the set, so the table is small beside the texts."""
     some = documents.where(F.rand(42) < 1 / SAMPLE)
     seen = some.select(F.explode(_rows(width)("text")["shingles"]).alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     late = seen.orderBy(F.desc("count"), "h").limit(MOST).select("h").toPandas()["h"].to_numpy(np.int64)[::-1]
@@ -108,6 +114,26 @@ def _may(similarity: float, a: str, b: str, sketch: list[str]) -> Column:
     return (apart <= both * ((1 - similarity) / (1 + similarity)) + 1e-9) & (F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos")) >= need)
 
 
+def fingerprint_pairs(once: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes of once (node, n, fp, the sketch) by their fingerprints, as far as sizes and sketches allow the similarity: a written table.
+
+    The first node of a fingerprint meets the others that have it, and the first nodes of fingerprints linked to it.
+    """
+    first = written(once.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = once.select("fp", "node").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(x)) for c, x in (("u", "a"), ("v", "b")))
+    met = same.union(links(first.select("fp")).join(a, "u").join(b, "v").select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    a, b = (once.select(F.col("node").alias(c), F.lit(0).alias(f"{x}pos"), *[F.col(k).alias(x + k) for k in ("n", *WHOLE)]) for c, x in (("u", "a_"), ("v", "b_")))
+    return written(met.join(a, "u").join(b, "v").where(_may(similarity, "a_", "b_", WHOLE)).select("u", "v"), "near")
+
+
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (u, v) that don't lie in one of the groups (node, component)."""
+    u, v = (groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in "uv")
+    apart = F.coalesce("u_part", "u") != F.coalesce("v_part", "v")
+    return pairs.join(u, "u", "left").join(v, "v", "left").where(apart).select("u", "v")
+
+
 def whole_sets(documents: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the nodes asked for, made from the texts of one doc_id each; nodes has (node, least)."""
     ids = written(asked.join(nodes, "node").select(F.col("least").alias("_id")).distinct(), "asked")
@@ -157,14 +183,18 @@ def pairs_left(own: DataFrame) -> tuple[int, int]:
 
 
 def set_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Edges (u, v) between nodes of prefixes (node, n, sketch, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
-    once = written(sets.where("n > 0").dropDuplicates(["node"]).select("node", "n", *WHOLE, "shingles"), "once")  # copies of a set meet as one node
+    """Edges (u, v) between nodes of prefixes (node, n, fp, sketch, shingles) that connect exactly those linked by chains of pairs of the similarity. sets_of gives the whole sets of nodes."""
+    once = written(sets.where("n > 0").dropDuplicates(["node"]).select("node", "n", "fp", *WHOLE, "shingles"), "once")  # copies of a set meet as one node
+    near = fingerprint_pairs(once, similarity)
+    edges = _alike(near, sets_of, similarity)
+    groups = written(components(edges), "groups")
     row, ends = ["n", "node", "pos", *FOLDED], [F.least("node", "f_node").alias("u"), F.greatest("node", "f_node").alias("v")]
     dealt = once.select("node", "n", *_folded(WHOLE, len(FOLDED)), F.posexplode("shingles").alias("pos", "h")).repartition("h")
     buckets = dealt.groupBy("h").agg(F.min(F.struct(*row)).alias("first"), F.max(F.struct(*row)).alias("last")).where("first.node <> last.node").select("h", "first")
     shared = written(dealt.join(buckets, "h").select("h", *row, *_with(row, "first")), "shared")
-    met = written(shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_", FOLDED)).select(*ends).distinct(), "firsts")
-    edges = _alike(met, sets_of, similarity)
+    firsts = shared.where(F.col("node") != F.col("f_node")).where(_may(similarity, "", "f_", FOLDED)).select(*ends).distinct()
+    firsts = written(_between(firsts, groups).join(near, ["u", "v"], "left_anti"), "firsts")
+    met, edges = near.union(firsts), written(edges.union(_alike(firsts, sets_of, similarity)), "edges")
     # what is left: pairs that meet in a bucket and lie in different groups
     own, before, turn, row = _apart(shared, once, edges), None, 0, ["node", "n", "pos", "part", *WHOLE]
     while True:

@@ -24,7 +24,6 @@ from pyspark.sql.types import LongType
 
 from turnframe.llm.common import labelled, written
 from turnframe.llm.components import components
-from turnframe.llm.nearsets import alike_documents
 
 SEGMENTS, BITS = 32, 2
 ONES = 0x5555555555555555
@@ -36,6 +35,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit number."""
+    counts, step = np.zeros(64, np.int64), 1 << 16  # long texts in slices
+    for i in range(0, len(hashes), step):
+        part = np.array(hashes[i : i + step], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Majority of the bits of the XXH64 of all word shingles, as a signed 64-bit number."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z only, and white space 9-13 and 32
@@ -43,11 +51,7 @@ def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     hashes = [digest(join(s), seed) for s in zip(*(words[i:] for i in range(width)))] if len(words) >= width else [digest(join(words), seed)]
-    counts, step = np.zeros(64, np.int64), 1 << 16  # long texts in slices
-    for i in range(0, len(hashes), step):
-        part = np.array(hashes[i : i + step], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(hashes)
 
 
 def _fingerprint(width: int):
@@ -115,10 +119,12 @@ def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
 def near_duplicates(documents: DataFrame, distance: int = 2, cell: int = CELL, width: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable over linked fingerprints.
 
-    With a similarity, links are those of shingle sets of that Jaccard similarity or more instead, whatever their
-    fingerprints' distance, and the columns are (doc_id, node, component_id).
+    With a similarity, links are those of shingle sets of that Jaccard similarity or more: linked fingerprints are checked
+    for it first, and sets whose fingerprints lie further apart are joined after. The columns are (doc_id, node, component_id).
     """
     if similarity is not None:
+        from turnframe.llm.nearsets import alike_documents  # which takes its fingerprints from here
+
         return alike_documents(documents, width, similarity)
     docs = written(fingerprints(documents, width), "fingerprints")
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
