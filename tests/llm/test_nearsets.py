@@ -175,3 +175,25 @@ def test_majority_of_the_bits():
     from turnframe.llm.simhash import majority
 
     assert majority([]) == 0 and majority([1, 3, 1 << 63]) == 1 and majority([1 << 63]) == -(1 << 63)
+
+
+def test_shares_follow_what_is_shipped():
+    from turnframe.llm.nearsets import SHARE, SHIPPED, shares_of
+
+    assert shares_of(0, 0, 0) == 1
+    assert shares_of(41_095, 1600, 1600 * 60) == 1  # 39 MB in all: was a job for each two pairs a set, 13 here
+    sets, mean = 200_000, 400
+    for pairs in (2 * sets, 20 * sets):  # large: still in proportion to the sets
+        assert shares_of(pairs, sets, sets * mean) == pairs // (SHARE * sets)
+    assert shares_of(10_000_000, 1000, 1000 * 64) == -(-10_000_000 * 16 * 64 // SHIPPED)
+
+
+def test_several_shares_find_the_same_pairs(spark, monkeypatch):
+    sets = {i: list(range(i % 7, 20 + i % 3)) for i in range(40)}
+    known = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(u, v) for u in sets for v in sets if u < v], "u long, v long")
+    want = {(u, v) for u in sets for v in sets if u < v and len({*sets[u]} & {*sets[v]}) / len({*sets[u]} | {*sets[v]}) >= 0.8}
+    for shipped in (0, 1 << 26):
+        monkeypatch.setattr(nearsets, "SHIPPED", shipped)
+        assert nearsets.shares_of(len(sets) * 39 // 2, 40, 800) == (1 if shipped else 10)
+        assert {(r.u, r.v) for r in nearsets._alike(pairs, lambda asked: known.join(asked, "node"), 0.8).collect()} == want

@@ -44,8 +44,9 @@ WHOLE = [f"k{i}" for i in range(SKETCH // 64)]
 FOLDED = ["k0", "k1"]
 #: Rounds of pivots end where the pairs of groups left are PAIRS times the rows, or fewer, or a round leaves more than STILL of them.
 PAIRS, STILL = 4, 0.5
-#: Whole sets are compared in shares of SHARE pairs a set, so that what a share ships is in proportion to the sets.
-SHARE = 2
+#: Whole sets are compared in shares of SHARE pairs a set, so that what a share ships is in proportion to the sets; or of so many
+#: pairs as ship SHIPPED bytes, where that is more.
+SHARE, SHIPPED = 2, 1 << 26
 #: Elements before a place that a row of a bucket knows.
 BEFORE = 4
 ROW = f"node long, n int, fp long, {', '.join(f'{k} long' for k in WHOLE)}, shingles array<long>"
@@ -142,12 +143,19 @@ def whole_sets(documents: DataFrame, nodes: DataFrame, asked: DataFrame, width:
     return some.select(made("text").alias("r")).select("r.node", "r.shingles").join(asked, "node", "left_semi").dropDuplicates(["node"])
 
 
+def shares_of(pairs: int, sets: int, elements: int) -> int:
+    """In how many shares pairs of these sets are compared; a pair ships two sets of the mean size."""
+    sets = max(1, sets)
+    return max(1, int(np.ceil(pairs / max(SHARE * sets, SHIPPED * sets / (16 * max(1, elements))))))
+
+
 def _alike(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have the similarity: a written table."""
     asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "pairs")
     known = written(sets_of(asked), "compared")
     a, b = known.select(F.col("node").alias("u"), F.col("shingles").alias("a")), known.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    shares, found = max(1, int(np.ceil(pairs.count() / (SHARE * max(1, asked.count()))))), []
+    n, elements = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    shares, found = shares_of(pairs.count(), n, elements), []
     for k in range(shares):
         some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(shares)) == k)
         met = some.join(a, "u").join(b, "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("both"))
