@@ -98,7 +98,7 @@ def byte_encoder(path: str) -> Callable[[list[str]], Iterable]:
 
 
 class TokenTable:
-    """The ids of all chunks met so far, one after another, and where each chunk's begin."""
+    """The ids of chunks met so far, one after another, and where each chunk's begin; `uses` counts the calls that asked for a chunk."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable]):
         self.encode = encode
@@ -107,15 +107,24 @@ class TokenTable:
     def _empty(self) -> None:
         self.rows: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def trim(self) -> None:
-        if len(self.rows) > TABLE:
-            self._empty()
+        """A full table keeps the chunks that were asked for again since it was full last, if they take half of it at most."""
+        if len(self.rows) <= TABLE:
+            return
+        kept = np.flatnonzero(self.uses > 1)
+        if 2 * len(kept) > TABLE:
+            return self._empty()
+        names = list(self.rows)
+        sizes = self.sizes[kept]
+        self.ids = self.ids[ranges(self.starts[kept], sizes)]
+        self.starts, self.sizes, self.uses = np.concatenate([[0], np.cumsum(sizes)]), sizes, np.ones(len(kept), np.int32)
+        self.rows = {names[k]: i for i, k in enumerate(kept.tolist())}
 
     def rows_of(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk in starts and sizes."""
-        new = sorted(set(chunks).difference(self.rows))
+        new = [c for c in dict.fromkeys(chunks) if c not in self.rows]
         if new:
             packed = list(self.encode(new))
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
@@ -123,7 +132,10 @@ class TokenTable:
             self.sizes = np.concatenate([self.sizes, sizes])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), np.uint32)])
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        rows = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[rows] += 1
+        return rows
 
 
 @cache
